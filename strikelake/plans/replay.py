@@ -301,7 +301,7 @@ class Replay:
 
 
 def _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times=None):
-    opened = open_legs(wanted, runs, legs, bars, lot_rules, times)
+    opened = cut_lineage(open_legs(wanted, runs, legs, bars, lot_rules, times))
     marks = mark_positions(opened, bars, hz, track_by)
     return opened, first_exit(exit_flags(marks, _horizon_rows(opened, hz)))
 
@@ -320,13 +320,13 @@ def replay(
 
     ``signals`` (symbol, date, time, signal) confirm momentum re-entries; ``entry_filter``
     (run_id, date, time) keeps only those regular entries; ``expiry_rules`` enforce
-    trade_on_expiry. The narrow position bars are written once because the trades, the
-    one-at-a-time rule and the equity curve all read them.
+    trade_on_expiry. What several later steps read is written once: the spine, the opened
+    legs, and the narrow position bars (for the trades, the one-at-a-time rule and equity).
     """
     from .reentry import with_reentries
 
-    spine = bar_spine(bars)
-    hz = horizons(spine, runs)
+    spine = cut_lineage(bar_spine(bars))
+    hz = cut_lineage(horizons(spine, runs))
     wanted = entry_candidates(spine, runs)
     if entry_filter is not None:
         wanted = wanted.join(entry_filter.select("run_id", "date", "time").distinct(), ["run_id", "date", "time"], "left_semi")

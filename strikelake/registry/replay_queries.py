@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import per_symbol, strategy_frames
 from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, with_ordinals
 from ..plans import replay as R
+from ..session import cut_lineage
 from ..schemas import LEG_DEFAULTS, LEGS, RUN_DEFAULTS, RUNS
 from .inputs import BARS_SQL, bars, text_dates
 
@@ -87,9 +88,9 @@ REENTRY = [
 
 
 def frames(spark, sf, configs):
-    b = bars(spark, sf)
+    b = cut_lineage(bars(spark, sf))
     runs, legs = strategy_frames(spark, configs)
-    runs, legs = per_symbol(runs, legs, b.select("symbol"))
+    runs, legs = per_symbol(runs, legs, cut_lineage(b.select("symbol").distinct()))
     return b, runs, legs
 
 
@@ -217,7 +218,7 @@ EXITS_SELECT = """SELECT run_id || '@' || symbol AS run_id, CAST(leg_no AS BIGIN
 TRADES_SELECT = """SELECT run_id || '@' || symbol AS run_id, CAST(leg_no AS BIGINT) AS leg_no, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_at,
   strftime(exit_ts, '%Y-%m-%d %H:%M:%S') AS exit_at, option_type, position AS position_side, round(entry_price,6) AS entry_price, round(exit_price,6) AS exit_price,
   round(entry_spot,6) AS entry_spot, round(sp1,6) AS exit_spot, CAST(lots AS BIGINT) AS lots, CAST(lot_size AS BIGINT) AS lot_size,
-  round(pnl_gross,4) AS pnl_gross, round(pnl_net,8) AS pnl_net, round(brokerage,4) AS brokerage, round(stt,10) AS stt, round(slippage_cost,8) AS slippage_cost,
+  round(pnl_gross,4) AS pnl_gross, round(pnl_net,10) AS pnl_net, round(brokerage,4) AS brokerage, round(stt,10) AS stt, round(slippage_cost,8) AS slippage_cost,
   round(other_charges,10) AS other_charges, reason AS exit_reason, CAST(held AS BIGINT) AS bars_held, CAST(0 AS BIGINT) AS reentry_attempt FROM tr"""
 
 
@@ -247,7 +248,7 @@ def closed_trades(spark, sf):
             "entry_price", "exit_price", "entry_spot", "exit_spot", "lots", "lot_size", "pnl_gross", "pnl_net", "brokerage", "stt",
             "slippage_cost", "other_charges", "exit_reason", "bars_held", "reentry_attempt",
         ),
-        {"pnl_gross": 4, "pnl_net": 8, "brokerage": 4, "stt": 10, "slippage_cost": 8, "other_charges": 10},
+        {"pnl_gross": 4, "pnl_net": 10, "brokerage": 4, "stt": 10, "slippage_cost": 8, "other_charges": 10},
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,27 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "str
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session that names none (a test) gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable checkpoint storage and continue from there.
+    """Write ``df`` once as a table in the shared folder and continue from that table.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    that names none (a local test) gets a folder of its own.
+    Its readers then prune columns, see its true size (so that joins with a small one
+    broadcast), and survive the loss of executors.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
