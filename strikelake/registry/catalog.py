@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metric_queries, replay_queries, signal_queries, source_queries
+from . import metric_queries, replay_queries, report_queries, signal_queries, source_queries
 
-MODULES = [metric_queries, replay_queries, signal_queries, source_queries]
+MODULES = [metric_queries, replay_queries, signal_queries, source_queries, report_queries]
 
 
 def entries() -> dict:

@@ -120,7 +120,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.05) + (c("l_partkey") % 40).cast("double") / 100).alias("entry_iv"),
         (F.lit(0.05) + (c("l_orderkey") % 40).cast("double") / 100).alias("exit_iv"),
         (c("l_orderkey") % 12).cast("double").alias("dte_at_entry"),
-        F.least(F.date_diff(c("l_shipdate"), c("o_orderdate")), F.lit(5)).cast("double").alias("days_held"),
+        F.greatest(F.least(F.date_diff(c("l_shipdate"), c("o_orderdate")), F.lit(5)), F.lit(0)).cast("double").alias("days_held"),
         (c("l_partkey") % 400 + 1).cast("double").alias("entry_premium"),
         ((c("l_partkey") + c("l_orderkey")) % 400 + 1).cast("double").alias("exit_premium"),
         (c("l_linenumber") % 3 + 1).cast("int").alias("lots"),
@@ -151,7 +151,7 @@ trades AS (
     0.05::DOUBLE + CAST(l_partkey % 40 AS DOUBLE)/100 AS entry_iv,
     0.05::DOUBLE + CAST(l_orderkey % 40 AS DOUBLE)/100 AS exit_iv,
     CAST(l_orderkey % 12 AS DOUBLE) AS dte_at_entry,
-    CAST(least(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), 5) AS DOUBLE) AS days_held,
+    CAST(greatest(least(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), 5), 0) AS DOUBLE) AS days_held,
     CAST(l_partkey % 400 + 1 AS DOUBLE) AS entry_premium,
     CAST((l_partkey + l_orderkey) % 400 + 1 AS DOUBLE) AS exit_premium,
     CAST(l_linenumber % 3 + 1 AS INT) AS lots, 15 AS lot_size
