@@ -79,12 +79,11 @@ def bs_columns(
     df = (
         df.withColumn("_n1", norm_cdf(F.col("_d1")))
         .withColumn("_n2", norm_cdf(F.col("_d2")))
-        .withColumn("_m1", norm_cdf(-F.col("_d1")))
-        .withColumn("_m2", norm_cdf(-F.col("_d2")))
         .withColumn("_pdf", norm_pdf(F.col("_d1")))
         .withColumn("_disc", F.exp(-F.lit(rate) * tte))
     )
-    n1, n2, m1, m2, pdf, disc = (F.col(c) for c in ("_n1", "_n2", "_m1", "_m2", "_pdf", "_disc"))
+    n1, n2, pdf, disc = (F.col(c) for c in ("_n1", "_n2", "_pdf", "_disc"))
+    m1, m2 = 1 - n1, 1 - n2
     decay = -(spot * pdf * iv) / (2 * root)
     carry = F.lit(rate) * strike * disc
     price = F.when(call, spot * n1 - strike * disc * n2).otherwise(strike * disc * m2 - spot * m1)
@@ -103,7 +102,7 @@ def bs_columns(
         F.when(known, F.when(live, theta).when(tte <= 0, 0.0)).alias(f"{prefix}theta"),
         F.when(known, F.when(live, spot * pdf * root / 100).when(tte <= 0, 0.0)).alias(f"{prefix}vega"),
     )
-    return out.drop("_d1", "_d2", "_n1", "_n2", "_m1", "_m2", "_pdf", "_disc")
+    return out.drop("_d1", "_d2", "_n1", "_n2", "_pdf", "_disc")
 
 
 def with_greeks(

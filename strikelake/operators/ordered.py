@@ -14,69 +14,66 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _windows(keys, block, order):
-    inside = Window.partitionBy(*keys, *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    return inside, before
-
-
-def _rejoin(df, keys, block, inside: Column, per_block: Column, before: Column, finish, out: str) -> DataFrame:
-    local = df.withColumn("_in", inside)
-    blocks = df.groupBy(*keys, *block).agg(per_block.alias("_b"))
-    carry = blocks.select(*keys, *block, before.alias("_c"))
-    joined = local.join(carry, [*keys, *block])
-    return joined.withColumn(out, finish(F.col("_c"), F.col("_in"))).drop("_c", "_in")
-
+def block_scan(df: DataFrame, keys, block, order, **outputs: tuple[str, Column]) -> DataFrame:
+    """Add running values per key: ``name=(kind, value)``, all in one pass and one join back.
 
-def running_sum(df: DataFrame, keys, block, order, value: Column, out: str, start: Column | None = None) -> DataFrame:
-    inside, before = _windows(keys, block, order)
-    base = F.lit(0) if start is None else start
-    return _rejoin(
-        df, keys, block,
-        F.sum(value).over(inside), F.sum(value), F.sum("_b").over(before),
-        lambda c, w: base + F.coalesce(c, F.lit(0)) + F.coalesce(w, F.lit(0)), out,
-    )
-
-
-def running_max(df: DataFrame, keys, block, order, value: Column, out: str, floor: Column | None = None) -> DataFrame:
-    inside, before = _windows(keys, block, order)
-    lows = [] if floor is None else [floor]
-    return _rejoin(
-        df, keys, block,
-        F.max(value).over(inside), F.max(value), F.max("_b").over(before),
-        lambda c, w: F.greatest(c, w, *lows) if lows else F.coalesce(F.greatest(c, w), c, w), out,
-    )
+    Kinds: ``sum``, ``max``, ``min``, ``last`` (latest non-null) and ``count`` (row number;
+    its value is ignored). NULLs are skipped; a running sum starts from zero.
+    """
+    inside = Window.partitionBy(*keys, *block).orderBy(*order)
+    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    local, per_block, carried, final = [], [], [], []
+    for i, (name, (kind, value)) in enumerate(outputs.items()):
+        w, b, k = f"_w{i}", f"_b{i}", f"_c{i}"
+        if kind == "count":
+            local.append(F.row_number().over(inside).alias(w))
+            per_block.append(F.count(F.lit(1)).alias(b))
+            carried.append(F.sum(b).over(before).alias(k))
+            done = (F.coalesce(k, F.lit(0)) + F.col(w)).cast("bigint")
+        elif kind == "sum":
+            local.append(F.sum(value).over(sofar).alias(w))
+            per_block.append(F.sum(value).alias(b))
+            carried.append(F.sum(b).over(before).alias(k))
+            done = F.coalesce(k, F.lit(0)) + F.coalesce(w, F.lit(0))
+        elif kind == "last":
+            local.append(F.last(value, ignorenulls=True).over(sofar).alias(w))
+            per_block.append(F.max_by(value, F.when(value.isNotNull(), at)).alias(b))
+            carried.append(F.last(b, ignorenulls=True).over(before).alias(k))
+            done = F.coalesce(w, k)
+        else:
+            agg, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
+            local.append(agg(value).over(sofar).alias(w))
+            per_block.append(agg(value).alias(b))
+            carried.append(agg(b).over(before).alias(k))
+            done = pick(k, w)
+        final.append(done.alias(name))
+    blocks = df.groupBy(*keys, *block).agg(*per_block).select(*keys, *block, *carried)
+    kept = [c for c in df.columns if c not in outputs]
+    return df.select("*", *local).join(blocks, [*keys, *block]).select(*kept, *final)
+
+
+def running_sum(df: DataFrame, keys, block, order, value: Column, out: str) -> DataFrame:
+    return block_scan(df, keys, block, order, **{out: ("sum", value)})
+
+
+def running_max(df: DataFrame, keys, block, order, value: Column, out: str) -> DataFrame:
+    return block_scan(df, keys, block, order, **{out: ("max", value)})
 
 
 def running_min(df: DataFrame, keys, block, order, value: Column, out: str) -> DataFrame:
-    inside, before = _windows(keys, block, order)
-    return _rejoin(
-        df, keys, block,
-        F.min(value).over(inside), F.min(value), F.min("_b").over(before),
-        lambda c, w: F.coalesce(F.least(c, w), c, w), out,
-    )
+    return block_scan(df, keys, block, order, **{out: ("min", value)})
 
 
 def carry_forward(df: DataFrame, keys, block, order, value: Column, out: str) -> DataFrame:
     """Latest non-null value at or before each row."""
-    inside, before = _windows(keys, block, order)
-    at = F.when(value.isNotNull(), F.struct(*order))
-    return _rejoin(
-        df, keys, block,
-        F.last(value, ignorenulls=True).over(inside), F.max_by(value, at), F.last("_b", ignorenulls=True).over(before),
-        lambda c, w: F.coalesce(w, c), out,
-    )
+    return block_scan(df, keys, block, order, **{out: ("last", value)})
 
 
 def ordinal(df: DataFrame, keys, block, order, out: str = "ord") -> DataFrame:
     """1-based position of each row in its key's order."""
-    inside = Window.partitionBy(*keys, *block).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    return _rejoin(
-        df, keys, block,
-        F.row_number().over(inside), F.count(F.lit(1)), F.sum("_b").over(before),
-        lambda c, w: (F.coalesce(c, F.lit(0)) + w).cast("bigint"), out,
-    )
+    return block_scan(df, keys, block, order, **{out: ("count", F.lit(1))})
 
 
 def range_blocks(df: DataFrame, order: list, block: str = "block") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contracts import with_ordinals
-from .ordered import carry_forward, running_max, running_min
+from .ordered import block_scan, carry_forward
 
 
 def affine_scan(df: DataFrame, x: Column, decay: Column | float, out: str, seed: Column | None = None) -> DataFrame:
@@ -143,8 +143,8 @@ def supertrend_signal(spine: DataFrame, period: int = 7, multiplier: float = 3.0
     s = with_changes(spine).withColumn("_tr", F.abs("change"))
     s = s.join(_seed_mean(s, period, _a0=c("_tr")), "symbol", "left")
     s = affine_scan(s, c("_tr") / period, (period - 1) / period, "atr", F.when(c("ord") == period + 1, c("_a0")))
-    s = running_min(s, ["symbol"], ["date"], ["time"], c("spot") + multiplier * c("atr"), "upper")
-    s = running_max(s, ["symbol"], ["date"], ["time"], c("spot") - multiplier * c("atr"), "lower")
+    width = multiplier * c("atr")
+    s = block_scan(s, ["symbol"], ["date"], ["time"], upper=("min", c("spot") + width), lower=("max", c("spot") - width))
     flip = F.when(c("spot") > c("upper"), "bullish").when(c("spot") < c("lower"), "bearish")
     s = carry_forward(s.withColumn("_flip", F.when(c("atr").isNotNull(), flip)), ["symbol"], ["date"], ["time"], c("_flip"), "_trend")
     signal = F.when(c("atr").isNull(), "neutral").otherwise(F.coalesce("_trend", F.lit("bullish")))

@@ -57,7 +57,7 @@ def daily_series(daily: DataFrame, by=("run_id",), capital: Column | None = None
 
 def drawdown_curve(equity: DataFrame, capital: Column, by=("run_id",)) -> DataFrame:
     """Bar-grain peak and drawdown percent; blocks are the days."""
-    df = running_max(equity, list(by), ["date"], ["ts"], F.col("equity"), "peak", floor=capital)
+    df = running_max(equity, list(by), ["date"], ["ts"], F.greatest(capital, "equity"), "peak")
     pct = (F.col("peak") - F.col("equity")) / F.when(F.col("peak") > 0, F.col("peak")) * 100
     return df.withColumn("drawdown_pct", F.coalesce(pct, F.lit(0.0)))
 

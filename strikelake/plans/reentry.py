@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import bar_ts
-from ..operators.ordered import running_max
+from ..operators.ordered import block_scan
 from ..session import cut_lineage
 
 FAR = "9999-12-31"
@@ -48,8 +48,8 @@ def next_confirmations(spine: DataFrame, signals: DataFrame) -> DataFrame:
     c = F.col
     s = spine.join(signals.select("symbol", "date", "time", "signal"), ["symbol", "date", "time"], "left")
     s = s.select("symbol", "ord", (-F.unix_date("date")).alias("back_day"), (-c("ord")).alias("back"), "signal")
-    for word in ("bullish", "bearish"):
-        s = running_max(s, ["symbol"], ["back_day"], ["back"], F.when(c("signal") == word, c("back")), f"_{word}")
+    words = {f"_{w}": ("max", F.when(c("signal") == w, c("back"))) for w in ("bullish", "bearish")}
+    s = block_scan(s, ["symbol"], ["back_day"], ["back"], **words)
     return s.select("symbol", "ord", (-c("_bullish")).alias("next_bullish"), (-c("_bearish")).alias("next_bearish"))
 
 

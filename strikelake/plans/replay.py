@@ -17,7 +17,7 @@ from ..functions import costs
 from ..functions.clock import bar_ts
 from ..operators.asof import lot_size_asof
 from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, with_ordinals
-from ..operators.ordered import carry_forward, running_sum
+from ..operators.ordered import block_scan
 from ..session import cut_lineage
 
 KEY = ["run_id", "entry_ts"]
@@ -91,13 +91,15 @@ def with_horizon(positions: DataFrame, spine_horizons: DataFrame) -> DataFrame:
     )
 
 
-def mark_positions(opened: DataFrame, bars: DataFrame, spine_horizons: DataFrame, track_by: str = "offset") -> DataFrame:
+def mark_positions(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> DataFrame:
     """Every bar of each held contract from entry to horizon, with stop and target flags.
 
+    ``opened`` carries its horizon (:func:`with_horizon`).
+
     The interval is turned into its days, so the join with bars is an equality on
     (symbol, date, option type, contract); only the ends need the time comparison.
     """
-    held = with_horizon(opened, spine_horizons).withColumn(
+    held = opened.withColumn(
         "date", F.explode(F.sequence("entry_date", c("horizon_ts").cast("date")))
     )
     contract = {"offset": ("held_offset", "strike_offset"), "strike": ("held_strike", "strike")}[track_by]
@@ -138,13 +140,13 @@ def mark_positions(opened: DataFrame, bars: DataFrame, spine_horizons: DataFrame
     )
 
 
-def _horizon_rows(opened: DataFrame, spine_horizons: DataFrame) -> DataFrame:
+def _horizon_rows(opened: DataFrame) -> DataFrame:
     """One row per position at its horizon, where it closes even if no leg has a bar."""
-    pos = opened.groupBy(*KEY, "symbol", "entry_date", "exit_time").agg(
+    pos = opened.groupBy(*KEY).agg(
         F.array_sort(F.collect_set("leg_no")).alias("leg_nos"),
-        *[F.first(o).alias(o) for o in _OVERALL],
+        *[F.first(o).alias(o) for o in [*_OVERALL, "exit_time", "horizon_ts", "eod"]],
     )
-    return with_horizon(pos, spine_horizons).select(
+    return pos.select(
         *KEY, c("horizon_ts").alias("ts"), "leg_nos", *_OVERALL, "exit_time", "horizon_ts", "eod"
     )
 
@@ -301,9 +303,9 @@ class Replay:
 
 
 def _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times=None):
-    opened = cut_lineage(open_legs(wanted, runs, legs, bars, lot_rules, times))
-    marks = mark_positions(opened, bars, hz, track_by)
-    return opened, first_exit(exit_flags(marks, _horizon_rows(opened, hz)))
+    opened = cut_lineage(with_horizon(open_legs(wanted, runs, legs, bars, lot_rules, times), hz))
+    marks = mark_positions(opened, bars, track_by)
+    return opened, first_exit(exit_flags(marks, _horizon_rows(opened)))
 
 
 def replay(
@@ -326,7 +328,7 @@ def replay(
     from .reentry import with_reentries
 
     spine = cut_lineage(bar_spine(bars))
-    hz = cut_lineage(horizons(spine, runs))
+    hz = horizons(spine, runs)
     wanted = entry_candidates(spine, runs)
     if entry_filter is not None:
         wanted = wanted.join(entry_filter.select("run_id", "date", "time").distinct(), ["run_id", "date", "time"], "left_semi")
@@ -338,11 +340,14 @@ def replay(
     opened, pos = _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times)
     pos = cut_lineage(pos.withColumn("start_ts", c("entry_ts")).withColumn("forced", F.lit(False)).withColumn("attempt", F.lit(0)))
 
-    passes = legs.where("reentry_on_sl OR reentry_on_target").agg(F.max("reentry_max_attempts")).first()[0] or 0
+    again = F.when(c("reentry_on_sl") | c("reentry_on_target"), c("reentry_max_attempts"))
+    passes = opened.agg(F.max(again)).first()[0] or 0
     if passes:
 
-        def evaluate(again):
-            return _evaluate(again, runs, legs, bars, hz, lot_rules, track_by)
+        kept_hz = cut_lineage(hz)
+
+        def evaluate(wanted):
+            return _evaluate(wanted, runs, legs, bars, kept_hz, lot_rules, track_by)
 
         opened, pos = with_reentries(opened, pos, runs, legs, bars, with_ordinals(spine), signals, evaluate, passes)
 
@@ -371,8 +376,7 @@ def equity_snapshots(spine: DataFrame, runs: DataFrame, marks: DataFrame, trades
         F.max_by(F.when(F.coalesce(done, F.lit(False)), 0.0).otherwise(c("unrealized")), c("entry_ts")).alias("_open")
     )
     s = _run_spine(spine, runs).join(open_pnl, ["run_id", "ts"], "left").join(_realized(trades), ["run_id", "ts"], "left")
-    s = carry_forward(s, ["run_id"], ["date"], ["ts"], c("_open"), "unrealized_pnl")
-    s = running_sum(s, ["run_id"], ["date"], ["ts"], c("booked"), "cumulative_pnl")
+    s = block_scan(s, ["run_id"], ["date"], ["ts"], unrealized_pnl=("last", c("_open")), cumulative_pnl=("sum", c("booked")))
     s = s.withColumn("unrealized_pnl", F.coalesce("unrealized_pnl", F.lit(0.0)))
     return s.select(
         "run_id", "symbol", "date", "time", "ts", "spot", "unrealized_pnl",

@@ -25,8 +25,8 @@ def shuffled_equity(trades: DataFrame, capital: Column, sims: int, seed: int, tr
         F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"),
     )
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), c("sim").cast("string"), c("_key")))
-    rows = draws.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, hash_digits))
-    inside = Window.partitionBy(*by, "sim", "_block").orderBy("_h", "_key")
+    rows = draws.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, hash_digits)).drop("_key")
+    inside = Window.partitionBy(*by, "sim", "_block").orderBy("_h")
     sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_pos", F.row_number().over(inside)).withColumn("_run", F.sum("pnl_net").over(sofar))
     rows = rows.withColumn("_top", F.max("_run").over(sofar))
@@ -63,16 +63,28 @@ def shuffle_summary(walked: DataFrame, runs: DataFrame, by=("run_id",)) -> DataF
         F.max_by("equity", "trade_index").alias("final"), F.max("drawdown_pct").alias("mdd"), F.max("capital").alias("capital"),
         (F.max("trade_index") + 1).alias("n_trades"),
     )
-    finals = nearest_rank(sims, by, "final", [5, 25, 50, 75, 95])
-    mdds = nearest_rank(sims, by, "mdd", [50, 95]).withColumnsRenamed({"p50": "mdd_p50", "p95": "mdd_p95"})
+    w = Window.partitionBy(*by)
+    n_sims = F.count(F.lit(1)).over(w)
+    ranked = (
+        sims.withColumn("_rf", F.row_number().over(w.orderBy("final", "sim")))
+        .withColumn("_rm", F.row_number().over(w.orderBy("mdd", "sim")))
+        .withColumn("_n", n_sims)
+    )
+
+    def at(rank: str, value: str, p: float) -> Column:
+        slot = F.floor(F.lit(p / 100.0) * (c("_n") - 1) + 0.5) + 1
+        return F.max(F.when(c(rank) == slot, c(value)))
+
     n = F.count(F.lit(1))
-    odds = sims.groupBy(*by).agg(
+    done = ranked.groupBy(*by).agg(
+        *[at("_rf", "final", p).alias(f"p{p}") for p in (5, 25, 50, 75, 95)],
+        *[at("_rm", "mdd", p).alias(f"mdd_p{p}") for p in (50, 95)],
         (F.count_if(c("final") > c("capital")) / n).alias("prob_positive_return"),
         (F.count_if(c("mdd") > 10) / n).alias("prob_mdd_gt_10pct"),
         (F.count_if(c("mdd") > 20) / n).alias("prob_mdd_gt_20pct"),
         n.alias("n_simulations"), F.max("n_trades").alias("n_trades"),
     )
-    j = runs.select(*by, "capital").join(finals, by, "left").join(mdds, by, "left").join(odds, by, "left")
+    j = runs.select(*by, "capital").join(done, by, "left")
     return j.select(
         *by,
         *[F.coalesce(f"p{p}", "capital").alias(f"final_p{p}") for p in (5, 25, 50, 75, 95)],

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import metrics as M
+from ..session import cut_lineage
 from .inputs import CAPITAL, SERIES_SQL, TRADE_ORDER, TRADES_SQL, run_table, text_dates, trades
 
 WITH = f"WITH {TRADES_SQL}, {SERIES_SQL}"
 
 
+# What the metrics read of a trade.
+TRADE_COLUMNS = ["run_id", "entry_date", *TRADE_ORDER, "pnl_gross", "pnl_net", "brokerage", "slippage_cost", "stt", "exit_reason",
+                 "bars_held", "reentry_attempt"]
+
+
 def cap():
     return F.lit(CAPITAL)
 
@@ -105,7 +111,7 @@ SELECT CAST(run_id AS BIGINT) AS run_id, coalesce(max(c) FILTER (win),0) AS max_
 
 
 def run_metrics(spark, sf):
-    t = trades(spark, sf)
+    t = cut_lineage(trades(spark, sf).select(*TRADE_COLUMNS))
     wide = M.run_metrics(t, _daily(t), run_table(t), TRADE_ORDER)
     return text_dates(wide, {"daily_volatility": 9, "ann_volatility": 8})
 

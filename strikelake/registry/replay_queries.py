@@ -276,7 +276,7 @@ def marks_query(spark, sf):
     b, runs, legs = frames(spark, sf, SELECTION)
     spine = bar_spine(b)
     opened = R.open_legs(entry_candidates(spine, runs), runs, legs, b)
-    m = R.mark_positions(opened, b, horizons(spine, runs))
+    m = R.mark_positions(R.with_horizon(opened, horizons(spine, runs)), b)
     return text_dates(m.select("run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("ts").alias("at"), "close", "worst", "best", "spot", "pnl"), {"pnl": 4})
 
 
