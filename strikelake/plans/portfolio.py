@@ -62,14 +62,14 @@ def correlation_matrix(daily: DataFrame, allocations: DataFrame) -> DataFrame:
     a = p.select("portfolio", "date", c("run_id").alias("strategy_a"), c("pnl").alias("x"))
     b = p.select("portfolio", "date", c("run_id").alias("strategy_b"), c("pnl").alias("y"))
     found = a.join(b, ["portfolio", "date"]).where(c("strategy_a") < c("strategy_b")).groupBy("portfolio", "strategy_a", "strategy_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.corr("x", "y").alias("_r"),
-        (F.var_pop("x") * F.var_pop("y") * F.count(F.lit(1)) * F.count(F.lit(1))).alias("_d"),
+        F.count(F.lit(1)).alias("_n"), F.covar_pop("x", "y").alias("_xy"), F.sqrt(F.var_pop("x") * F.var_pop("y")).alias("_d")
     )
     ids = allocations.select("portfolio", "run_id")
     pairs = ids.select("portfolio", c("run_id").alias("strategy_a")).join(ids.select("portfolio", c("run_id").alias("strategy_b")), "portfolio")
     half = pairs.where(c("strategy_a") < c("strategy_b")).join(found, ["portfolio", "strategy_a", "strategy_b"], "left")
-    usable = (c("_n") >= 2) & (F.sqrt("_d") >= 1e-12) & ~F.isnan("_r")
-    half = half.select("portfolio", "strategy_a", "strategy_b", F.coalesce(F.when(usable, c("_r")), F.lit(0.0)).alias("correlation"))
+    usable = (c("_n") >= 2) & (c("_d") * c("_n") >= 1e-12)
+    r = F.when(usable, c("_xy") / F.when(usable, c("_d")))
+    half = half.select("portfolio", "strategy_a", "strategy_b", F.coalesce(r, F.lit(0.0)).alias("correlation"))
     mirrored = half.select("portfolio", c("strategy_b").alias("strategy_a"), c("strategy_a").alias("strategy_b"), "correlation")
     own = ids.select("portfolio", c("run_id").alias("strategy_a"), c("run_id").alias("strategy_b"), F.lit(1.0).alias("correlation"))
     return half.unionByName(mirrored).unionByName(own)
