@@ -125,14 +125,17 @@ symbols AS (SELECT DISTINCT symbol FROM bars),
 runs AS (SELECT r.* EXCLUDE (symbol), s.symbol FROM runs0 r, symbols s)"""
 
 
+PLAIN_B = "b AS (SELECT *, CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS delta FROM bars)"
+
 OPEN_SQL = """
-b AS (SELECT *, CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS ts FROM bars),
 spine AS (SELECT symbol, date, time, ts, min_by(spot, (strike_offset, option_type)) AS spot FROM b GROUP BY ALL),
 picked AS (
   SELECT r.run_id, r.symbol, sp.ts AS entry_ts, l.leg_no, l.option_type, b.strike_offset AS held_offset, b.close AS raw_price, b.spot AS entry_spot,
     row_number() OVER (PARTITION BY r.run_id, r.symbol, sp.ts, l.leg_no ORDER BY
       CASE l.strike_mode WHEN 'premium' THEN abs(b.close - coalesce(l.premium_target, 200.0))
-                         WHEN 'percent_otm' THEN abs(b.strike_offset - l.strike_offset) ELSE 0 END, b.strike_offset) AS rk
+                         WHEN 'percent_otm' THEN abs(b.strike_offset - l.strike_offset)
+                         WHEN 'delta' THEN CASE WHEN b.delta <> 0 THEN abs(abs(b.delta) - l.delta_target) WHEN b.strike_offset = 0 THEN 1e6 ELSE 2e6 END
+                         ELSE 0 END, b.strike_offset) AS rk
   FROM runs r JOIN spine sp ON sp.symbol = r.symbol AND sp.time = r.entry_time JOIN legs l ON l.run_id = r.run_id
   JOIN b ON b.symbol = sp.symbol AND b.ts = sp.ts AND b.option_type = l.option_type
     AND (l.strike_mode <> 'atm_offset' OR b.strike_offset = l.strike_offset)),
@@ -148,36 +151,37 @@ hz AS (SELECT run_id, symbol, entry_ts, coalesce(t, e) AS horizon, t IS NULL AS
     SELECT o.run_id, o.symbol, o.entry_ts, min(sp.ts) FILTER (sp.ts >= o.entry_ts AND sp.time >= o.exit_time) AS t, max(sp.ts) AS e
     FROM opened o JOIN spine sp ON sp.symbol = o.symbol GROUP BY ALL)),
 grid AS (
-  SELECT o.*, h.horizon, h.eod, sp.ts, b.close AS c0, b.spot AS s0,
+  SELECT o.*, h.horizon, h.eod, sp.ts, b.close AS c0, b.spot AS s0, b.delta AS d0,
     CASE WHEN sp.ts = o.entry_ts THEN b.close ELSE greatest(b.high, b.close) END AS h0,
     CASE WHEN sp.ts = o.entry_ts THEN b.close ELSE least(b.low, b.close) END AS l0,
     (b.close - o.entry_price)*sgn*qty AS p0
   FROM opened o JOIN hz h ON h.run_id=o.run_id AND h.symbol=o.symbol AND h.entry_ts=o.entry_ts
   JOIN spine sp ON sp.symbol = o.symbol AND sp.ts BETWEEN o.entry_ts AND h.horizon
   LEFT JOIN b ON b.symbol = o.symbol AND b.ts = sp.ts AND b.option_type = o.option_type AND b.strike_offset = o.held_offset),
-g1 AS (
-  SELECT *, last_value(c0 IGNORE NULLS) OVER w AS cl, last_value(s0 IGNORE NULLS) OVER w AS sp1,
+mk1 AS (
+  SELECT *, last_value(c0 IGNORE NULLS) OVER w AS cl, last_value(s0 IGNORE NULLS) OVER w AS sp1, last_value(d0 IGNORE NULLS) OVER w AS dl1,
     CASE WHEN sgn < 0 THEN last_value(h0 IGNORE NULLS) OVER w ELSE last_value(l0 IGNORE NULLS) OVER w END AS worst,
     CASE WHEN sgn < 0 THEN last_value(l0 IGNORE NULLS) OVER w ELSE last_value(h0 IGNORE NULLS) OVER w END AS best,
     last_value(p0 IGNORE NULLS) OVER w AS pnl, count(c0) OVER w AS held,
     min(CASE WHEN trail_sl_enabled AND entry_price > 0 AND p0/(entry_price*qty)*100 >= trail_sl_activate_at THEN ts END) OVER w AS act
   FROM grid WINDOW w AS (PARTITION BY run_id, symbol, entry_ts, leg_no ORDER BY ts)),
-g2 AS (SELECT *, max(CASE WHEN ts >= act THEN p0 END) OVER (PARTITION BY run_id, symbol, entry_ts, leg_no ORDER BY ts) AS hw FROM g1),
-g3 AS (
+mk2 AS (SELECT *, max(CASE WHEN ts >= act THEN p0 END) OVER (PARTITION BY run_id, symbol, entry_ts, leg_no ORDER BY ts) AS hw FROM mk1),
+mk3 AS (
   SELECT *, coalesce(c0 IS NOT NULL AND ts > act AND CASE WHEN trail_sl_mode = 'lock' THEN p0 < hw*trail_sl_lock_in/100
       WHEN trail_sl_unit = 'points' THEN hw - p0 >= trail_sl_value*qty AND trail_sl_value*qty > 0
       ELSE hw - p0 >= hw*trail_sl_value/100 AND hw*trail_sl_value/100 > 0 END, FALSE)
     OR (stop_loss_enabled AND CASE stop_loss_type WHEN 'points' THEN (worst-entry_price)*-sgn >= stop_loss_value
       WHEN 'percent_of_premium' THEN -((worst-entry_price)*sgn)/entry_price*100 >= stop_loss_value
       WHEN 'percent_of_margin' THEN -((worst-entry_price)*sgn)/greatest(3*entry_price, 0.12::DOUBLE*entry_spot)*100 >= stop_loss_value
-      WHEN 'index_points' THEN (sp1-entry_spot)*-sgn >= stop_loss_value ELSE FALSE END) AS slh,
+      WHEN 'index_points' THEN (sp1-entry_spot)*-sgn >= stop_loss_value
+      WHEN 'delta_breach' THEN coalesce(dl1 <> 0 AND abs(dl1) >= stop_loss_value, FALSE) ELSE FALSE END) AS slh,
     (target_profit_enabled AND CASE target_profit_type WHEN 'points' THEN (best-entry_price)*sgn >= target_profit_value
-      WHEN 'percent_of_premium' THEN (best-entry_price)*sgn/entry_price*100 >= target_profit_value ELSE FALSE END) AS tgh FROM g2),
+      WHEN 'percent_of_premium' THEN (best-entry_price)*sgn/entry_price*100 >= target_profit_value ELSE FALSE END) AS tgh FROM mk2),
 pb AS (
   SELECT run_id, symbol, entry_ts, ts, max(horizon) AS horizon, bool_or(eod) AS eod, bool_or(slh) AS slh, bool_or(tgh) AS tgh,
     sum(pnl ORDER BY leg_no) AS upnl, sum(entry_price*qty ORDER BY leg_no) AS prem, any_value(overall_sl_enabled) AS oe, any_value(overall_sl_type) AS ot, any_value(overall_sl_value) AS ov,
     any_value(overall_target_enabled) AS te, any_value(overall_target_type) AS tt, any_value(overall_target_value) AS tv
-  FROM g3 GROUP BY run_id, symbol, entry_ts, ts),
+  FROM mk3 GROUP BY run_id, symbol, entry_ts, ts),
 flagged AS (
   SELECT *, CASE WHEN slh THEN 'stop_loss'
     WHEN oe AND CASE ot WHEN 'percent_of_premium' THEN -upnl/prem*100 >= ov WHEN 'points' THEN -upnl >= ov WHEN 'combined_premium' THEN -upnl >= ov ELSE FALSE END THEN 'combined_sl'
@@ -192,7 +196,7 @@ taken AS (
 fills AS (
   SELECT g.*, t.exit_ts, t.reason, CASE WHEN t.reason = 'stop_loss' AND stop_loss_type IN ('points','percent_of_premium','percent_of_margin') THEN worst
       WHEN t.reason = 'target' THEN best ELSE cl END AS raw_exit
-  FROM g3 g JOIN taken t ON g.run_id=t.run_id AND g.symbol=t.symbol AND g.entry_ts=t.entry_ts AND g.ts=t.exit_ts),
+  FROM mk3 g JOIN taken t ON g.run_id=t.run_id AND g.symbol=t.symbol AND g.entry_ts=t.entry_ts AND g.ts=t.exit_ts),
 f2 AS (
   SELECT *, CASE slippage_model WHEN 'fixed_pts' THEN CASE WHEN position = 'buy' THEN greatest(raw_exit - slippage_value, 0.01::DOUBLE) ELSE raw_exit + slippage_value END
       WHEN 'percent' THEN CASE WHEN position = 'buy' THEN raw_exit*(1-slippage_value/100) ELSE raw_exit*(1+slippage_value/100) END ELSE raw_exit END AS exit_price,
@@ -206,9 +210,21 @@ f3 AS (
 tr AS (SELECT *, pnl_gross - brokerage - stt - other_charges AS pnl_net FROM f3)"""
 
 
-def replay_sql(configs, select):
-    # Hand-placed RECURSIVE: only ``taken`` refers to itself.
-    return f"WITH RECURSIVE {BARS_SQL}, {config_sql(configs)}, {OPEN_SQL}, {MARKS_SQL}\n{select}"
+def replay_sql(configs, select, b=PLAIN_B, config=None):
+    # Only ``taken`` refers to itself.
+    return f"WITH RECURSIVE {BARS_SQL}, {b}, {config or config_sql(configs)}, {OPEN_SQL}, {MARKS_SQL}\n{select}"
+
+
+def sweep_config_sql(conf, grid):
+    """Runs and legs of one strategy under a grid CTE ``g(i, sl, tv, so, lots)``."""
+    flat = {k: v for k, v in conf.items() if k not in ("legs", "overall", "underlying")}
+    run = {**RUN_DEFAULTS, **flat, **conf.get("overall", {}), "symbol": ""}
+    legs = [{**LEG_DEFAULTS, **one, "run_id": conf["run_id"], "leg_no": no} for no, one in enumerate(conf["legs"])]
+    return f"""{grid}, {_values('base_runs', RUNS, [run])}, {_values('base_legs', LEGS, legs)},
+runs0 AS (SELECT r.* REPLACE (r.run_id || '#' || i AS run_id, tv AS overall_target_value, TRUE AS overall_target_enabled) FROM base_runs r, g),
+legs AS (SELECT l.* REPLACE (l.run_id || '#' || i AS run_id, sl AS stop_loss_value, so AS strike_offset, g.lots AS lots) FROM base_legs l, g),
+symbols AS (SELECT DISTINCT symbol FROM bars),
+runs AS (SELECT r.* EXCLUDE (symbol), s.symbol FROM runs0 r, symbols s)"""
 
 
 EXITS_SELECT = """SELECT run_id || '@' || symbol AS run_id, CAST(leg_no AS BIGINT) AS leg_no, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_at,
@@ -267,7 +283,7 @@ def select_query(spark, sf):
     return text_dates(got.select("run_id", "date", "time", "leg_no", "option_type", "held_offset", "raw_price", "entry_spot"))
 
 
-SELECT_SQL = f"""WITH {BARS_SQL}, {config_sql(SELECTION)}, {OPEN_SQL}
+SELECT_SQL = f"""WITH {BARS_SQL}, {PLAIN_B}, {config_sql(SELECTION)}, {OPEN_SQL}
 SELECT run_id || '@' || symbol AS run_id, strftime(entry_ts, '%Y-%m-%d') AS date, strftime(entry_ts, '%H:%M:%S') AS time, CAST(leg_no AS BIGINT) AS leg_no,
   option_type, CAST(held_offset AS BIGINT) AS held_offset, round(raw_price,6) AS raw_price, round(entry_spot,6) AS entry_spot FROM opened"""
 
@@ -280,9 +296,9 @@ def marks_query(spark, sf):
     return text_dates(m.select("run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("ts").alias("at"), "close", "worst", "best", "spot", "pnl"), {"pnl": 4})
 
 
-MARKS_SELECT = f"""WITH RECURSIVE {BARS_SQL}, {config_sql(SELECTION)}, {OPEN_SQL}, {MARKS_SQL}
+MARKS_SELECT = f"""WITH RECURSIVE {BARS_SQL}, {PLAIN_B}, {config_sql(SELECTION)}, {OPEN_SQL}, {MARKS_SQL}
 SELECT run_id || '@' || symbol AS run_id, CAST(leg_no AS BIGINT) AS leg_no, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at,
-  c0 AS close, worst, best, round(s0,6) AS spot, round(p0,4) AS pnl FROM g3 WHERE c0 IS NOT NULL"""
+  c0 AS close, worst, best, round(s0,6) AS spot, round(p0,4) AS pnl FROM mk3 WHERE c0 IS NOT NULL"""
 
 
 def equity_query(spark, sf):

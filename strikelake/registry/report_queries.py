@@ -20,7 +20,7 @@ from ..sources import results
 from .inputs import BARS_SQL, CAPITAL, SERIES_SQL, TRADES_SQL, bars, run_table, table, text_dates, trades
 from .metric_queries import RUN_METRICS_SQL
 from .replay_queries import (
-    BUY, EQUITY_SELECT, frames, leg, replay_sql, sl, strategy, target,
+    BUY, EQUITY_SELECT, frames, leg, replay_sql, sl, strategy, sweep_config_sql, target,
 )
 from .signal_queries import _attributed, _ATTR
 
@@ -384,9 +384,17 @@ SELECT run_id, round(sharpe_ratio,5)+0.0 AS sharpe_ratio, round(total_pnl_net,4)
 
 
 def wide_sweep(spark, sf):
-    """720 combinations per symbol in one plan; best 100."""
-    top = SW.top_combos(_sweep(spark, sf, WIDE), 100)
-    return text_dates(top.select("base_run_id", "combo_index", *SW.MEASURES))
+    """720 combinations per symbol in one plan, all results."""
+    m = _sweep(spark, sf, WIDE)
+    return text_dates(m.select("run_id", *SW.MEASURES), {"total_pnl_net": 4}, 5)
+
+
+_WIDE_GRID = """g AS (SELECT (a*9+b)*8 + c*2 + d AS i, 10.0::DOUBLE+10*a AS sl, 10.0::DOUBLE+10*b AS tv, CAST(c-1 AS INT) AS so, CAST(1+d AS INT) AS lots
+  FROM range(10) x(a), range(9) y(b), range(4) z(c), range(2) w(d))"""
+
+WIDE_SQL = replay_sql(None, _SWEEP_TAIL + """
+SELECT run_id, round(sharpe_ratio,5)+0.0 AS sharpe_ratio, round(total_pnl_net,4) AS total_pnl_net, round(max_drawdown_pct,5)+0.0 AS max_drawdown_pct, total_trades, round(win_rate_pct,5) AS win_rate_pct,
+  round(profit_factor,5) AS profit_factor, round(cagr,5)+0.0 AS cagr FROM re""", config=sweep_config_sql(SWEPT[0], _WIDE_GRID))
 
 
 def heatmap(spark, sf):
@@ -597,7 +605,7 @@ ENTRIES = {
     "J06_wf_summary": (wf_summary, WF_SUMMARY_SQL),
     "C08_H12_H13_param_grid": (param_grid, GRID_PARAMS_SQL),
     "J07_J08_G02_param_sweep": (param_sweep, SWEEP_SQL),
-    "J07_sweep_720": (wide_sweep, None),
+    "J07_sweep_720": (wide_sweep, WIDE_SQL),
     "A08_H14_sweep_json": (sweep_json, SWEEP_JSON_SQL),
     "M02_C10_F12_combined_equity": (combined_equity, COMBINED_SQL),
     "M03_C13_correlation_matrix": (correlation_matrix, CORRELATION_SQL),

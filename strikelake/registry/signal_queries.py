@@ -11,7 +11,7 @@ from ..operators.surface import iv_at, iv_surface
 from ..plans import replay as R
 from ..session import cut_lineage
 from .inputs import BARS_SQL, TRADES_SQL, bars, text_dates, trades
-from .replay_queries import MARKS_SQL, OPEN_SQL, SELECTION, _stamp, config_sql, frames, leg, sl, strategy
+from .replay_queries import EXITS_SELECT, _stamp, frames, leg, replay_sql, sl, strategy
 
 SPINE_CTE = f"""{BARS_SQL}, spine0 AS (SELECT symbol, date, time, min_by(spot, (strike_offset, option_type)) AS spot FROM bars GROUP BY ALL),
 spine AS (SELECT *, row_number() OVER w AS ord, spot - lag(spot) OVER w AS chg FROM spine0 WINDOW w AS (PARTITION BY symbol ORDER BY date, time))"""
@@ -223,7 +223,16 @@ DELTA_RUN = [
 def delta_selection(spark, sf):
     b, runs, legs = frames(spark, sf, DELTA_RUN)
     t = R.replay(_priced_bars(b), runs, legs).trades
-    return text_dates(t.select("run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("exit_ts").alias("exit_at"), "held_offset", "exit_reason", "pnl_net"))
+    out = ["run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("exit_ts").alias("exit_at"), "held_offset", "exit_reason", "bars_held"]
+    return text_dates(t.select(*out, "entry_price", "exit_price", "pnl_gross"), {"pnl_gross": 4})
+
+
+_DELTA_B = f"""src AS (SELECT *, CAST(7 - day(date) % 7 AS DOUBLE) AS dte FROM bars WHERE iv > 0),
+{greeks_sql('src', 'spot', 'strike', 'dte/365.25::DOUBLE', 'iv')},
+b AS (SELECT x.*, CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS ts, coalesce(g4.delta, 0) AS delta
+  FROM bars x LEFT JOIN (SELECT symbol, date, time, option_type, strike_offset, delta FROM g4) g4 USING (symbol, date, time, option_type, strike_offset))"""
+
+DELTA_SQL = replay_sql(DELTA_RUN, EXITS_SELECT, _DELTA_B)
 
 
 ENTRIES = {
@@ -238,5 +247,5 @@ ENTRIES = {
     "I08_attribution_summary": (attribution_summary, ATTR_SUMMARY_SQL),
     "H07_iv_surface_points": (surface_points, SURFACE_SQL),
     "H07_iv_at_offsets": (surface_values, None),
-    "C04_D09_delta_legs": (delta_selection, None),
+    "C04_D09_delta_legs": (delta_selection, DELTA_SQL),
 }
