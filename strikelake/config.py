@@ -6,7 +6,9 @@ that is silently dropped changes results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as S
 
@@ -46,8 +48,8 @@ def _check_words(given: dict, what: str) -> None:
             raise ValueError(f"{what}: {field}={value!r} is not one of {sorted(allowed)}")
 
 
-def strategy_frames(spark: SparkSession, configs: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """One dictionary per run: run fields, plus ``legs`` and optionally ``overall``."""
+def strategy_rows(configs: list[dict]) -> tuple[list[list], list[list]]:
+    """Checked rows of the ``runs`` and ``legs`` tables, one dictionary per run."""
     runs, legs = [], []
     for conf in configs:
         run = {k: v for k, v in conf.items() if k not in ("legs", "overall")}
@@ -64,26 +66,31 @@ def strategy_frames(spark: SparkSession, configs: list[dict]) -> tuple[DataFrame
             leg["option_type"] = str(leg.get("option_type", "")).upper()
             _check_words(leg, f"{what} leg {no}")
             legs.append(_row(leg, S.LEGS, S.LEG_DEFAULTS, f"{what} leg {no}"))
+    return runs, legs
+
+
+def strategy_frames(spark: SparkSession, configs: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """``runs`` and ``legs`` tables from dictionaries: run fields, ``legs`` and optionally ``overall``."""
+    runs, legs = strategy_rows(configs)
     return spark.createDataFrame(runs, S.RUNS), spark.createDataFrame(legs, S.LEGS)
 
 
-def per_symbol(runs: DataFrame, legs: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fan every strategy out to every symbol present; run ids become ``strategy@symbol``."""
-    from pyspark.sql import functions as F
-
-    listed = symbols.select("symbol").distinct()
-    strategies = runs.drop("symbol").withColumnRenamed("run_id", "_strategy")
-    packed = strategies.agg(F.collect_list(F.struct(*strategies.columns)).alias("_all"))
-    fanned = (
-        listed.withColumn("_one", F.lit(1))
-        .join(packed.withColumn("_one", F.lit(1)), "_one")
-        .select("symbol", F.explode("_all").alias("_s"))
-        .select("symbol", "_s.*")
-        .withColumn("run_id", F.concat_ws("@", "_strategy", "symbol"))
-    )
-    spread_legs = (
-        fanned.select("run_id", "_strategy")
-        .join(legs.withColumnRenamed("run_id", "_strategy"), "_strategy")
-        .select(*legs.columns)
-    )
-    return fanned.select(*runs.columns), spread_legs
+def literals(row: list, schema: T.StructType) -> list[Column]:
+    """One configuration row as constant columns."""
+    return [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]
+
+
+def per_symbol(configs: list[dict], symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every strategy for every symbol present; run ids become ``strategy@symbol``.
+
+    The strategies travel as a constant array that each symbol's row unfolds.
+    """
+    runs, legs = strategy_rows(configs)
+    every = F.array(*[F.struct(*literals(r, S.RUNS)) for r in runs])
+    fanned = symbols.select("symbol").distinct().select(F.col("symbol").alias("_symbol"), F.explode(every).alias("_r"))
+    fanned = fanned.select("_symbol", "_r.*").withColumn("symbol", F.col("_symbol")).withColumnRenamed("run_id", "_strategy")
+    fanned = fanned.withColumn("run_id", F.concat_ws("@", "_strategy", "_symbol"))
+    leg_table = symbols.sparkSession.createDataFrame(legs, S.LEGS).withColumnRenamed("run_id", "_strategy")
+    spread = fanned.select("run_id", "_strategy").join(leg_table, "_strategy")
+    names = [f.name for f in S.LEGS.fields]
+    return fanned.select(*[f.name for f in S.RUNS.fields]), spread.select(*names)

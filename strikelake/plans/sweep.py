@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import metrics as M
 from . import replay as R
 
@@ -84,7 +85,9 @@ def sweep_metrics(bars: DataFrame, runs: DataFrame, legs: DataFrame, ranges: lis
     done = R.replay(bars, many.drop("base_run_id", "combo_index", "params"), many_legs)
     span = done.spine.groupBy("symbol").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
     table = many.select("run_id", "symbol", "capital").join(span, "symbol")
-    m = M.run_metrics(done.trades, done.daily_equity(), table, R.TRADE_ORDER)
+    trades = cut_lineage(done.trades)
+    daily = R.daily_equity_of(done.spine, done.runs, done.marks, trades)
+    m = M.run_metrics(trades, daily, table, R.TRADE_ORDER)
     return many.select("run_id", "base_run_id", "combo_index", "params").join(m, "run_id")
 
 

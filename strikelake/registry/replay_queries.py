@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import per_symbol, strategy_frames
+from ..config import per_symbol
 from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, with_ordinals
 from ..plans import replay as R
 from ..session import cut_lineage
@@ -89,8 +89,7 @@ REENTRY = [
 
 def frames(spark, sf, configs):
     b = cut_lineage(bars(spark, sf))
-    runs, legs = strategy_frames(spark, configs)
-    runs, legs = per_symbol(runs, legs, cut_lineage(b.select("symbol").distinct()))
+    runs, legs = per_symbol(configs, cut_lineage(b.select("symbol").distinct()))
     return b, runs, legs
 
 

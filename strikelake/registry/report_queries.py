@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import strategy_frames
+from ..config import per_symbol
 from ..functions import pricing as P
 from ..functions import values
 from ..operators.contracts import bar_spine
@@ -334,10 +334,7 @@ WIDE = [
 def param_grid(spark, sf):
     """The grid crossed with the symbols that the events give."""
     b = bars(spark, sf).select("symbol").distinct()
-    runs, legs = strategy_frames(spark, SWEPT)
-    from ..config import per_symbol
-
-    runs, legs = per_symbol(runs, legs, b)
+    runs, legs = per_symbol(SWEPT, b)
     many, many_legs = SW.apply_overrides(runs, legs, WIDE)
     j = many.join(many_legs.where("leg_no = 0").select("run_id", "stop_loss_value", "strike_offset", "lots"), "run_id")
     return text_dates(j.select("run_id", "combo_index", "overall_target_enabled", "overall_target_value", "stop_loss_value", "strike_offset", "lots", F.to_json("params").alias("params")))

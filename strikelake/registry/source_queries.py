@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import calendars
+from .. import schemas as S
+from ..config import literals, strategy_rows
 from ..functions import clock, values
 from ..operators import asof
 from ..plans import metrics as M
@@ -20,7 +22,7 @@ from .metric_queries import RUN_METRICS_SQL
 from .replay_queries import (
     leg, sl, strategy,
 )
-from ..config import strategy_frames
+
 
 START, END = dt.date(2024, 1, 6), dt.date(2024, 1, 24)
 
@@ -392,11 +394,11 @@ def validate_strategies(spark, sf):
     """Configurations spread over parts: each part perturbs one rule."""
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("run_id"), (F.col("p_partkey") % 13).alias("k"))
     k = F.col("k")
-    runs, legs = strategy_frames(spark, [strategy("x", [leg("CE", **sl("points", 5))])])
-    runs = p.select("run_id", "k", F.lit(1).alias("_j")).join(runs.drop("run_id").withColumn("_j", F.lit(1)), "_j").withColumns(
+    (run,), (one,) = strategy_rows([strategy("x", [leg("CE", **sl("points", 5))])])
+    runs = p.select(*literals(run, S.RUNS)[1:], "run_id", "k").withColumns(
         {"capital": F.when(k == 1, 0.0).otherwise(F.col("capital")), "entry_time": F.when(k == 2, F.col("exit_time")).otherwise(F.col("entry_time")), "overall_sl_enabled": k == 3}
     )
-    legs = p.where("k <> 4").withColumn("_j", F.lit(1)).join(legs.drop("run_id").withColumn("_j", F.lit(1)), "_j").withColumns(
+    legs = p.where("k <> 4").select(*literals(one, S.LEGS)[1:], "run_id", "k").withColumns(
         {
             "lots": F.when(k == 5, 0).otherwise(F.col("lots")), "trail_sl_enabled": k.isin(6, 7), "trail_sl_mode": F.when(k == 7, "lock").otherwise("trail"),
             "trail_sl_activate_at": F.when(k == 7, 5.0).otherwise(0.0), "stop_loss_value": F.when(k == 8, 0.0).otherwise(5.0), "target_profit_enabled": k == 9,
