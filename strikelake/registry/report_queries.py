@@ -10,14 +10,13 @@ from ..functions import values
 from ..operators.contracts import bar_spine
 from ..plans import metrics as M
 from ..plans import portfolio as PF
-from ..plans import replay as R
 from ..plans import reports as RP
 from ..plans import resample as RS
 from ..plans import sweep as SW
 from ..plans import walkforward as WF
 from ..session import cut_lineage
 from ..sources import results
-from .inputs import BARS_SQL, CAPITAL, SERIES_SQL, TRADES_SQL, bars, run_table, table, text_dates, trades
+from .inputs import BARS_SQL, CAPITAL, SERIES_SQL, TRADES_SQL, bars, run_table, text_dates, trades
 from .metric_queries import RUN_METRICS_SQL
 from .replay_queries import (
     BUY, EQUITY_SELECT, frames, leg, replay_sql, sl, strategy, sweep_config_sql, target,

@@ -19,10 +19,7 @@ from ..sources import bars as B
 from ..sources import results as RS
 from .inputs import BARS_SQL, CAPITAL, SERIES_SQL, TRADE_ORDER, TRADES_SQL, bars, table, text_dates, trades
 from .metric_queries import RUN_METRICS_SQL
-from .replay_queries import (
-    leg, sl, strategy,
-)
-
+from .replay_queries import leg, sl, strategy
 
 START, END = dt.date(2024, 1, 6), dt.date(2024, 1, 24)
 
