@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,13 @@ PIECE = re.compile(r"(?<=\S)(?= )")
 #: White space before a space: only then do cuts before every space differ from ``PIECE``.
 CLOSE = re.compile(r"\s ")
 PAIRS = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
-SPACE = re.compile(r"\s")
+#: A run of letters and then one of these characters are tokens of their own, so they encode apart.
+TAIL = ".,;:!?|%$&#*\""
+#: Letters below this one have been letters in every version of Unicode.
+LATIN_END = "\u0250"
+#: Printable bytes stand for themselves in the vocabulary, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
 
 
 def blocks_of(text: str | None, size: int = 500_000) -> Iterator[str]:
@@ -38,26 +45,39 @@ def pieces_of(text: str) -> tuple[str, list[str]]:
     return first, rest if plain else [p[1:] for p in rest]
 
 
+class _Known:
+    """Values by piece. When the young half is full it becomes the old one; pieces met again return."""
+
+    def __init__(self, most: int, longest: int):
+        self.half, self.longest = most // 2, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, fresh: dict[str, bytes]) -> None:
+        if len(self.young) + len(fresh) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
+
+
 class Encoder:
-    """Encodes texts with a ``tokenizers`` file; one for each Python worker.
+    """Encodes texts with a ``tokenizers`` file of a byte-level BPE; one for each Python worker.
 
-    Pieces met before are looked up. At most ``max_pieces`` are remembered, none longer than
-    ``max_length`` characters, and the memory starts afresh when it is full. Null is empty text.
+    Pieces met before are looked up: at most ``max_pieces`` of at most ``max_length`` characters.
+    Null is empty text.
     """
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_length: int = 48):
+    def __init__(self, path: str, max_pieces: int = 1_600_000, max_length: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_pieces, self.max_length = max_pieces, max_length
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_id = line[0] if len(line) == 1 else None
-        self.known: dict[str, bytes] = {}
-        self.known_spans: dict[str, bytes] = {}
+        plain = isinstance(self.tokenizer.model, models.BPE) and self.tokenizer.normalizer is None
+        self.byte_level = plain and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        self.known, self.known_spans = _Known(max_pieces, max_length), _Known(max_pieces, max_length)
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -89,14 +109,18 @@ class Encoder:
             at = int(starts[-1])
         return np.concatenate(parts)
 
-    def _looked_up(self, pieces: list[str], known: dict, encode) -> list[bytes]:
-        values = list(map(known.get, pieces))
+    def _looked_up(self, pieces: list[str], known: _Known, encode) -> list[bytes]:
+        values = list(map(known.young.get, pieces))
         if None in values:
-            fresh = encode(list({p for p, v in zip(pieces, values) if v is None}))
+            fresh, new = {}, []
+            for p in {p for p, v in zip(pieces, values) if v is None}:
+                if (value := known.old.get(p)) is None:
+                    new.append(p)
+                else:
+                    fresh[p] = value
+            fresh |= encode(new)
             values = [fresh[p] if v is None else v for p, v in zip(pieces, values)]
-            if len(known) + len(fresh) > self.max_pieces:
-                known.clear()
-            known.update((p, v) for p, v in fresh.items() if len(p) <= self.max_length)
+            known.add(fresh)
         return values
 
     def _ids_of(self, piece: str) -> bytes:
@@ -106,23 +130,25 @@ class Encoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, "<i4").tobytes()
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece and its space. Pieces are encoded many at a time as the lines of one
-        text: a line break before a piece is a token of its own, since a space follows it."""
-        lines, out = [], {}
+        """Ids of each piece and its space."""
+        out, young, tokenize = {}, self.known.young, self.tokenizer.model.tokenize
         for p in pieces:
-            if p and self.line_id is not None and not SPACE.search(p):
-                lines.append(p)
-            else:
+            core = p.rstrip(TAIL)
+            if not (self.byte_level and core.isalpha() and max(core) < LATIN_END):
                 out[p] = self._ids_of(" " + p)
-        for at in range(0, len(lines), 512):
-            some = lines[at : at + 512]
-            (coded,) = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line_id), len(ids)) * 4
-            flat, begin = ids.tobytes(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                out[p] = flat[begin:end]
-                begin = end + 4
+                continue
+            ids = young.get(core) if len(core) < len(p) else None
+            if ids is None:
+                tokens = tokenize("".join(map(BYTES.get, (" " + core).encode())))
+                ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            if len(core) < len(p):
+                tail = p[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._ids_of(tail)
+                ids += self.tails[tail]
+            out[p] = ids
+        if len(self.tails) > 10_000:
+            self.tails = {}
         return out
 
     def _encode_spans(self, pieces: list[str]) -> dict[str, bytes]:
