@@ -13,11 +13,17 @@ from .codes import read_documents, write_tokens
 from .decontaminate import CONTAMINATION_SQL, contamination
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix
+from .search import top_k
 from .shards import interleaved_shards
+from .simhash import near_duplicates
+from .token_counts import section_tokens
 
 #: The vocabulary file is the caller's to name; it is not part of this repository.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: White space after the end of a sentence: the next word's token starts with it, and so crosses.
+SENTENCE_END = r"(?<=[.!?])\s+|\n"
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -44,10 +50,35 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
 
 
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return section_tokens(table(spark, sf, "documents"), TOKENIZER, separator=SENTENCE_END, rule="most")
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -81,5 +112,8 @@ ENTRIES = {
     "op2_interleaved_shards": (op2_interleaved_shards, None),
     "op3_licenses": (op3_licenses, scan_sql()),
     "op4_decontamination": (op4_decontamination, CONTAMINATION_SQL),
+    "op6_simhash": (op6_simhash, None),
+    "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, MIX_SQL),
+    "op9_top_k": (op9_top_k, TOP_K_SQL),
 }

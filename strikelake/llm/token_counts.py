@@ -49,7 +49,11 @@ def attribute(spans: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nd
         inside = np.ones(len(first), bool)
         inside[over] = False
         counts += np.bincount(first[inside], minlength=n)
-        for t in over.tolist():
+        two = over[last[over] == first[over] + 1]
+        ahead, past = ends[first[two]] - begin[two], end[two] - ends[first[two]]
+        kept = ahead / (ahead + past) if rule == "share" else (ahead >= past).astype(float)
+        counts += np.bincount(first[two], kept, minlength=n) + np.bincount(last[two], 1 - kept, minlength=n)
+        for t in over[last[over] > first[over] + 1].tolist():
             held = np.arange(first[t], last[t] + 1)
             chars = np.minimum(ends[held], end[t]) - np.maximum(sections[held, 0], begin[t])
             if rule == "share":
