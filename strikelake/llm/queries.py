@@ -13,10 +13,13 @@ from .codes import read_documents, write_tokens
 from .decontaminate import CONTAMINATION_SQL, contamination
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix
+from .quality import quality_scores
 from .search import top_k
 from .shards import interleaved_shards
+from .shared import fold_of
 from .simhash import near_duplicates
 from .token_counts import section_tokens
+from .toxicity import toxicity_scores
 
 #: The vocabulary file is the caller's to name; it is not part of this repository.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +53,19 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
 
 
+def _judged(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), 5, 0), 5, 0)
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,11 +83,15 @@ def op9_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), 3, 1), 3, 1)
+
+
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
@@ -112,8 +132,10 @@ ENTRIES = {
     "op2_interleaved_shards": (op2_interleaved_shards, None),
     "op3_licenses": (op3_licenses, scan_sql()),
     "op4_decontamination": (op4_decontamination, CONTAMINATION_SQL),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_simhash": (op6_simhash, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, MIX_SQL),
     "op9_top_k": (op9_top_k, TOP_K_SQL),
+    "op10_quality": (op10_quality, None),
 }
