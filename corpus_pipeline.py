@@ -11,9 +11,21 @@ from strikelake.llm.codes import read_documents, write_tokens
 from strikelake.llm.decontaminate import uncontaminated
 from strikelake.llm.mixing import mixed_documents
 from strikelake.llm.queries import TOKENIZER, table
+from strikelake.llm.simhash import one_of_each
+from strikelake.llm.toxicity import not_toxic
 from strikelake.session import cut_lineage, shared_folder
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted to their labels, does not reject."""
+    return not_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies, the one with the smallest id."""
+    return one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -32,6 +44,8 @@ def token_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing),
     ("token_codes", token_codes),
