@@ -73,7 +73,8 @@ def best_of_block(queries: Block, rows: Block, k: int) -> tuple[np.ndarray, np.n
             found = scores[alive]
         else:
             mine = [int(v) for v in queries.vectors[q]]
-            found = np.array([sum(int(a) * b for a, b in zip(rows.vectors[r], mine)) for r in alive], dtype=object)
+            sums = [sum(int(a) * b for a, b in zip(rows.vectors[r], mine)) for r in alive]
+            found = np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums], dtype=object)
         order = sorted(range(len(alive)), key=lambda i: (-found[i], rows.ids[alive[i]])) if len(alive) <= 4 * k else None
         if order is None:
             cut = np.partition(found, len(found) - k)[len(found) - k] if exact else sorted(found)[-k]
@@ -81,12 +82,13 @@ def best_of_block(queries: Block, rows: Block, k: int) -> tuple[np.ndarray, np.n
         for i in order[:k]:
             out_q.append(queries.ids[q])
             out_r.append(rows.ids[alive[i]])
-            out_s.append(max(-(2**63), min(2**63 - 1, int(found[i]))))
+            out_s.append(int(found[i]))
     return np.array(out_q, np.int64), np.array(out_r, np.int64), np.array(out_s, np.int64)
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in values]) if len(values) else np.zeros((0, 0))
+def _matrix(values: pd.Series, scale: int) -> np.ndarray:
+    """Components as whole numbers, held as doubles; beyond the range of doubles they stand at its limit."""
+    return np.nan_to_num(np.floor(scale * np.stack([np.asarray(v, np.float64) for v in values])))
 
 
 def top_k(
@@ -107,9 +109,8 @@ def top_k(
     clean = F.size("embedding") > 0
     for bad in (lambda x: x.isNull(), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))):
         clean = clean & ~F.coalesce(F.exists(F.col("embedding").cast("array<double>"), bad), F.lit(False))
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & clean).select(
-        F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
     rows = rows.groupBy("vec_id").agg(F.min("x").alias("x"), F.max("asks").alias("asks"))
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
@@ -132,7 +133,7 @@ def top_k(
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        block = [Block(f["vec_id"].to_numpy(np.int64), _matrix(f["x"])) for f in (queries, candidates)]
+        block = [Block(f["vec_id"].to_numpy(np.int64), _matrix(f["x"], scale)) for f in (queries, candidates)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), best_of_block(*block, k))))
 
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
