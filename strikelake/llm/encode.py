@@ -68,7 +68,7 @@ class Encoder:
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, max_pieces: int = 1_600_000, max_length: int = 48):
+    def __init__(self, path: str, max_pieces: int = 800_000, max_length: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -78,6 +78,7 @@ class Encoder:
         self.byte_level = plain and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         self.known, self.known_spans = _Known(max_pieces, max_length), _Known(max_pieces, max_length)
         self.tails: dict[str, bytes] = {}
+        self.tail_spans: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -152,9 +153,29 @@ class Encoder:
         return out
 
     def _encode_spans(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(pieces), 512):
-            some = pieces[at : at + 512]
-            for p, coded in zip(some, self.tokenizer.encode_batch([" " + p for p in some], add_special_tokens=False)):
-                out[p] = np.array(coded.offsets, "<i4").tobytes()
+        """First and last-plus-one character of the tokens of each piece and its space."""
+        out, tokenize = {}, self.tokenizer.model.tokenize
+        for p in pieces:
+            core = p.rstrip(TAIL)
+            if not (self.byte_level and core.isalpha() and max(core) < LATIN_END):
+                out[p] = self._spans_of(" " + p)
+                continue
+            # A token's text has one character for each of its bytes.
+            shown, at, spans = " " + core, 0, []
+            holder = None if core.isascii() else [i for i, c in enumerate(shown) for _ in c.encode()]
+            for token in tokenize("".join(map(BYTES.get, shown.encode()))):
+                end = at + len(token.value)
+                spans += (at, end) if holder is None else (holder[at], holder[end - 1] + 1)
+                at = end
+            if len(core) < len(p):
+                tail = np.frombuffer(self._tail_spans(p[len(core) :]), "<i4") + len(shown)
+                spans += tail.tolist()
+            out[p] = struct.pack(f"<{len(spans)}i", *spans)
         return out
+
+    def _tail_spans(self, tail: str) -> bytes:
+        if tail not in self.tail_spans:
+            if len(self.tail_spans) > 10_000:
+                self.tail_spans = {}
+            self.tail_spans[tail] = self._spans_of(tail)
+        return self.tail_spans[tail]

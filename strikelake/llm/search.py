@@ -10,13 +10,10 @@ the survivors only. Scores are integers, so ties are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FOUND = "query_id long, vec_id long, score long"
 #: Beyond this, sums of products are no longer exact in double precision.
