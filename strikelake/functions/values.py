@@ -6,16 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _leading(c: Column | str) -> Column:
+    """Double of a number, or of the number a text begins with."""
+    v = F.col(c) if isinstance(c, str) else c
+    begun = F.regexp_extract(v.cast("string"), r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(v.try_cast("double"), begun.try_cast("double"))
+
+
 def safe_num(c: Column | str) -> Column:
-    """Double, or NULL for NaN, infinities, beyond 1e308 and unparsable text."""
-    d = (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    """Double, or NULL for NaN, infinities, beyond 1e308 and text that begins with no number."""
+    d = _leading(c)
     return F.when(F.isnan(d) | (F.abs(d) > F.lit(1e308)), None).otherwise(d)
 
 
 def safe_int(c: Column | str) -> Column:
-    """Integer part, 0 when absent or unparsable."""
-    d = (F.col(c) if isinstance(c, str) else c).try_cast("double")
-    return F.coalesce(d.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Integer part, 0 when absent or when a text begins with no number."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(v.try_cast("bigint"), _leading(c).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def collapse_reason(reason: Column | str) -> Column:

@@ -136,8 +136,18 @@ def margin_admission(positions: DataFrame, portfolios: DataFrame) -> DataFrame:
     asked = p.groupBy("portfolio", "_stretch").agg(F.sum("margin").alias("_asked"))
     p = p.join(asked, ["portfolio", "_stretch"]).join(portfolios.select("portfolio", "total_capital"), "portfolio")
     kept = ["portfolio", "run_id", "entry_ts", "exit_ts", "margin"]
-    free = p.where(c("_asked") <= c("total_capital")).select(
-        *kept, F.lit(True).alias("accepted"), F.lit(None).cast("double").alias("available_margin")
+    # Where everything is accepted, what is held before an entry is all earlier requests less those
+    # that have ended; a position that ends as it starts holds nothing.
+    lasts_on = c("exit_ts") > c("entry_ts")
+    moves = p.where(c("_asked") <= c("total_capital")).select(
+        *kept, "_stretch", "total_capital",
+        F.explode(F.array(F.struct(c("entry_ts").alias("ts"), F.lit(1).alias("side")), F.struct(c("exit_ts").alias("ts"), F.lit(0).alias("side")))).alias("_m"),
+    ).where((c("_m.side") == 1) | lasts_on)
+    held = F.when(lasts_on, F.when(c("_m.side") == 1, c("margin")).otherwise(-c("margin"))).otherwise(0.0)
+    order = Window.partitionBy("portfolio", "_stretch").orderBy("_m.ts", "_m.side", "run_id", "exit_ts", "margin")
+    before = F.coalesce(F.sum(held).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = moves.withColumn("_left", c("total_capital") - before).where(c("_m.side") == 1).select(
+        *kept, F.lit(True).alias("accepted"), c("_left").alias("available_margin")
     )
     item = F.struct("entry_ts", "run_id", "exit_ts", "margin")
     tight = p.where(c("_asked") > c("total_capital")).groupBy("portfolio", "_stretch", "total_capital").agg(

@@ -64,7 +64,7 @@ def open_legs(wanted: DataFrame, runs: DataFrame, legs: DataFrame, bars: DataFra
     terms = legs.drop("option_type", "strike_offset", "expiry", "strike_mode", "delta_target", "premium_target")
     opened = chosen.join(terms, ["run_id", "leg_no"]).join(runs.drop("symbol", "name"), "run_id")
     if lot_rules is not None:
-        opened = lot_size_asof(opened, lot_rules, out="_rule_lot")
+        opened = lot_size_asof(opened, lot_rules, date="date", out="_rule_lot")
         opened = opened.withColumn("lot_size", F.coalesce("lot_size", "_rule_lot")).drop("_rule_lot")
     opened = opened.withColumn("lot_size", F.coalesce("lot_size", F.lit(1)))
     return (

@@ -88,10 +88,11 @@ def check_date_gaps(bars: DataFrame, max_days: int = 5, max_gaps: int = 20) -> D
 
 
 def check_duplicates(bars: DataFrame) -> DataFrame:
-    """Rows beyond the first of each key, within a month file."""
-    month = [F.year("date").alias("_y"), F.month("date").alias("_m")]
+    """Rows beyond the first of each key, within a month file (one for each expiry type)."""
+    kind = [F.col("expiry_type")] if "expiry_type" in bars.columns else []
+    month = [*kind, F.year("date").alias("_y"), F.month("date").alias("_m")]
     keys = bars.groupBy("symbol", *month, *BAR_KEY).agg((F.count(F.lit(1)) - 1).alias("_extra"))
-    files = keys.groupBy("symbol", "_y", "_m").agg(F.sum("_extra").alias("_extra"))
+    files = keys.groupBy("symbol", *kind, "_y", "_m").agg(F.sum("_extra").alias("_extra"))
     d = files.groupBy("symbol").agg(F.sum("_extra").alias("_dup"), F.count_if(F.col("_extra") > 0).alias("_files"))
     return _verdict(d, "duplicates", (F.col("_dup") > 0).cast("int"), F.col("_files"), F.col("_dup"))
 
@@ -109,9 +110,10 @@ def check_iv_coverage(bars: DataFrame, low: float = 95.0, good: float = 99.0, po
 
 
 def spot_jumps(bars: DataFrame, limit: float = 0.10) -> DataFrame:
-    """Adjacent distinct spots of a month that differ by more than ``limit``."""
-    spots = bars.select("symbol", "date", "time", "spot").distinct()
-    w = Window.partitionBy("symbol", F.year("date"), F.month("date")).orderBy("date", "time", "spot")
+    """Adjacent distinct spots of a month file (one for each expiry type) that differ by more than ``limit``."""
+    kind = ["expiry_type"] if "expiry_type" in bars.columns else []
+    spots = bars.select("symbol", *kind, "date", "time", "spot").distinct()
+    w = Window.partitionBy("symbol", *kind, F.year("date"), F.month("date")).orderBy("date", "time", "spot")
     prev = F.lag("spot").over(w)
     s = spots.withColumn("previous", prev)
     change = F.abs(F.col("spot") - F.col("previous")) / F.when(F.col("previous") > 0, F.col("previous"))

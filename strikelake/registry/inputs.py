@@ -17,18 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than the session has cores.
-
-    A large table has many splits and stays as it is; one small file would keep one core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")).select(
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value").select(
         "event_id",
         "value",
         F.round(c("value") * 100).cast("bigint").alias("cents"),
@@ -100,7 +91,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = spread(li).join(o, c("l_orderkey") == c("o_orderkey"))
+    j = li.join(o, c("l_orderkey") == c("o_orderkey"))
     cents = F.round(c("l_extendedprice") * 100).cast("bigint")
     gross: Column = cents * (5 - F.round(c("l_discount") * 100).cast("bigint"))
     fee: Column = c("l_quantity").cast("bigint") * 4000

@@ -16,13 +16,14 @@ PARTITIONS = ["symbol", "expiry_type", "year", "month"]
 CHAIN_ORDER = ["date", "time", "strike_offset", "option_type"]
 
 
-def month_predicate(start: dt.date, end: dt.date) -> Column:
-    """Partition filter equal to the date range; months are not inferred from dates."""
-    slot = F.col("year") * 12 + F.col("month")
-    return (
-        F.col("year").between(start.year, end.year)
-        & slot.between(start.year * 12 + start.month, end.year * 12 + end.month)
-    )
+def month_predicate(start: dt.date | None, end: dt.date | None) -> Column:
+    """Partition filter equal to the date range; months are not inferred from dates. No bound, no filter."""
+    slot, kept = F.col("year") * 12 + F.col("month"), F.lit(True)
+    if start is not None:
+        kept = kept & (F.col("year") >= start.year) & (slot >= start.year * 12 + start.month)
+    if end is not None:
+        kept = kept & (F.col("year") <= end.year) & (slot <= end.year * 12 + end.month)
+    return kept
 
 
 def read_bars(spark: SparkSession, base: str) -> DataFrame:
@@ -41,16 +42,23 @@ def scan_bars(
     base: str,
     symbols: list[str] | None = None,
     expiry_types: list[str] | None = None,
-    start: dt.date = dt.date(2000, 1, 1),
-    end: dt.date = dt.date(2099, 12, 31),
+    start: dt.date | None = None,
+    end: dt.date | None = None,
 ) -> DataFrame:
-    """Bars of the symbols, expiry types and dates; partitions and row groups are pruned."""
+    """Bars of the symbols, expiry types and dates; partitions and row groups are pruned.
+
+    A selection or bound that is not given leaves nothing out.
+    """
     bars = read_bars(spark, base).where(month_predicate(start, end))
     if symbols is not None:
         bars = bars.where(F.col("symbol").isin([s.lower() for s in symbols] + list(symbols)))
     if expiry_types is not None:
         bars = bars.where(F.col("expiry_type").isin(expiry_types))
-    return normalize_bars(bars.where(F.col("date").between(F.lit(start), F.lit(end))))
+    if start is not None:
+        bars = bars.where(F.col("date") >= F.lit(start))
+    if end is not None:
+        bars = bars.where(F.col("date") <= F.lit(end))
+    return normalize_bars(bars)
 
 
 def normalize_bars(bars: DataFrame) -> DataFrame:
@@ -70,7 +78,8 @@ def normalize_bars(bars: DataFrame) -> DataFrame:
         elif f.name not in have:
             col = F.lit(None).cast(f.dataType)
         elif kind in ("long", "integer"):
-            col = F.col(f.name).try_cast("double").try_cast(f.dataType)
+            # Whole numbers go straight, as doubles hold them up to 2^53 only.
+            col = F.coalesce(F.col(f.name).try_cast(f.dataType), F.col(f.name).try_cast("double").try_cast(f.dataType))
         else:
             col = F.col(f.name).try_cast(f.dataType)
         if kind in ("double", "long", "integer"):

@@ -64,8 +64,9 @@ def test_costs(spark):
 
 
 def test_safe_values(spark):
-    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",), ("-Infinity",)], "t string")
-    assert [r[0] for r in df.select(values.safe_num("t")).collect()] == [1.5, None, None, None, None]
+    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",), ("-Infinity",), ("12abc",), ("12.7x",)], "t string")
+    assert [r[0] for r in df.select(values.safe_num("t")).collect()] == [1.5, None, None, None, None, 12.0, 12.7]
+    assert [r[0] for r in df.select(values.safe_int("t")).collect()][-2:] == [12, 12]
     assert [r[0] for r in df.select(values.safe_int("t")).collect()][:3] == [1, 0, 0]
 
 

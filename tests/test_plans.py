@@ -135,6 +135,9 @@ def test_margin_fixture(spark):
     caps = spark.createDataFrame([("p", 100000.0)], "portfolio string, total_capital double")
     got = {r.run_id: (r.accepted, r.available_margin) for r in PF.margin_admission(df, caps).collect()}
     assert got == {"a": (True, 100000.0), "b": (False, 20000.0)}
+    wide = caps.withColumn("total_capital", F.lit(200000.0))
+    got = {r.run_id: (r.accepted, r.available_margin) for r in PF.margin_admission(df, wide).collect()}
+    assert got == {"a": (True, 200000.0), "b": (True, 120000.0)}
     assert PF.peak_margin(PF.margin_timeline(df)).first().peak_margin_used == 130000.0
 
 
