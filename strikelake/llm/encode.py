@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -46,17 +46,19 @@ def pieces_of(text: str) -> tuple[str, list[str]]:
 
 
 class _Known:
-    """Values by piece. When the young half is full it becomes the old one; pieces met again return."""
+    """Values by piece, the first ``most`` met. After as many misses again it starts afresh."""
 
     def __init__(self, most: int, longest: int):
-        self.half, self.longest = most // 2, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.most, self.longest, self.missed = most, longest, 0
+        self.values: dict[str, bytes] = {}
 
     def add(self, fresh: dict[str, bytes]) -> None:
-        if len(self.young) + len(fresh) > self.half:
-            self.old, self.young = self.young, {}
-        self.young.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
+        if len(self.values) < self.most:
+            self.values.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
+            return
+        self.missed += len(fresh)
+        if self.missed > self.most:
+            self.values, self.missed = {}, 0
 
 
 class Encoder:
@@ -68,7 +70,7 @@ class Encoder:
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, max_pieces: int = 800_000, max_length: int = 48):
+    def __init__(self, path: str, max_pieces: int = 1_000_000, max_length: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -111,15 +113,9 @@ class Encoder:
         return np.concatenate(parts)
 
     def _looked_up(self, pieces: list[str], known: _Known, encode) -> list[bytes]:
-        values = list(map(known.young.get, pieces))
+        values = list(map(known.values.get, pieces))
         if None in values:
-            fresh, new = {}, []
-            for p in {p for p, v in zip(pieces, values) if v is None}:
-                if (value := known.old.get(p)) is None:
-                    new.append(p)
-                else:
-                    fresh[p] = value
-            fresh |= encode(new)
+            fresh = encode({p for p, v in zip(pieces, values) if v is None})
             values = [fresh[p] if v is None else v for p, v in zip(pieces, values)]
             known.add(fresh)
         return values
@@ -130,15 +126,15 @@ class Encoder:
     def _spans_of(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, "<i4").tobytes()
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of each piece and its space."""
-        out, young, tokenize = {}, self.known.young, self.tokenizer.model.tokenize
+        out, known, tokenize = {}, self.known.values, self.tokenizer.model.tokenize
         for p in pieces:
             core = p.rstrip(TAIL)
             if not (self.byte_level and core.isalpha() and max(core) < LATIN_END):
                 out[p] = self._ids_of(" " + p)
                 continue
-            ids = young.get(core) if len(core) < len(p) else None
+            ids = known.get(core) if len(core) < len(p) else None
             if ids is None:
                 tokens = tokenize("".join(map(BYTES.get, (" " + core).encode())))
                 ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
@@ -152,7 +148,7 @@ class Encoder:
             self.tails = {}
         return out
 
-    def _encode_spans(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode_spans(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """First and last-plus-one character of the tokens of each piece and its space."""
         out, tokenize = {}, self.tokenizer.model.tokenize
         for p in pieces:
