@@ -17,14 +17,15 @@ def split(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sample.where(part != 0), sample.where(part == 0)
 
 
-def isotonic(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(scored: DataFrame, prior_steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Scores and the share of label 1 at them, never falling, from ``scored`` (raw, label).
 
-    Apply with ``calibrated``. Without rows every score stays as it is, cut to 0 and 1.
+    Apply with ``calibrated``. Beside the rows stand ``prior_steps`` + 1 pseudo-rows, evenly from 0 to 1,
+    whose label is their score: a prior that scores mean what they say. It outweighs a handful of
+    rows, and thousands outweigh it. Without rows every score stays as it is, cut to 0 and 1.
     """
-    rows = scored.select("raw", F.col("label").cast("double").alias("label"))
-    if rows.isEmpty():
-        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    said = scored.sparkSession.range(prior_steps + 1).select((F.col("id") / prior_steps).alias("raw"), (F.col("id") / prior_steps).alias("label"))
+    rows = scored.select("raw", F.col("label").cast("double").alias("label")).unionByName(said)
     model = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="share").fit(rows)
     return model.boundaries.toArray(), model.predictions.toArray()
 
