@@ -70,7 +70,7 @@ class Encoder:
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_length: int = 48):
+    def __init__(self, path: str, max_pieces: int = 400_000, max_length: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
