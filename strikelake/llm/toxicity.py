@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut_lineage
-from .calibration import calibrated, isotonic, split
+from .calibration import calibrated_column, isotonic, split
 from .shared import labelled_sample
 
 #: Insults and slurs on worth or mind, lower case, without accents of their own.
@@ -158,14 +158,8 @@ class ToxicityModel:
         if self.trees is None:
             return rows.withColumn(score, F.lit(self.level))
         packed = rows.select(F.struct("*").alias("row"), array_to_vector(features_column(text, self.lexicon)).alias("features"))
-        raw = vector_to_array("probability")[1]
-        curve = self.curve
-
-        @pandas_udf("double")
-        def calibrate(values: pd.Series) -> pd.Series:
-            return pd.Series(calibrated(values.to_numpy(np.float64), curve))
-
-        return self.trees.transform(packed).select("row.*", calibrate(raw).alias(score))
+        judged = self.trees.transform(packed).select("row", vector_to_array("probability")[1].alias("raw"))
+        return judged.select("row.*", calibrated_column(F.col("raw"), self.curve).alias(score))
 
 
 def train_toxicity(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strikelake.llm import queries as Q
 from strikelake.llm import simhash
+from strikelake.llm.calibration import calibrated, calibrated_column
 from strikelake.llm.codes import Codes, pack, read_documents, tokens_at, write_tokens
 from strikelake.llm.decontaminate import build_index, contamination, proximity_matches, uncontaminated
 from strikelake.llm.encode import Encoder, blocks_of
@@ -404,6 +405,15 @@ def test_classifiers_hold_out(spark, odd_docs, no_docs, score, label, folds, out
     assert score(no_docs, labels.limit(0)).count() == 0
 
 
+def test_calibration_as_expression(spark):
+    raw = [-0.5, 0.0, 0.05, 0.1, 0.3, 0.300001, 0.9, 1.0, 2.0]
+    for curve in (([0.1, 0.3, 0.9], [0.0, 0.25, 1.0]), ([0.4], [0.7]), ([0.0, 1.0], [0.2, 0.2])):
+        curve = tuple(np.array(c) for c in curve)
+        rows = spark.createDataFrame([(v,) for v in raw], "raw double")
+        found = [r[0] for r in rows.select(calibrated_column(F.col("raw"), curve)).collect()]
+        assert np.allclose(found, calibrated(np.array(raw), curve), rtol=0, atol=1e-12)
+
+
 def test_not_toxic_keeps_columns(spark, odd_docs, no_docs):
     insult = [(i, f"you are a worthless idiot and a moron {i}" if i % 2 else f"a calm sentence about number {i}") for i in range(400)]
     docs = spark.createDataFrame([(i, t, "en", "a", 1, "x", "y", "z", "s") for i, t in insult], DOCS)
