@@ -18,6 +18,7 @@ from .search import top_k
 from .shards import interleaved_shards
 from .shared import fold_of
 from .simhash import near_duplicates
+from .spelling import spelling_variants, word_counts
 from .token_counts import section_tokens
 from .toxicity import toxicity_scores
 
@@ -87,6 +88,10 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), 3, 1), 3, 1)
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf, "documents"), typo_every=97))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -138,4 +143,5 @@ ENTRIES = {
     "op8_mixing": (op8_mixing, MIX_SQL),
     "op9_top_k": (op9_top_k, TOP_K_SQL),
     "op10_quality": (op10_quality, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
 }
