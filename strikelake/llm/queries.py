@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .codes import read_documents, write_tokens
+from .conversations import damaged, repair_conversations
 from .decontaminate import CONTAMINATION_SQL, contamination
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix
@@ -92,6 +93,10 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf, "documents"), typo_every=97))
 
 
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf, "conversations")))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -144,4 +149,5 @@ ENTRIES = {
     "op9_top_k": (op9_top_k, TOP_K_SQL),
     "op10_quality": (op10_quality, None),
     "op11_spelling_variants": (op11_spelling_variants, None),
+    "op12_conversation_repair": (op12_conversation_repair, None),
 }
