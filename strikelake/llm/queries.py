@@ -15,6 +15,7 @@ from .decontaminate import CONTAMINATION_SQL, contamination
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix
 from .quality import quality_scores
+from .repeats import without_repeats
 from .search import top_k
 from .shards import interleaved_shards
 from .shared import fold_of
@@ -97,6 +98,10 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf, "conversations")))
 
 
+def op13_repeat_removal(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeats(table(spark, sf, "documents"))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -150,4 +155,5 @@ ENTRIES = {
     "op10_quality": (op10_quality, None),
     "op11_spelling_variants": (op11_spelling_variants, None),
     "op12_conversation_repair": (op12_conversation_repair, None),
+    "op13_repeat_removal": (op13_repeat_removal, None),
 }
