@@ -65,7 +65,8 @@ class Encoder:
     """Encodes texts with a ``tokenizers`` file of a byte-level BPE; one for each Python worker.
 
     Pieces met before are looked up: at most ``max_pieces`` of at most ``max_length`` characters.
-    Null is empty text.
+    Ids are those of the library's own call with ``add_special_tokens=False``: the text of an added
+    token, where it occurs, is that token. Null is empty text.
     """
 
     _by_path: dict[str, Encoder] = {}
@@ -75,9 +76,13 @@ class Encoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         plain = isinstance(self.tokenizer.model, models.BPE) and self.tokenizer.normalizer is None
         self.byte_level = plain and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        # The tokenizer takes its added tokens out of a text before anything else. A cut before a space
+        # does not touch those without white space; with others a text is encoded whole.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        self.byte_level &= not any(t.content.rstrip(TAIL).isalpha() or set(t.content) <= set(TAIL) for t in added)
         self.known, self.known_spans = _Known(max_pieces, max_length), _Known(max_pieces, max_length)
         self.tails: dict[str, bytes] = {}
         self.tail_spans: dict[str, bytes] = {}
@@ -88,11 +93,16 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    @classmethod
+    def release(cls) -> None:
+        """Forget the pieces met: for a worker that goes on with other work."""
+        cls._by_path.clear()
+
     def ids(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
         out = []
-        for block in blocks_of(text):
-            first, rest = pieces_of(block)
+        for block in blocks_of(text) if self.cuts else [text or ""]:
+            first, rest = pieces_of(block) if self.cuts else (block, [])
             out.append(self._ids_of(first))
             out.extend(self._looked_up(rest, self.known, self._encode))
         return b"".join(out)
@@ -103,8 +113,8 @@ class Encoder:
         A token that holds only some bytes of a character spans the whole character.
         """
         parts, at = [np.zeros((0, 2), np.int64)], 0
-        for block in blocks_of(text):
-            first, rest = pieces_of(block)
+        for block in blocks_of(text) if self.cuts else [text or ""]:
+            first, rest = pieces_of(block) if self.cuts else (block, [])
             found = [self._spans_of(first), *self._looked_up(rest, self.known_spans, self._encode_spans)]
             starts = at + np.cumsum([0, len(first), *[len(p) + 1 for p in rest]])
             inside = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)

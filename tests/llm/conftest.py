@@ -4,7 +4,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, key string, shard string"
 
-ODD = ["", None, " ", "  a  b", "a   b\n  c \n\n d\t e  ", "it's  'll ", "ü  é  x", "<|endoftext|> a", "日本 語  語", "don't. a.b. é, ab.,; 12, x1."]
+ODD = ["", None, " ", "  a  b", "a   b\n  c \n\n d\t e  ", "it's  'll ", "ü  é  x", "<|endoftext|> a", "x <|endoftext|> y", "a.<|endoftext|><|endoftext|>b  <|endoftext|>\n <|endoftext", "日本 語  語", "don't. a.b. é, ab.,; 12, x1."]
 
 
 @pytest.fixture(scope="session")
