@@ -17,95 +17,142 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Sentences that name or grant a licence, by label.
+#: Sentences that name or grant a licence and whole licence texts, by label.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0"],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+        the License for the specific language governing permissions and limitations under the License.""",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted "
         "provided that the following conditions are met",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE.""",
     ],
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details. You should have received a copy of the GNU General Public License
+        along with this program. If not, see https://www.gnu.org/licenses/""",
+    ],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ],
     "mit": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 
 
-def _template_words(spark, text: str) -> list[str]:
-    return list(dict.fromkeys(spark.range(1).select(words_of(F.lit(text))).first()[0]))
-
+def _template_words(spark, texts: Sequence[str]) -> list[list[str]]:
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r["words"] for r in rows.select("i", words_of(F.col("text")).alias("words")).orderBy("i").collect()]
 
-def text_blocks(docs: DataFrame, separator: str = "\n", span: int = 64) -> DataFrame:
-    """Blocks of every whole text: doc_id, text_hash, block (from 0), part, words.
 
-    A block is a run between separators; one of more than twice ``span`` words is cut into
-    overlapping parts of twice ``span`` words, so that any ``span`` consecutive words of it stand in
-    one part. Blocks without words are left out.
-    """
-    lines = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", separator)).alias("block", "line")
-    )
-    lines = lines.select("doc_id", "text_hash", "block", words_of(F.col("line")).alias("words")).where("size(words) > 0")
-    n = F.size("words")
-    parts = F.when(n <= 2 * span, F.array("words")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1 - span, F.lit(span)), lambda at: F.slice("words", at + 1, 2 * span))
-    )
-    return lines.select("doc_id", "text_hash", "block", F.posexplode(parts).alias("part", "words"))
+def template_matches(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+    """Text blocks of every whole text that hold at least ``threshold`` of a template's different words.
 
+    A block is as many consecutive words as the template has (the whole text, if it is shorter), line
+    ends and other marks between words do not count. Returns doc_id, text_hash (of the text; rows of
+    one id and text share their matches), label, template (its number), start (in words), containment:
+    for each stretch of the text between multiples of twice the template's length, the first of its
+    best blocks.
 
-def template_matches(
-    docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9, separator: str = "\n"
-) -> DataFrame:
-    """Every (block part, template) where the part holds at least ``threshold`` of the template's words.
-
-    Returns doc_id, text_hash (of the text; rows of one id and text share their matches), block,
-    part, label, containment. The template words, rarest in the corpus first, are one global order.
-    A template of n words needs c = ceil(threshold n) of them, so a match holds one of its first
-    n - c + 1 words (prefix), has c template words at all (length), and enough words after the
-    first common one on both sides (position). Only pairs that pass are counted out in full. The
-    order and the index hold the templates' words alone: their size does not depend on the corpus.
+    The template words, rarest in the corpus first, are one global order. A match of a template of n
+    words holds c = ceil(threshold n) of them, so it holds one of the first n - c + 1 (prefix). Only
+    stretches around such words are looked at; they need c words at all (length), c of which stand in
+    the template from their first common word on (position); in those that pass, every block is
+    counted out. The order and the prefixes hold the templates' words alone: their size does not
+    depend on the corpus.
     """
     spark = docs.sparkSession
-    known = [(label, _template_words(spark, t)) for label, texts in templates.items() for t in texts]
-    vocabulary = sorted({w for _, words in known for w in words})
-    if not vocabulary:
-        raise ValueError("templates without words")
+    named = [(label, text) for label, texts in templates.items() for text in texts]
+    split = _template_words(spark, [text for _, text in named])
+    if not all(split):
+        raise ValueError("a template without words")
+    vocabulary = sorted({w for words in split for w in words})
     counted = docs.select(F.explode(F.array_intersect(_strings(vocabulary), words_of(F.col("text")))).alias("word"))
     counts = {r["word"]: r["count"] for r in counted.groupBy("word").count().collect()}
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-
-    index = []
-    for label, words in known:
-        words = sorted(words, key=rank.__getitem__)
-        need = math.ceil(threshold * len(words) - 1e-9)
-        for place in range(len(words) - need + 1):
-            index.append(
-                F.struct(
-                    F.lit(words[place]).alias("word"), F.lit(label).alias("label"), F.lit(place).alias("place"),
-                    F.lit(need).alias("need"), _strings(words).alias("template"),
-                )
-            )
-    index = spark.range(1).select(F.explode(F.array(*index)).alias("t")).select("t.*")
-
-    blocks = text_blocks(docs, separator).select(
-        "doc_id", "text_hash", "block", "part", F.array_intersect(_strings(order), F.col("words")).alias("held")
-    )
-    least = min(math.ceil(threshold * len(words) - 1e-9) for _, words in known)
-    probes = blocks.where(F.size("held") >= least).select("*", F.posexplode("held").alias("at", "word"))
-    left = F.least(F.size("template") - F.col("place"), F.size("held") - F.col("at"))
-    pairs = probes.join(index, "word").where(left >= F.col("need"))
-    common = F.array_intersect("template", "held")
-    pairs = pairs.withColumn("common", common).where((F.size("common") >= F.col("need")) & (F.col("common")[0] == F.col("word")))
-    share = F.size("common") / F.size("template")
-    return pairs.select("doc_id", "text_hash", "block", "part", "label", share.alias("containment"))
+
+    index, leading = [], set()
+    for number, ((label, _), words) in enumerate(zip(named, split)):
+        order = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
+        need = math.ceil(threshold * len(order) - 1e-9)
+        first = order[: len(order) - need + 1]
+        leading.update(first)
+        index.append(
+            F.struct(
+                F.lit(label).alias("label"), F.lit(number).alias("template"), F.lit(len(words)).alias("length"), F.lit(need).alias("need"),
+                _strings(first).alias("first"), _strings(order).alias("words"),
+            )
+        )
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    rows = rows.withColumn("met", F.array_intersect(_strings(sorted(leading)), F.col("words"))).where(F.size("met") > 0)
+    asked = F.explode(F.filter(F.array(*index), lambda t: F.arrays_overlap(t["first"], F.col("met")))).alias("t")
+    rows = rows.select("doc_id", "text_hash", "words", "met", asked)
+    words, span = F.col("words"), F.col("t.length")
+    here = F.array_intersect("met", F.col("t.first"))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(here, F.get(words, i)))
+    stretches = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p / span).cast("int"), F.floor(p / span).cast("int") - 1))))
+    rows = rows.select("doc_id", "text_hash", "words", "t", F.explode(F.filter(stretches, lambda b: b >= 0)).alias("stretch"))
+    rows = rows.select("doc_id", "text_hash", "t", "stretch", F.slice(words, F.col("stretch") * span + 1, 2 * span).alias("words"))
+    held = F.array_intersect("t.words", "words")
+    rows = rows.select("*", held.alias("held")).where(F.size("held") >= F.col("t.need"))
+    place = F.array_position("t.words", F.get("held", F.lit(0)))
+    rows = rows.where(F.size("t.words") - place + 1 >= F.col("t.need"))
+
+    def shared(at: Column) -> Column:
+        return F.size(F.array_intersect("t.words", F.slice("words", at + 1, span)))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - span, F.lit(0)))
+    best = F.array_max(F.transform(starts, lambda at: F.struct(shared(at).alias("n"), (-at).alias("before"))))
+    rows = rows.withColumn("best", best).where(F.col("best.n") >= F.col("t.need"))
+    start = F.col("stretch") * span - F.col("best.before")
+    share = F.col("best.n") / F.size("t.words")
+    return rows.select("doc_id", "text_hash", "t.label", "t.template", start.alias("start"), share.alias("containment")).distinct()
 
 
 def _strings(words: Sequence[str]) -> Column:
@@ -130,7 +177,7 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9, separator: str = "\n"
+    docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9
 ) -> DataFrame:
     """Licence phrases and template matches of every row of ``docs`` (doc_id, text).
 
@@ -138,9 +185,9 @@ def scan_licenses(
     largest such place, else null), base_labels, labels (with those of the templates; both distinct,
     sorted, comma-joined, empty if none) and score: 1 with a base phrase, else the largest
     containment of a matching template, else 0. Null and empty texts have no words and score 0;
-    repeated rows have a result each; other columns are not read.
+    repeated rows have a result each, an empty table none; other columns are not read.
     """
-    found = template_matches(docs, templates, threshold, separator).groupBy("doc_id", "text_hash")
+    found = template_matches(docs, templates, threshold).groupBy("doc_id", "text_hash")
     found = found.agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     found = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"), "found", "containment")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
@@ -177,28 +224,25 @@ def scan_licenses(
     )
 
 
-def scan_sql(templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9, span: int = 64) -> str:
-    """DuckDB text of ``scan_licenses`` over ``documents``: every template against every block."""
-    quoted = ",\n  ".join(
-        f"('{label}', '{text}')" for label, texts in templates.items() for text in texts
-    )
+def scan_sql(templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.9) -> str:
+    """DuckDB text of ``scan_licenses`` over ``documents``: every template against every block of its length."""
+    texts = [(label, " ".join(text.split()).replace("'", "''")) for label, some in templates.items() for text in some]
+    quoted = ",\n  ".join(f"('{label}', '{text}')" for label, text in texts)
     phrases = ",\n  ".join(f"({len(p.split())}, '{p}', '{label}')" for p, label in PHRASES.items())
     word = NOT_WORD.replace("[", "[^", 1)
     low = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({low}, '{word}')"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {words.format("text")} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words.format("text")} AS w FROM documents),
 templates(label, sentence) AS (VALUES
   {quoted}),
-t AS (SELECT label, list_distinct({words.format("sentence")}) AS t FROM templates),
-lines AS (
-  SELECT r, {words.format("line")} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-b AS (
-  SELECT r, w[k * {span} + 1 : k * {span} + {2 * span}] AS w
-  FROM (SELECT r, w, unnest(CASE WHEN len(w) <= {2 * span} THEN [0] ELSE range(0, (len(w) - 1 - {span}) // {span} + 1) END) AS k FROM lines WHERE len(w) > 0)),
+t AS (SELECT label, {words.format("sentence")} AS s, list_distinct({words.format("sentence")}) AS t FROM templates),
+-- A text that does not hold enough of a template's words has no block that does.
+c AS MATERIALIZED (SELECT r, label, w, t, len(s) AS n FROM d, t WHERE len(list_intersect(t, w)) >= {threshold} * len(t) - 1e-9),
+b AS (SELECT r, label, t, w[i + 1 : i + n] AS w FROM (SELECT *, unnest(range(0, greatest(len(w) - n, 0) + 1)) AS i FROM c)),
 m AS (
-  SELECT r, label, max(len(list_intersect(t, w)) / len(t)) AS share FROM b, t
-  WHERE len(list_intersect(t, w)) >= ceil({threshold} * len(t) - 1e-9) GROUP BY r, label),
+  SELECT r, label, max(len(list_intersect(t, w)) / len(t)) AS share FROM b
+  WHERE len(list_intersect(t, w)) >= {threshold} * len(t) - 1e-9 GROUP BY r, label),
 phrases(n, phrase, label) AS (VALUES
   {phrases}),
 p AS (

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strikelake.llm import queries as Q
 from strikelake.llm import simhash
@@ -18,7 +19,7 @@ from strikelake.llm.calibration import calibrated, calibrated_column
 from strikelake.llm.codes import Codes, pack, read_documents, tokens_at, write_tokens
 from strikelake.llm.decontaminate import build_index, contamination, proximity_matches, uncontaminated
 from strikelake.llm.encode import Encoder, blocks_of
-from strikelake.llm.licenses import scan_licenses, template_matches
+from strikelake.llm.licenses import TEMPLATES, scan_licenses, template_matches
 from strikelake.llm.mixing import mix, mixed_documents
 from strikelake.llm.quality import quality_scores
 from strikelake.llm.search import top_k
@@ -35,9 +36,11 @@ def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
 
+PLAIN = Tokenizer.from_file(Q.TOKENIZER)
+
+
 def plain_ids(text):
-    coder = Encoder.of(Q.TOKENIZER).tokenizer
-    return coder.encode(text or "", add_special_tokens=False).ids
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
 # --- encoding and token codes
@@ -49,7 +52,7 @@ def test_pieces_encode_like_whole_texts(monkeypatch, size):
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' LIMIT 60").fetchall()] + ODD
     coder = Encoder.of(Q.TOKENIZER)
     for text in texts:
-        whole = coder.tokenizer.encode(text or "", add_special_tokens=False)
+        whole = PLAIN.encode(text or "", add_special_tokens=False)
         assert np.frombuffer(coder.ids(text), "<u4").tolist() == whole.ids
         assert coder.spans(text).tolist() == [list(o) for o in whole.offsets]
 
@@ -167,22 +170,45 @@ def test_licences(odd_docs, no_docs):
     assert scan_licenses(no_docs).count() == 0
 
 
+def plain_shares(text, template):
+    t, w = words(template), words(text)
+    blocks = [w[i : i + len(t)] for i in range(max(0, len(w) - len(t)) + 1)]
+    return max(len(set(t) & set(b)) / len(set(t)) for b in blocks)
+
+
 def test_template_join_is_exact(spark):
     random = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(14)]
-    templates = {f"t{i}": [" ".join(random.choice(vocabulary, 3 + i, replace=False))] for i in range(6)}
+    templates = {f"t{i}": [" ".join(random.choice(vocabulary, 3 + i))] for i in range(6)}
     docs = [(i, "\n".join(" ".join(random.choice(vocabulary, int(random.integers(1, 12)))) for _ in range(4))) for i in range(60)]
+    docs += [(60, "w1"), (61, ""), (62, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
     for threshold in (0.5, 0.8, 1.0):
-        want = set()
+        want = {}
         for i, text in docs:
-            for k, line in enumerate(text.split("\n")):
-                for label, (t,) in templates.items():
-                    share = len(set(words(t)) & set(words(line))) / len(set(words(t)))
-                    if share >= threshold - 1e-9:
-                        want.add((i, k, label, round(share, 9)))
-        found = template_matches(spark.createDataFrame(docs, "doc_id long, text string"), templates, threshold).collect()
-        assert len(found) == len(want)
-        assert {(r.doc_id, r.block, r.label, round(r.containment, 9)) for r in found} == want
+            for label, (t,) in templates.items():
+                if (share := plain_shares(text, t)) >= threshold - 1e-9:
+                    want[i, label] = round(share, 9)
+        found, spans = {}, {r.doc_id: words(r.text) for r in df.collect()}
+        for r in template_matches(df, templates, threshold).collect():
+            t = words(templates[r.label][0])
+            block = spans[r.doc_id][r.start : r.start + len(t)]
+            assert round(len(set(block) & set(t)) / len(set(t)), 9) == round(r.containment, 9)
+            found[r.doc_id, r.label] = max(found.get((r.doc_id, r.label), 0), round(r.containment, 9))
+        assert found == want
+
+
+def test_wrapped_and_long_licences(spark):
+    grant = TEMPLATES["mit"][1]
+    lines = grant.split()
+    wrapped = "\n".join(" ".join(lines[i : i + 7]) for i in range(0, len(lines), 7))
+    long = " ".join(f"term{i}" for i in range(200))
+    whole = {"mit": TEMPLATES["mit"][2], "bsd": TEMPLATES["bsd"][1], "isc": TEMPLATES["isc"][0]}
+    texts = [wrapped, f"before it {long} and after", *[f"Copyright someone\n\n{t}\nint main() {{}}" for t in whole.values()], "mit " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("", 0.0), **{2 + k: (label, 1.0) for k, label in enumerate(whole)}, 5: ("", 0.0)}
+    assert [(r.doc_id, r.start, r.containment) for r in template_matches(docs, {"long": [long]}, 1.0).collect()] == [(1, 2, 1.0)]
 
 
 def plain_contamination(docs, items, window=13):
