@@ -1,4 +1,10 @@
-"""Re-entries: a bounded number of passes, each one a set of joins over all runs."""
+"""Re-entries: one state machine a leg, all runs at once, one pass an event.
+
+An event is the first exit of a run that arms one of its legs' trackers (or finds one still
+armed); it ends with the bar on which the run opens again. Trackers are rows: idle, cooling with
+bars left, or waiting for a signal, and how many re-entries the leg has counted. A pass looks at
+narrow tables only and appends the new positions' bars; nothing written before is written again.
+"""
 
 from __future__ import annotations
 
@@ -10,37 +16,37 @@ from ..operators.ordered import block_scan
 from ..session import cut_lineage
 
 FAR = "9999-12-31"
+IDLE, COOLING, WAITING = "idle", "cooling", "waiting"
 
 
-def _rules(legs: DataFrame) -> DataFrame:
+def trackers(legs: DataFrame) -> DataFrame:
+    """A tracker for each leg that may re-enter; ``since`` is the run's last re-entry."""
     return legs.where("reentry_on_sl OR reentry_on_target").select(
         "run_id", "leg_no", "position", "reentry_on_sl", "reentry_on_target", "reentry_mode",
         "reentry_cooldown_bars", "reentry_max_attempts",
-    )
+        F.lit(IDLE).alias("state"), F.lit(0).cast("bigint").alias("left"), F.lit(0).alias("done"),
+        F.lit(None).cast("timestamp_ntz").alias("since"),
+    )
 
 
-def arming_exits(taken: DataFrame, legs: DataFrame, attempt: int) -> DataFrame:
-    """Earliest exit per run that arms re-entry number ``attempt``, with the legs it arms.
+def armed_trackers(taken: DataFrame, tracked: DataFrame) -> DataFrame:
+    """The trackers that a run's next event arms or finds armed, with ``armed_ts``, its bar.
 
-    Stops arm legs with reentry_on_sl, targets those with reentry_on_target; time exits and
-    the end of the data arm nothing. Only exits at or after the previous re-entry count.
+    Stops arm idle legs with reentry_on_sl, targets those with reentry_on_target, as long as the leg
+    has attempts left; time exits and the end of the data arm nothing. A leg that another leg's
+    re-entry left cooling or waiting goes on with it after the next exit, whatever that exit was.
     """
     c = F.col
     stop = c("reason").isin("stop_loss", "combined_sl")
     target = c("reason").isin("target", "combined_target")
-    done = taken.groupBy("run_id").agg(F.max("attempt").alias("_done"), F.max(F.when(c("attempt") > 0, c("entry_ts"))).alias("_since"))
-    armed = (
-        taken.join(done, "run_id")
-        .where((c("_done") == attempt - 1) & (c("_since").isNull() | (c("entry_ts") >= c("_since"))))
-        .join(_rules(legs), "run_id")
-        .where((stop & c("reentry_on_sl")) | (target & c("reentry_on_target")))
-        .where(c("reentry_max_attempts") >= attempt)
-    )
-    first = Window.partitionBy("run_id")
-    armed = armed.withColumn("_first", F.min("exit_ts").over(first)).where(c("exit_ts") == c("_first"))
-    return armed.select(
-        "run_id", c("exit_ts").alias("armed_ts"), "leg_no", "position", "reentry_mode", "reentry_cooldown_bars"
+    arms = ((stop & c("reentry_on_sl")) | (target & c("reentry_on_target"))) & (c("done") < c("reentry_max_attempts"))
+    met = (
+        taken.select("run_id", "entry_ts", "exit_ts", "reason")
+        .join(tracked, "run_id")
+        .where((c("since").isNull() | (c("entry_ts") >= c("since"))) & ((c("state") != IDLE) | arms))
     )
+    met = met.withColumn("_first", F.min("exit_ts").over(Window.partitionBy("run_id"))).where(c("exit_ts") == c("_first"))
+    return met.withColumnRenamed("exit_ts", "armed_ts").drop("entry_ts", "reason", "_first")
 
 
 def next_confirmations(spine: DataFrame, signals: DataFrame) -> DataFrame:
@@ -53,100 +59,123 @@ def next_confirmations(spine: DataFrame, signals: DataFrame) -> DataFrame:
     return s.select("symbol", "ord", (-c("_bullish")).alias("next_bullish"), (-c("_bearish")).alias("next_bearish"))
 
 
-def ready_bars(armed: DataFrame, runs: DataFrame, spine: DataFrame, signals: DataFrame | None) -> DataFrame:
-    """The bar from which each armed run may reopen: the earliest over its armed legs.
+def ready_bars(armed: DataFrame, runs: DataFrame, spine: DataFrame, confirmations: DataFrame | None) -> DataFrame:
+    """The armed trackers with ``armed_ord`` and ``ready_ord``, the number of the first bar they are ready on.
 
-    asap and same_time: the next bar; after_n_bars: n bars later; momentum_confirm: the first
-    later bar whose signal agrees with the leg's side. Bar numbers make all of these
-    equality lookups.
+    asap and same_time: the next bar; after_n_bars: n bars later, or as many as were left;
+    momentum_confirm: the first later bar whose signal agrees with the leg's side (null: never).
     """
     c = F.col
     at = spine.select("symbol", c("ts").alias("armed_ts"), c("ord").alias("armed_ord"))
     legs = armed.join(runs.select("run_id", "symbol", "entry_time"), "run_id").join(at, ["symbol", "armed_ts"])
     legs = legs.withColumn("ord", c("armed_ord") + 1)
-    if signals is None:
+    if confirmations is None:
         confirmed = F.lit(None).cast("bigint")
     else:
-        legs = legs.join(next_confirmations(spine, signals), ["symbol", "ord"], "left")
+        legs = legs.join(confirmations, ["symbol", "ord"], "left")
         confirmed = F.when(c("position") == "sell", c("next_bearish")).otherwise(c("next_bullish"))
+    cooling = F.when(c("state") == COOLING, c("left")).otherwise(F.greatest(c("reentry_cooldown_bars"), F.lit(1)))
     ready = (
-        F.when(c("reentry_mode") == "after_n_bars", c("armed_ord") + F.greatest(c("reentry_cooldown_bars"), F.lit(1)))
+        F.when(c("reentry_mode") == "after_n_bars", c("armed_ord") + cooling)
         .when(c("reentry_mode") == "momentum_confirm", confirmed)
         .otherwise(c("ord"))
     )
-    first = legs.withColumn("_ready", ready).groupBy("run_id", "symbol", "entry_time", "armed_ts").agg(
-        F.min("_ready").alias("ord")
-    )
-    when = spine.select("symbol", "ord", c("ts").alias("ready_ts"), c("date").alias("ready_date"))
-    return first.join(when, ["symbol", "ord"]).drop("ord")
+    return legs.withColumn("ready_ord", ready.cast("bigint")).drop("ord", "next_bullish", "next_bearish")
 
 
-def reentry_times(armed: DataFrame, runs: DataFrame, legs: DataFrame, bars: DataFrame, spine: DataFrame, signals: DataFrame | None) -> DataFrame:
-    """Reopening bar per armed run: the first from its ready bar on where a leg has a contract.
+def reentry_times(ready: DataFrame, legs: DataFrame, bars: DataFrame, spine: DataFrame) -> DataFrame:
+    """The bar each armed run opens again on: the first from its first ready bar on where a leg has a contract.
 
-    A run with a same_time leg waits for its entry time, so only those bars are searched.
-    Other runs look at the rest of the ready day; what is left looks up the first bar of
-    each later day. Every search is over one day's bars or over one row per day.
+    What a leg needs is a key: the option type, for a leg at a fixed offset that offset, and for a run
+    with a same_time leg the entry time. Questions and the chain's bars are put in one order of
+    time for each key and read backward once, the latest bar met being the answer; a key has at
+    most as many rows as the calendar has bars, and questions.
     """
     c = F.col
-    ready = cut_lineage(ready_bars(armed, runs, spine, signals))
+    first = ready.groupBy("run_id", "symbol", "entry_time", "armed_ts").agg(F.min("ready_ord").alias("ord"))
+    first = first.join(spine.select("symbol", "ord", c("ts").alias("ready_ts")), ["symbol", "ord"])
     same = legs.groupBy("run_id").agg(F.max(c("reentry_mode") == "same_time").alias("_same"))
-    pick = legs.select("run_id", "option_type", "strike_mode", c("strike_offset").alias("wanted")).join(same, "run_id")
-    asked = ready.join(pick, "run_id")
-    chain = bars.select("symbol", "date", "time", "option_type", "strike_offset")
-    held = (c("strike_mode") != "atm_offset") | (c("strike_offset") == c("wanted"))
-
-    def earliest(found: DataFrame) -> DataFrame:
-        return found.groupBy("run_id", "symbol", "armed_ts").agg(F.min(F.struct("date", "time")).alias("_n"))
-
-    at_entry = asked.where("_same").join(
-        chain.withColumnRenamed("time", "entry_time"), ["symbol", "option_type", "entry_time"]
-    ).withColumn("time", c("entry_time")).where(held & (bar_ts() >= c("ready_ts")))
-    today = asked.where("NOT _same").join(
-        chain.withColumnRenamed("date", "ready_date"), ["symbol", "option_type", "ready_date"]
-    ).withColumn("date", c("ready_date")).where(held & (bar_ts() >= c("ready_ts")))
-    found = earliest(at_entry).unionByName(earliest(today))
-    days = chain.groupBy("symbol", "option_type", "strike_offset", "date").agg(F.min("time").alias("time"))
-    later = (
-        asked.where("NOT _same")
-        .join(found.select("run_id"), "run_id", "left_anti")
-        .join(days, ["symbol", "option_type"])
-        .where(held & (c("date") > c("ready_date")))
+    key = ["symbol", "option_type", "offset", "clock"]
+    asked = first.join(same, "run_id").join(legs.select("run_id", "option_type", "strike_mode", "strike_offset"), "run_id").select(
+        "run_id", "armed_ts", "ready_ts", "symbol", "option_type",
+        F.when(c("strike_mode") == "atm_offset", c("strike_offset")).alias("offset"),
+        F.when(c("_same"), c("entry_time")).alias("clock"),
+    )
+    asked = cut_lineage(asked)
+    chain = bars.select("symbol", "option_type", c("strike_offset").alias("at_offset"), c("date"), c("time"))
+    met = chain.join(asked.select(*key).distinct(), ["symbol", "option_type"]).where(
+        (c("offset").isNull() | (c("offset") == c("at_offset"))) & (c("clock").isNull() | (c("clock") == c("time")))
     )
-    found = found.unionByName(earliest(later))
-    return found.select("run_id", "symbol", "armed_ts", c("_n.date").alias("date"), c("_n.time").alias("time")).withColumn(
-        "ts", bar_ts()
+    met = met.select(*key, bar_ts().alias("ts")).distinct()
+    nothing = F.lit(None)
+    rows = met.select(*key, "ts", F.lit(0).alias("asks"), c("ts").alias("bar"), nothing.cast("string").alias("run_id"), nothing.cast("timestamp_ntz").alias("armed_ts"))
+    rows = rows.unionByName(
+        asked.select(*key, c("ready_ts").alias("ts"), F.lit(1).alias("asks"), nothing.cast("timestamp_ntz").alias("bar"), "run_id", "armed_ts")
     )
+    back = Window.partitionBy(*key).orderBy(F.desc("ts"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_next", F.last("bar", ignorenulls=True).over(back)).where((c("asks") == 1) & c("_next").isNotNull())
+    best = found.groupBy("run_id", "symbol", "armed_ts").agg(F.min("_next").alias("ts"))
+    clock = F.substring(c("ts").cast("string"), 12, 8)
+    return best.select("run_id", "symbol", "armed_ts", "ts", c("ts").cast("date").alias("date"), clock.alias("time"))
 
 
-def with_reentries(opened, pos, runs, legs, bars, spine, signals, evaluate, passes: int):
-    """Add up to ``passes`` re-entries per run to the position bars and the opened legs."""
-    from .replay import non_overlapping
+def after_reentry(tracked: DataFrame, ready: DataFrame, again: DataFrame, spine: DataFrame) -> DataFrame:
+    """Trackers of the runs that opened again: legs ready by then count it, the others keep what is left."""
+    c = F.col
+    at = again.select("run_id", "symbol", "ts").join(spine.select("symbol", "ts", "ord"), ["symbol", "ts"])
+    armed = ready.select("run_id", "leg_no", "ready_ord")
+    rows = tracked.join(at.select("run_id", c("ts").alias("_ts"), "ord"), "run_id").join(armed, ["run_id", "leg_no"], "left")
+    # No column says whether a leg was armed but its row; a null bar is a signal that never comes.
+    rows = rows.join(armed.select("run_id", "leg_no", F.lit(True).alias("_armed")), ["run_id", "leg_no"], "left")
+    counts = F.coalesce(c("ready_ord") <= c("ord"), F.lit(False))
+    cools = c("reentry_mode") == "after_n_bars"
+    return rows.select(
+        *[n for n in tracked.columns if n not in ("state", "left", "done", "since")],
+        F.when(c("_armed").isNull() | counts, IDLE).when(cools, COOLING).otherwise(WAITING).alias("state"),
+        F.when(c("_armed") & cools & ~counts, c("ready_ord") - c("ord")).otherwise(0).cast("bigint").alias("left"),
+        (c("done") + counts.cast("int")).alias("done"),
+        c("_ts").alias("since"),
+    )
+
+
+def with_reentries(opened, pos, runs, legs, bars, spine, signals, evaluate):
+    """Add the re-entries of all runs to the position bars and the opened legs.
+
+    Every re-entry uses up an attempt of some leg, so there are at most as many passes as a run's
+    legs have attempts together.
+    """
+    from .replay import EXIT, non_overlapping
 
     c = F.col
     spine = cut_lineage(spine)
+    confirmations = None if signals is None else cut_lineage(next_confirmations(spine, signals))
+    tracked = cut_lineage(trackers(legs))
+    passes = tracked.groupBy("run_id").agg(F.sum("reentry_max_attempts").alias("n")).agg(F.max("n")).first()[0] or 0
+    exits = cut_lineage(pos.where(c("reason").isNotNull()).select(*EXIT))
+    never = F.lit(FAR).cast("timestamp_ntz")
     for attempt in range(1, passes + 1):
-        exits = pos.where(c("reason").isNotNull())
-        taken = exits.join(non_overlapping(exits), ["run_id", "entry_ts"], "left_semi")
-        taken = taken.where(c("exit_ts") < F.lit(FAR).cast("timestamp_ntz"))
-        armed = cut_lineage(arming_exits(taken, legs, attempt))
-        again = cut_lineage(reentry_times(armed, runs, legs, bars, spine, signals))
+        taken = exits.join(non_overlapping(exits), ["run_id", "entry_ts", "forced"], "left_semi").where(c("exit_ts") < never)
+        armed = armed_trackers(taken, tracked)
+        ready = cut_lineage(ready_bars(armed, runs, spine, confirmations))
+        if ready.isEmpty():
+            break
+        again = cut_lineage(reentry_times(ready, legs, bars, spine))
         more_open, more_pos = evaluate(again)
-        more_pos = (
+        more_pos = cut_lineage(
             more_pos.join(again.select("run_id", c("ts").alias("entry_ts"), c("armed_ts").alias("start_ts")), ["run_id", "entry_ts"])
             .withColumn("forced", F.lit(True))
             .withColumn("attempt", F.lit(attempt))
         )
         # Armed without a later chance: the run waits for ever and takes no more entries.
-        stuck = armed.select("run_id", "armed_ts").distinct().join(again.select("run_id"), "run_id", "left_anti")
-        never = F.lit(FAR).cast("timestamp_ntz")
+        stuck = ready.select("run_id", "armed_ts").distinct().join(again.select("run_id"), "run_id", "left_anti")
         waits = stuck.select(
-            "run_id", never.alias("entry_ts"), never.alias("ts"), never.alias("exit_ts"), F.lit("waiting").alias("reason"),
+            "run_id", never.alias("entry_ts"), never.alias("exit_ts"), F.lit("waiting").alias("reason"),
             c("armed_ts").alias("start_ts"), F.lit(True).alias("forced"), F.lit(attempt).alias("attempt"),
-        )
-        # A regular entry at the very bar of the re-entry is the re-entry itself.
-        replaced = again.select("run_id", c("ts").alias("entry_ts"))
-        kept = pos.join(replaced, ["run_id", "entry_ts"], "left_anti")
-        pos = cut_lineage(kept.unionByName(more_pos).unionByName(waits, allowMissingColumns=True))
-        opened = opened.join(replaced, ["run_id", "entry_ts"], "left_anti").unionByName(more_open)
-    return opened, pos
+        )
+        pos = pos.unionByName(more_pos)
+        # A regular entry on the very bar of a re-entry has the same legs.
+        opened = opened.unionByName(more_open.join(opened.select("run_id", "entry_ts"), ["run_id", "entry_ts"], "left_anti"))
+        more_exits = more_pos.where(c("reason").isNotNull()).select(*EXIT).unionByName(waits.select(*EXIT))
+        exits = exits.unionByName(cut_lineage(more_exits))
+        tracked = cut_lineage(after_reentry(tracked, ready, again, spine))
+    return opened, pos, exits

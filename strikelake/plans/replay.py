@@ -221,28 +221,48 @@ def first_exit(flags: DataFrame) -> DataFrame:
     )
 
 
-def non_overlapping(positions: DataFrame) -> DataFrame:
-    """Positions a run really takes: one at a time, the next strictly after the last exit.
+#: What the choice of positions needs of each: when it blocks others from, and when it ends.
+EXIT = ["run_id", "entry_ts", "exit_ts", "reason", "start_ts", "forced", "attempt"]
 
-    Re-entries block later regular entries from the exit that armed them (``start_ts``).
-    The fold runs over one array per run whose length is at most its entry days.
-    """
-    item = F.struct("start_ts", "forced", "entry_ts", "exit_ts")
-    runs = positions.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    zero = F.struct(
-        F.lit("0001-01-01").cast("timestamp_ntz").alias("busy"),
-        F.filter("_all", lambda x: F.lit(False)).alias("kept"),
-    )
 
-    def step(acc, x):
-        free = x["forced"] | (x["start_ts"] > acc["busy"])
-        return F.when(
-            free,
-            F.struct(F.greatest(acc["busy"], x["exit_ts"]).alias("busy"), F.concat(acc["kept"], F.array(x)).alias("kept")),
-        ).otherwise(acc)
+def non_overlapping(exits: DataFrame) -> DataFrame:
+    """Positions a run really takes (run_id, entry_ts, forced): one at a time, the next strictly after the last exit.
 
-    kept = runs.select("run_id", F.explode(F.aggregate("_all", zero, step)["kept"]).alias("_k"))
-    return kept.select("run_id", c("_k.entry_ts").alias("entry_ts"))
+    Re-entries (``forced``) are taken and block later regular entries from the exit that armed them
+    (``start_ts``). A position that starts after all earlier ones have ended is taken whatever
+    becomes of them. Where positions overlap, each is linked to the first that starts after its
+    exit, and what is taken is what links reach from those: pointers double in each round,
+    so a chain of n positions takes log n rounds of joins and no run is gathered anywhere.
+    """
+    order = Window.partitionBy("run_id").orderBy("start_ts", "forced", "entry_ts")
+    busy = F.max("exit_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = exits.select("run_id", "entry_ts", "exit_ts", "start_ts", "forced").withColumn("_busy", busy)
+    free = c("forced") | c("_busy").isNull() | (c("start_ts") > c("_busy"))
+    rows = cut_lineage(rows.withColumn("free", free).withColumn("id", F.monotonically_increasing_id()).drop("_busy"))
+    out = ["run_id", "entry_ts", "forced"]
+    crowded = rows.where(~c("free")).select("run_id").distinct()
+    if crowded.isEmpty():
+        return rows.select(*out)
+    some = rows.join(crowded, "run_id", "left_semi")
+    nothing = F.lit(None)
+    starts = some.select(
+        "run_id", c("start_ts").alias("ts"), c("forced").cast("int").alias("forced"), F.lit(0).alias("asks"),
+        F.struct("id", "free").alias("to"), nothing.cast("bigint").alias("id"),
+    )
+    ends = some.select("run_id", c("exit_ts").alias("ts"), F.lit(0).alias("forced"), F.lit(1).alias("asks"), nothing.cast("struct<id: bigint, free: boolean>").alias("to"), "id")
+    # Backward in time; on the exit's own bar a re-entry follows it, a regular entry does not.
+    back = Window.partitionBy("run_id").orderBy(F.desc("ts"), F.desc("forced"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    links = starts.unionByName(ends).withColumn("next", F.last("to", ignorenulls=True).over(back))
+    jumps = cut_lineage(links.where((c("asks") == 1) & ~c("next.free")).select("id", c("next.id").alias("to")))
+    taken = cut_lineage(some.where("free").select("id"))
+    while True:
+        more = jumps.join(taken, "id", "left_semi").select(c("to").alias("id")).distinct()
+        more = cut_lineage(more.join(taken, "id", "left_anti"))
+        if more.isEmpty():
+            break
+        taken = taken.unionByName(more)
+        jumps = cut_lineage(jumps.join(jumps.select(c("id").alias("to"), c("to").alias("further")), "to").select("id", c("further").alias("to")))
+    return rows.where("free").unionByName(rows.where(~c("free")).join(taken, "id", "left_semi")).select(*out)
 
 
 def closed_trades(opened: DataFrame, exits: DataFrame) -> DataFrame:
@@ -340,22 +360,19 @@ def replay(
     opened, pos = _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times)
     pos = cut_lineage(pos.withColumn("start_ts", c("entry_ts")).withColumn("forced", F.lit(False)).withColumn("attempt", F.lit(0)))
 
-    again = F.when(c("reentry_on_sl") | c("reentry_on_target"), c("reentry_max_attempts"))
-    passes = opened.agg(F.max(again)).first()[0] or 0
-    if passes:
-
+    exits = pos.where(c("reason").isNotNull()).select(*EXIT)
+    if not legs.where("(reentry_on_sl OR reentry_on_target) AND reentry_max_attempts > 0").isEmpty():
         kept_hz = cut_lineage(hz)
 
         def evaluate(wanted):
             return _evaluate(wanted, runs, legs, bars, kept_hz, lot_rules, track_by)
 
-        opened, pos = with_reentries(opened, pos, runs, legs, bars, with_ordinals(spine), signals, evaluate, passes)
+        opened, pos, exits = with_reentries(opened, pos, runs, legs, bars, with_ordinals(spine), signals, evaluate)
 
-    exits = pos.where(c("reason").isNotNull())
     taken = non_overlapping(exits)
-    exits = exits.join(taken, KEY, "left_semi")
-    trades = closed_trades(opened, exits)
-    return Replay(trades, pos.join(taken, KEY, "left_semi"), spine, runs, opened)
+    pos = pos.join(taken, [*KEY, "forced"], "left_semi")
+    trades = closed_trades(opened, pos.where(c("reason").isNotNull()))
+    return Replay(trades, pos, spine, runs, opened)
 
 
 def _run_spine(spine: DataFrame, runs: DataFrame) -> DataFrame:

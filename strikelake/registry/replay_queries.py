@@ -84,6 +84,17 @@ REENTRY = [
     strategy("asap", [leg("CE", strike_mode="percent_otm", **sl("percent_of_premium", 30), reentry_on_sl=True, reentry_mode="asap", reentry_max_attempts=3)]),
     strategy("same_time", [leg("CE", strike_mode="percent_otm", **target("percent_of_premium", 30), reentry_on_target=True, reentry_mode="same_time", reentry_max_attempts=2)]),
     strategy("after_n", [leg("PE", strike_mode="percent_otm", **sl("points", 20), reentry_on_sl=True, reentry_mode="after_n_bars", reentry_cooldown_bars=2, reentry_max_attempts=2)]),
+    strategy("momentum", [leg("CE", strike_mode="percent_otm", **sl("percent_of_premium", 30), reentry_on_sl=True, reentry_mode="momentum_confirm", reentry_max_attempts=3)]),
+    strategy("mixed", [
+        leg("CE", strike_mode="percent_otm", **sl("percent_of_premium", 30), reentry_on_sl=True, reentry_mode="asap", reentry_max_attempts=2),
+        leg("PE", BUY, strike_mode="percent_otm", **target("percent_of_premium", 60), reentry_on_sl=True, reentry_on_target=True,
+            reentry_mode="after_n_bars", reentry_cooldown_bars=30, reentry_max_attempts=3),
+        leg("PE", BUY, **sl("percent_of_premium", 70), reentry_on_sl=True, reentry_mode="momentum_confirm", reentry_max_attempts=4),
+    ]),
+    strategy("mixed_time", [
+        leg("CE", **sl("percent_of_premium", 30), reentry_on_sl=True, reentry_mode="after_n_bars", reentry_cooldown_bars=3, reentry_max_attempts=2),
+        leg("PE", strike_mode="percent_otm", **target("percent_of_premium", 20), reentry_on_target=True, reentry_mode="same_time", reentry_max_attempts=1),
+    ], exit_time="23:30:00"),
 ]
 
 
@@ -325,8 +336,62 @@ DAILY_SELECT = EQUITY_SELECT.split("SELECT run_id || '@'")[0] + """
 SELECT run_id || '@' || symbol AS run_id, CAST(date AS VARCHAR) AS date, round(max_by(capital+cum+u, time),5) AS equity FROM eq GROUP BY run_id, symbol, date"""
 
 
+def spot_signals(b):
+    """A direction for every bar time, by the index points of its spot."""
+    rest = F.floor("spot") % 3
+    return bar_spine(b).select("symbol", "date", "time", F.when(rest == 0, "bullish").when(rest == 1, "bearish").otherwise("neutral").alias("signal"))
+
+
+# Every bar time is tried as an entry; then one state for each run walks over the bars.
+REENTRY_SQL = f"""WITH RECURSIVE {BARS_SQL}, {PLAIN_B}, {config_sql(REENTRY)}, {OPEN_SQL.replace("sp.time = r.entry_time", "TRUE")}, {MARKS_SQL.split("nxt AS")[0]}
+so AS MATERIALIZED (SELECT symbol, ts, time, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS ord,
+  CASE CAST(floor(spot) AS BIGINT) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS sig FROM spine),
+px AS MATERIALIZED (SELECT p.run_id, p.symbol, e.ord, x.ord AS x_ord, p.reason, p.entry_ts, p.exit_ts
+  FROM pos p JOIN so e ON e.symbol = p.symbol AND e.ts = p.entry_ts JOIN so x ON x.symbol = p.symbol AND x.ts = p.exit_ts),
+r0 AS MATERIALIZED (
+  SELECT r.run_id, r.symbol, any_value(r.entry_time) AS entry_time, bool_or(l.reentry_mode = 'same_time') AS same,
+    list(struct_pack(mode := l.reentry_mode, n := l.reentry_cooldown_bars, most := l.reentry_max_attempts, on_sl := l.reentry_on_sl, on_tg := l.reentry_on_target,
+      agrees := CASE WHEN l.position = 'sell' THEN 'bearish' ELSE 'bullish' END, state := 'idle', left_ := 0, done := 0)) FILTER (l.reentry_on_sl OR l.reentry_on_target) AS trk
+  FROM runs r JOIN legs l ON l.run_id = r.run_id GROUP BY r.run_id, r.symbol),
+walk(run_id, symbol, entry_time, same, ord, trk, armed, n, x_ord, reason, entered, label) AS (
+  SELECT run_id, symbol, entry_time, same, CAST(0 AS BIGINT), trk, FALSE, 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), FALSE, 0 FROM r0
+  UNION ALL
+  SELECT run_id, symbol, entry_time, same, ord, trk, CASE WHEN x_ord = ord THEN len(list_filter(trk, lambda x: x.state <> 'idle')) > 0 ELSE armed END,
+    n, CASE WHEN x_ord = ord THEN NULL ELSE x_ord END, reason, entered, label
+  FROM (
+    SELECT * REPLACE (CASE WHEN x_ord = ord THEN list_transform(trk, lambda x: CASE
+        WHEN x.state = 'idle' AND x.done < x.most AND ((x.on_sl AND reason IN ('stop_loss','combined_sl')) OR (x.on_tg AND reason IN ('target','combined_target')))
+        THEN struct_pack(mode := x.mode, n := x.n, most := x.most, on_sl := x.on_sl, on_tg := x.on_tg, agrees := x.agrees,
+          state := CASE WHEN x.mode = 'momentum_confirm' THEN 'waiting' WHEN x.mode = 'after_n_bars' AND x.n > 0 THEN 'cooling' ELSE 'ready' END, left_ := x.n, done := x.done)
+        ELSE x END) ELSE trk END AS trk)
+    FROM (
+      SELECT run_id, symbol, entry_time, same, ord,
+        CASE WHEN go AND armed THEN list_transform(trk, lambda x: CASE WHEN x.state = 'ready'
+          THEN struct_pack(mode := x.mode, n := x.n, most := x.most, on_sl := x.on_sl, on_tg := x.on_tg, agrees := x.agrees, state := 'idle', left_ := 0, done := x.done + 1)
+          ELSE x END) ELSE trk END AS trk,
+        armed AND NOT go AS armed, n + CASE WHEN go AND armed THEN 1 ELSE 0 END AS n,
+        CASE WHEN go THEN p_ord ELSE x_ord END AS x_ord, CASE WHEN go THEN p_reason ELSE reason END AS reason, go AS entered,
+        CASE WHEN go AND armed THEN n + 1 ELSE 0 END AS label
+      FROM (
+        SELECT *, x_ord IS NULL AND p_ord IS NOT NULL AND CASE WHEN armed THEN len(list_filter(trk, lambda x: x.state = 'ready')) > 0 AND (NOT same OR time = entry_time)
+          ELSE time = entry_time END AS go
+        FROM (
+          SELECT w.run_id, w.symbol, w.entry_time, w.same, s.ord, s.time, w.armed, w.n, w.x_ord, w.reason, p.x_ord AS p_ord, p.reason AS p_reason,
+            CASE WHEN w.armed AND w.x_ord IS NULL THEN list_transform(w.trk, lambda x: CASE
+              WHEN x.state = 'cooling' OR (x.state = 'waiting' AND s.sig = x.agrees) THEN struct_pack(mode := x.mode, n := x.n, most := x.most, on_sl := x.on_sl,
+                on_tg := x.on_tg, agrees := x.agrees, state := CASE WHEN x.state = 'cooling' AND x.left_ > 1 THEN 'cooling' ELSE 'ready' END, left_ := x.left_ - 1, done := x.done)
+              ELSE x END) ELSE w.trk END AS trk
+          FROM walk w JOIN so s ON s.symbol = w.symbol AND s.ord = w.ord + 1
+          LEFT JOIN px p ON p.run_id = w.run_id AND p.symbol = w.symbol AND p.ord = s.ord))))),
+taken AS (SELECT p.run_id, p.symbol, p.entry_ts, p.exit_ts, p.reason, w.label FROM walk w JOIN px p ON p.run_id = w.run_id AND p.symbol = w.symbol AND p.ord = w.ord WHERE w.entered),
+fills AS ({MARKS_SQL.split("fills AS (")[1].replace("t.reason, CASE", "t.reason, t.label, CASE")}
+SELECT run_id || '@' || symbol AS run_id, CAST(leg_no AS BIGINT) AS leg_no, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_at,
+  strftime(exit_ts, '%Y-%m-%d %H:%M:%S') AS exit_at, reason AS exit_reason, CAST(label AS BIGINT) AS reentry_attempt, round(pnl_net,6) AS pnl_net FROM tr"""
+
+
 def reentry_query(spark, sf):
-    t = R.replay(*frames(spark, sf, REENTRY)).trades
+    b, runs, legs = frames(spark, sf, REENTRY)
+    t = R.replay(b, runs, legs, spot_signals(b)).trades
     return text_dates(
         t.select("run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("exit_ts").alias("exit_at"), "exit_reason", "reentry_attempt", "pnl_net")
     )
@@ -344,5 +409,5 @@ ENTRIES = {
     "D03_D19_D25_closed_trades": (closed_trades, replay_sql(COSTS, TRADES_SELECT)),
     "D31_equity_snapshots": (equity_query, replay_sql(COSTS + CARRIED, EQUITY_SELECT)),
     "F05_daily_equity": (daily_equity_query, replay_sql(COSTS + CARRIED, DAILY_SELECT)),
-    "D27_D30_reentries": (reentry_query, None),
+    "D27_D30_reentries": (reentry_query, REENTRY_SQL),
 }

@@ -109,16 +109,16 @@ def overall(kind, value, amount, premium, rupee):
     return kind in rupee and amount >= value
 
 
-def replay(run, legs, bars):
-    """(trades, snapshots) of one run over one symbol's bars (dicts)."""
+def replay(run, legs, bars, signals=None):
+    """(trades, snapshots) of one run over one symbol's bars (dicts); ``signals`` by (date, time)."""
     groups = {}
     for b in sorted(bars, key=lambda b: (b["date"], b["time"], b["strike_offset"], b["option_type"])):
         groups.setdefault((b["date"], b["time"]), []).append(b)
     trades, snaps, pos, realized = [], [], None, 0.0
-    done, cooling, armed_mode, extra = 0, 0, None, False
-    rule = next((l for l in legs if l["reentry_on_sl"] or l["reentry_on_target"]), None)
-    attempt = 0
-    last = None
+    # One tracker for each leg that may re-enter.
+    watch = [dict(c=l, state="idle", left=0, done=0) for l in legs if l["reentry_on_sl"] or l["reentry_on_target"]]
+    waits_for_time = any(l["reentry_mode"] == "same_time" for l in legs)
+    armed, attempt, last = False, 0, None
 
     def close(reason, key):
         nonlocal realized
@@ -147,13 +147,21 @@ def replay(run, legs, bars):
 
     for key, rows in groups.items():
         last = key
-        if pos is None and armed_mode == "after_n_bars" and cooling > 0:
-            cooling -= 1
+        if pos is None and armed:
+            for w in watch:
+                if w["state"] == "cooling":
+                    w["left"] -= 1
+                    if w["left"] <= 0:
+                        w["state"] = "ready"
+                elif w["state"] == "waiting":
+                    agrees = "bearish" if w["c"]["position"] == "sell" else "bullish"
+                    if (signals or {}).get(key) == agrees:
+                        w["state"] = "ready"
         if pos is None:
-            if armed_mode is None:
-                go = key[1] == run["entry_time"]
+            if armed:
+                go = any(w["state"] == "ready" for w in watch) and (not waits_for_time or key[1] == run["entry_time"])
             else:
-                go = cooling == 0 and (armed_mode != "same_time" or key[1] == run["entry_time"])
+                go = key[1] == run["entry_time"]
             if go:
                 opened = []
                 for no, conf in enumerate(legs):
@@ -164,9 +172,12 @@ def replay(run, legs, bars):
                         opened.append(leg)
                 if opened:
                     label = 0
-                    if armed_mode is not None:
+                    if armed:
                         attempt += 1
-                        label, armed_mode = attempt, None
+                        label, armed = attempt, False
+                        for w in watch:
+                            if w["state"] == "ready":
+                                w["state"], w["done"] = "idle", w["done"] + 1
                     pos = dict(key=key, legs=opened, attempt=label)
         if pos is not None:
             for leg in pos["legs"]:
@@ -193,13 +204,16 @@ def replay(run, legs, bars):
             if reason:
                 close(reason, key)
                 pos = None
-                if rule is not None:
+                for w in watch:
+                    rule = w["c"]
                     hit = (reason in ("stop_loss", "combined_sl") and rule["reentry_on_sl"]) or (
                         reason in ("target", "combined_target") and rule["reentry_on_target"]
                     )
-                    if hit and attempt < rule["reentry_max_attempts"]:
-                        armed_mode = rule["reentry_mode"]
-                        cooling = rule["reentry_cooldown_bars"] if armed_mode == "after_n_bars" else 0
+                    if w["state"] == "idle" and hit and w["done"] < rule["reentry_max_attempts"]:
+                        mode = rule["reentry_mode"]
+                        w["left"] = rule["reentry_cooldown_bars"] if mode == "after_n_bars" else 0
+                        w["state"] = "waiting" if mode == "momentum_confirm" else "cooling" if w["left"] else "ready"
+                armed = any(w["state"] != "idle" for w in watch)
         open_pnl = sum(l.pnl for l in pos["legs"]) if pos else 0.0
         snaps.append((key, run["capital"] + realized + open_pnl))
     if pos is not None:

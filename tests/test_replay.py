@@ -137,11 +137,12 @@ def random_conf(rng, i):
 
     legs = [leg() for _ in range(rng.randint(1, 3))]
     if rng.random() < 0.6:
-        rule = dict(reentry_on_sl=rng.random() < 0.8, reentry_on_target=rng.random() < 0.5, reentry_max_attempts=rng.randint(1, 3),
-                    reentry_mode=rng.choice(["asap", "same_time", "after_n_bars"]), reentry_cooldown_bars=rng.randint(1, 4))
+        modes = rng.choice([["asap"], ["same_time"], ["after_n_bars"], ["asap", "after_n_bars", "momentum_confirm"], ["asap", "same_time", "after_n_bars", "momentum_confirm"]])
         for l in legs:
-            l.update(rule)
-    conf = dict(run_id=f"r{i}", underlying=rng.choice(["A", "B"]), entry_time=rng.choice(["09:20", "10:20"]), exit_time=rng.choice(["12:20", "14:20"]),
+            if rng.random() < 0.8:
+                l.update(reentry_on_sl=rng.random() < 0.8, reentry_on_target=rng.random() < 0.5, reentry_max_attempts=rng.randint(1, 3),
+                         reentry_mode=rng.choice(modes), reentry_cooldown_bars=rng.randint(0, 4))
+    conf = dict(run_id=f"r{i}", underlying=rng.choice(["A", "B"]), entry_time=rng.choice(["09:20", "10:20"]), exit_time=rng.choice(["12:20", "14:20", "23:00"]),
                 capital=100000.0, lot_size=rng.choice([15, 25]), slippage_model=rng.choice(["none", "fixed_pts", "percent"]), slippage_value=1.0, legs=legs)
     if rng.random() < 0.5:
         conf.update(overall_sl_enabled=True, overall_sl_type=rng.choice(["percent_of_premium", "points", "combined_premium"]), overall_sl_value=rng.choice([20.0, 400.0]))
@@ -176,7 +177,10 @@ def test_against_plain_fold(spark, seed):
     runs, legs = strategy_frames(spark, confs)
     rows = data["A"] + data["B"]
     bars = spark.createDataFrame([tuple(r[k.split()[0]] for k in BAR.split(", ")) for r in rows], BAR)
-    res = replay(bars, runs, legs)
+    words = {s: {k: rng.choice(["bullish", "bearish", "neutral"]) for k in sorted({(r["date"], r["time"]) for r in data[s]})} for s in data}
+    flat = [(s, d, t, w) for s, mine in words.items() for (d, t), w in mine.items()]
+    signals = spark.createDataFrame(flat, "symbol string, date date, time string, signal string")
+    res = replay(bars, runs, legs, signals)
     got, equity, daily = {}, {}, {}
     for r in res.trades.collect():
         got.setdefault(r.run_id, []).append(
@@ -192,7 +196,7 @@ def test_against_plain_fold(spark, seed):
         run_row = {**RUN_DEFAULTS, **{k: v for k, v in conf.items() if k != "legs"}}
         run_row["entry_time"] += ":00"
         run_row["exit_time"] += ":00"
-        want, snaps = fold.replay(run_row, [{**LEG_DEFAULTS, **l} for l in conf["legs"]], data[conf["underlying"]])
+        want, snaps = fold.replay(run_row, [{**LEG_DEFAULTS, **l} for l in conf["legs"]], data[conf["underlying"]], words[conf["underlying"]])
         want = sorted(
             (t["entry"], t["exit"], t["leg_no"], t["reason"], t["bars_held"], t["attempt"], t["offset"],
              round(t["entry_price"], 6), round(t["exit_price"], 6), round(t["gross"], 5), round(t["net"], 5)) for t in want
