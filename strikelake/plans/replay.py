@@ -19,6 +19,7 @@ from ..operators.asof import lot_size_asof
 from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, with_ordinals
 from ..operators.ordered import block_scan
 from ..session import cut_lineage
+from . import hits
 
 KEY = ["run_id", "entry_ts"]
 
@@ -91,17 +92,14 @@ def with_horizon(positions: DataFrame, spine_horizons: DataFrame) -> DataFrame:
     )
 
 
-def mark_positions(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> DataFrame:
-    """Every bar of each held contract from entry to horizon, with stop and target flags.
-
-    ``opened`` carries its horizon (:func:`with_horizon`).
+def held_bars(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> DataFrame:
+    """Every bar of each held contract from entry to horizon, with its worst and best price for the leg.
 
-    The interval is turned into its days, so the join with bars is an equality on
-    (symbol, date, option type, contract); only the ends need the time comparison.
+    ``opened`` carries its horizon (:func:`with_horizon`). The interval is turned into its days, so
+    the join with bars is an equality on (symbol, date, option type, contract); only the ends need
+    the time comparison.
     """
-    held = opened.withColumn(
-        "date", F.explode(F.sequence("entry_date", c("horizon_ts").cast("date")))
-    )
+    held = opened.withColumn("date", F.explode(F.sequence("entry_date", c("horizon_ts").cast("date"))))
     contract = {"offset": ("held_offset", "strike_offset"), "strike": ("held_strike", "strike")}[track_by]
     prices = bars.select(
         "symbol",
@@ -123,7 +121,12 @@ def mark_positions(opened: DataFrame, bars: DataFrame, track_by: str = "offset")
     hi = F.when(first, c("close")).otherwise(F.greatest("high", "close"))
     lo = F.when(first, c("close")).otherwise(F.least("low", "close"))
     short = c("position") == "sell"
-    m = m.withColumn("worst", F.when(short, hi).otherwise(lo)).withColumn("best", F.when(short, lo).otherwise(hi))
+    return m.withColumn("worst", F.when(short, hi).otherwise(lo)).withColumn("best", F.when(short, lo).otherwise(hi))
+
+
+def mark_positions(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> DataFrame:
+    """:func:`held_bars` of opened legs, with stop and target flags."""
+    m = held_bars(opened, bars, track_by)
     sl = c("stop_loss_enabled") & sl_hit(
         c("stop_loss_type"), c("stop_loss_value"), c("entry_price"), c("worst"), c("spot"), c("entry_spot"), c("sign"), c("delta")
     )
@@ -314,18 +317,32 @@ class Replay:
     spine: DataFrame
     runs: DataFrame
     entries: DataFrame
+    thin: bool = False
 
     def equity(self) -> DataFrame:
+        if self.thin:
+            raise ValueError("a thin replay has no bar-grain equity")
         return equity_snapshots(self.spine, self.runs, self.marks, self.trades)
 
     def daily_equity(self) -> DataFrame:
         return daily_equity_of(self.spine, self.runs, self.marks, self.trades)
 
 
-def _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times=None):
+def _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, trailing, thin, times=None):
+    """Opened legs and the positions' bars. A trailing stop follows its own path through the bars;
+    all other positions look their exits up in the index."""
     opened = cut_lineage(with_horizon(open_legs(wanted, runs, legs, bars, lot_rules, times), hz))
-    marks = mark_positions(opened, bars, track_by)
-    return opened, first_exit(exit_flags(marks, _horizon_rows(opened)))
+    parts = []
+    if trailing is not None:
+        followed = opened.join(trailing, "run_id", "left_semi")
+        parts.append(first_exit(exit_flags(mark_positions(followed, bars, track_by), _horizon_rows(followed))))
+    if trailing is None or not legs.join(trailing, "run_id", "left_anti").isEmpty():
+        looked = opened if trailing is None else opened.join(trailing, "run_id", "left_anti")
+        positions = cut_lineage(hits.positions_of(looked))
+        frames = cut_lineage(hits.index_frames(positions, lambda held, by: held_bars(held, bars, by), track_by))
+        parts.append(hits.exits(positions, frames, overall_hit, thin))
+    pos = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True).select(*parts[0].columns)
+    return opened, pos
 
 
 def replay(
@@ -337,9 +354,12 @@ def replay(
     expiry_rules: DataFrame | None = None,
     entry_filter: DataFrame | None = None,
     track_by: str = "offset",
+    thin: bool = False,
 ) -> Replay:
     """Trades and equity of all runs in one plan.
 
+    ``thin`` keeps only the bars that trades and daily equity need; bar-grain equity then has none.
+
     ``signals`` (symbol, date, time, signal) confirm momentum re-entries; ``entry_filter``
     (run_id, date, time) keeps only those regular entries; ``expiry_rules`` enforce
     trade_on_expiry. What several later steps read is written once: the spine, the opened
@@ -357,7 +377,9 @@ def replay(
 
         wanted = expiry_gate(wanted, runs, expiry_rules)
     times = runs.select(c("entry_time").alias("time"))
-    opened, pos = _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, times)
+    trailing = legs.where("trail_sl_enabled").select("run_id").distinct()
+    trailing = None if trailing.isEmpty() else cut_lineage(trailing)
+    opened, pos = _evaluate(wanted, runs, legs, bars, hz, lot_rules, track_by, trailing, thin, times)
     pos = cut_lineage(pos.withColumn("start_ts", c("entry_ts")).withColumn("forced", F.lit(False)).withColumn("attempt", F.lit(0)))
 
     exits = pos.where(c("reason").isNotNull()).select(*EXIT)
@@ -365,14 +387,14 @@ def replay(
         kept_hz = cut_lineage(hz)
 
         def evaluate(wanted):
-            return _evaluate(wanted, runs, legs, bars, kept_hz, lot_rules, track_by)
+            return _evaluate(wanted, runs, legs, bars, kept_hz, lot_rules, track_by, trailing, thin)
 
         opened, pos, exits = with_reentries(opened, pos, runs, legs, bars, with_ordinals(spine), signals, evaluate)
 
     taken = non_overlapping(exits)
     pos = pos.join(taken, [*KEY, "forced"], "left_semi")
     trades = closed_trades(opened, pos.where(c("reason").isNotNull()))
-    return Replay(trades, pos, spine, runs, opened)
+    return Replay(trades, pos, spine, runs, opened, thin)
 
 
 def _run_spine(spine: DataFrame, runs: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def apply_overrides(runs: DataFrame, legs: DataFrame, ranges: list[dict]) -> tup
 def sweep_metrics(bars: DataFrame, runs: DataFrame, legs: DataFrame, ranges: list[dict]) -> DataFrame:
     """Metrics per base run and combination from one replay over all of them."""
     many, many_legs = apply_overrides(runs, legs, ranges)
-    done = R.replay(bars, many.drop("base_run_id", "combo_index", "params"), many_legs)
+    done = R.replay(bars, many.drop("base_run_id", "combo_index", "params"), many_legs, thin=True)
     span = done.spine.groupBy("symbol").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
     table = many.select("run_id", "symbol", "capital").join(span, "symbol")
     trades = cut_lineage(done.trades)

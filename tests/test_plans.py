@@ -191,3 +191,28 @@ def test_queries_and_texts_have_the_same_names():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 80
+
+
+def test_sweep_adds_no_frames(spark):
+    """Stops, targets and lots share the bars of a held contract; another strike holds other bars."""
+    from strikelake.operators.contracts import bar_spine, entry_candidates, horizons
+    from strikelake.plans import hits, replay, sweep
+
+    rows = [
+        ("A", dt.date(2024, 1, d), f"{h:02d}:20:00", kind, off, 100.0 + 7 * off + h * d % 13, 130.0, 60.0, 1000.0)
+        for d in range(1, 6) for h in range(9, 15) for kind in ("CE", "PE") for off in (-1, 0, 1)
+    ]
+    bars = spark.createDataFrame(rows, "symbol string, date date, time string, option_type string, strike_offset int, close double, high double, low double, spot double")
+    leg = dict(option_type="CE", position="sell", stop_loss_enabled=True, stop_loss_type="points", stop_loss_value=5)
+    runs, legs = strategy_frames(spark, [dict(run_id="r", underlying="A", entry_time="09:20", exit_time="14:20", capital=1e5, lot_size=15, legs=[leg, {**leg, "option_type": "PE"}])])
+
+    def frames(ranges):
+        many, many_legs = sweep.apply_overrides(runs, legs, ranges)
+        spine = bar_spine(bars)
+        opened = replay.with_horizon(replay.open_legs(entry_candidates(spine, many), many.drop("base_run_id", "combo_index", "params"), many_legs, bars), horizons(spine, many))
+        positions = hits.positions_of(opened)
+        return positions.count(), hits.index_frames(positions, lambda held, by: replay.held_bars(held, bars, by), "offset").count()
+
+    stops = {"name": "sl_value", "min": 1, "max": 30, "step": 1}
+    assert frames([stops, {"name": "lots", "min": 1, "max": 3, "step": 1}]) == (5 * 90, 5)
+    assert frames([stops, {"name": "strike_offset", "min": -1, "max": 1, "step": 1}]) == (5 * 90, 15)
