@@ -17,11 +17,13 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut_lineage
+from .encode import Encoder
 
 #: Sixteen-bit numbers with one or two bits set.
 CLOSE = np.array(
@@ -56,6 +58,7 @@ def fingerprint_of(text: Column, shingle: int = 3, seed: int = 42) -> Column:
 
     @pandas_udf("long")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        Encoder.release()
         for texts in batches:
             yield pd.Series([fingerprint(t, shingle, seed) for t in texts], dtype="int64")
 
@@ -162,20 +165,32 @@ def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = 3, seed: int
     return rows.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and row every row was read from, as a struct ``at``; rows of other origin are written first."""
+    try:
+        origin = docs.metadataColumn("_metadata")
+        return docs.withColumn("at", F.struct(origin["file_path"].alias("file"), origin["row_index"].alias("row")))
+    except AnalysisException:
+        return identified(cut_lineage(docs))
+
+
 def one_of_each(docs: DataFrame, most: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row of each near-duplicate class of ``docs``, with all its columns: the smallest doc_id, null last.
 
-    Rows get a number when they are written with their fingerprints; of rows with the same id the
-    smallest number stays.
+    Classes are settled on narrow rows that name the file and row of each document; of rows with the
+    same id the first so named stays. The documents are then read once more and meet the names of
+    those that stay by hash join, so neither their number nor their length changes the plan. An empty
+    table gives no rows.
     """
+    columns = [F.col(f"doc.{c}") for c in map("`{}`".format, docs.columns)]
+    known = identified(docs.select(F.struct("*").alias("doc")))
     numbered = cut_lineage(
-        docs.select(F.struct("*").alias("row"), "doc_id", fingerprint_of(F.col("text"), shingle, seed).alias("fingerprint"))
-        .withColumn("number", F.monotonically_increasing_id())
+        known.select("at", F.col("doc.doc_id").alias("doc_id"), fingerprint_of(F.col("doc.text"), shingle, seed).alias("fingerprint"))
     )
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
     least = cut_lineage(numbered.groupBy("fingerprint").agg(F.min(rank).alias("rank")))
     linked = classes(least, most)
     rooted = least.join(linked, least["fingerprint"] == linked["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("rank.last").alias("any"), F.min("rank").alias("rank"))
-    kept = cut_lineage(kept.select(F.col("rank.number").alias("kept")))
-    return numbered.join(kept, numbered["number"] == kept["kept"], "left_semi").select("row.*")
+    kept = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("rank").alias("rank"))
+    kept = cut_lineage(kept.select("rank.at"))
+    return known.join(kept.hint("shuffle_hash"), "at", "left_semi").select(*columns)
