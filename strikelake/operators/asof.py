@@ -9,7 +9,7 @@ from ..functions.clock import monthly_expiry, next_weekday, weekday_code
 
 
 def _resolve(df: DataFrame, rules: DataFrame, symbol: str, date: str, values: list[str]) -> DataFrame:
-    """Rule values per distinct (symbol, date); the earliest-starting rule wins.
+    """Rule values per distinct (symbol, date); the earliest-starting rule wins, of equal ones the weekly or least.
 
     Only the distinct pairs meet the ranges, so the range condition never sees the fact rows
     and a symbol with most of the rows costs no more than any other.
@@ -19,7 +19,9 @@ def _resolve(df: DataFrame, rules: DataFrame, symbol: str, date: str, values: li
         F.upper("symbol").alias("_rs"), F.col("from_date").alias("_f"), F.col("to_date").alias("_t"), *values
     )
     hit = keys.join(r, (F.upper("_s") == F.col("_rs")) & F.col("_d").between(F.col("_f"), F.col("_t")))
-    return hit.groupBy("_s", "_d").agg(F.min_by(F.struct(*values), F.struct("_f", "_t")).alias("_v"))
+    ties = [F.col(v) != "weekly" if v == "type" else F.col(v) for v in values]
+    order = F.struct("_f", "_t", *[t.alias(f"_o{i}") for i, t in enumerate(ties)])
+    return hit.groupBy("_s", "_d").agg(F.min_by(F.struct(*values), order).alias("_v"))
 
 
 def lot_size_asof(df: DataFrame, rules: DataFrame, symbol: str = "symbol", date: str = "entry_date", out: str = "lot_size", default: int | None = None) -> DataFrame:
@@ -44,6 +46,25 @@ def expiry_asof(df: DataFrame, rules: DataFrame, symbol: str = "symbol", date: s
     return joined.drop("_s", "_d")
 
 
+def roll_table(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """Expiry that a contract of each (symbol, expiry_type, date) of ``keys`` runs to: those and expiry_date.
+
+    The rule in force is the earliest-starting one of that type; keys without one are left out.
+    """
+    k = keys.select("symbol", "expiry_type", "date").distinct()
+    r = rules.select(F.upper("symbol").alias("_s"), F.col("type").alias("_type"), "day", F.col("from_date").alias("_f"), F.col("to_date").alias("_t"))
+    met = k.join(r, (F.upper("symbol") == F.col("_s")) & (F.col("expiry_type") == F.col("_type")) & F.col("date").between(F.col("_f"), F.col("_t")))
+    rule = met.groupBy("symbol", "expiry_type", "date").agg(F.min_by("day", F.struct("_f", "_t")).alias("day"))
+    code = weekday_code(F.col("day"))
+    expiry = F.when(F.col("expiry_type") == "weekly", next_weekday("date", code)).when(F.col("expiry_type") == "monthly", monthly_expiry("date", code))
+    return rule.select("symbol", "expiry_type", "date", expiry.alias("expiry_date")).where("expiry_date IS NOT NULL")
+
+
+def with_expiry_dates(bars: DataFrame, rules: DataFrame) -> DataFrame:
+    """``bars`` (with expiry_type) with the expiry_date of their contracts, null without a rule."""
+    return bars.join(roll_table(bars, rules), ["symbol", "expiry_type", "date"], "left")
+
+
 def expiry_gate(candidates: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop entries on expiry day for runs that do not trade it."""
     kept = candidates.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import bar_ts
@@ -11,11 +11,22 @@ from .ordered import ordinal
 DEFAULT_PREMIUM = 200.0
 
 
+def expiry_of(bars: DataFrame) -> Column:
+    """Expiry type of each bar; the empty text where bars hold one type only and do not name it."""
+    return F.coalesce("expiry_type", F.lit("")) if "expiry_type" in bars.columns else F.lit("")
+
+
+def series_of(bars: DataFrame) -> Column:
+    """Which contract a bar of a given offset belongs to: its expiry type and, where known, its expiry date."""
+    kind = expiry_of(bars)
+    return F.concat_ws("@", kind, F.col("expiry_date").cast("string")) if "expiry_date" in bars.columns else kind
+
+
 def bar_spine(bars: DataFrame) -> DataFrame:
     """One row per symbol and bar time; spot is that of the first contract in chain order."""
     return (
         bars.groupBy("symbol", "date", "time")
-        .agg(F.min_by("spot", F.struct("strike_offset", "option_type")).alias("spot"))
+        .agg(F.min_by("spot", F.struct("strike_offset", "option_type", expiry_of(bars))).alias("spot"))
         .withColumn("ts", bar_ts())
     )
 
@@ -37,7 +48,9 @@ def select_contract(wanted: DataFrame, legs: DataFrame, bars: DataFrame, times:
     ``wanted`` has run_id, symbol, date, time, ts. Modes: ``atm_offset`` needs that exact
     offset; ``premium`` takes the close nearest to the target, ``percent_otm`` the nearest
     offset, ``delta`` the nearest delta; ties go to the lower offset. A delta leg without
-    usable greeks takes the money strike, or else the lowest strike. ``times`` (one column,
+    usable greeks takes the money strike, or else the lowest strike. Where bars name their expiry
+    type, a leg takes contracts of its ``expiry`` only (weekly, if it names none), and ``held_series``
+    says which expiry it holds. ``times`` (one column,
     ``time``) names the only bar times that can be asked for.
     """
     if times is not None:
@@ -52,6 +65,7 @@ def select_contract(wanted: DataFrame, legs: DataFrame, bars: DataFrame, times:
         F.col("strike_offset").alias("wanted_offset"),
         F.coalesce("premium_target", F.lit(DEFAULT_PREMIUM)).alias("premium_target"),
         "delta_target",
+        (F.coalesce("expiry", F.lit("weekly")) if "expiry_type" in bars.columns else F.lit("")).alias("expiry"),
     )
     asked = wanted.select("run_id", "symbol", "date", "time", "ts").join(pick, "run_id")
     chain = bars.select(
@@ -62,11 +76,13 @@ def select_contract(wanted: DataFrame, legs: DataFrame, bars: DataFrame, times:
         F.col("strike_offset").alias("held_offset"),
         F.col("close").alias("raw_price"),
         F.col("spot").alias("entry_spot"),
+        expiry_of(bars).alias("expiry"),
+        series_of(bars).alias("held_series"),
         (F.col("strike") if "strike" in bars.columns else F.lit(None).cast("double")).alias("held_strike"),
         (F.col("delta") if has_delta else F.lit(None).cast("double")).alias("_delta"),
     )
     c = F.col
-    found = asked.join(chain, ["symbol", "date", "time", "option_type"]).where(
+    found = asked.join(chain, ["symbol", "date", "time", "option_type", "expiry"]).where(
         (c("strike_mode") != "atm_offset") | (c("held_offset") == c("wanted_offset"))
     )
     usable = c("_delta").isNotNull() & ~F.isnan("_delta") & (c("_delta") != 0) & c("delta_target").isNotNull()
@@ -81,7 +97,7 @@ def select_contract(wanted: DataFrame, legs: DataFrame, bars: DataFrame, times:
     )
     best = found.groupBy("run_id", "symbol", "date", "time", "ts", "leg_no", "option_type").agg(
         F.min_by(
-            F.struct("held_offset", "held_strike", "raw_price", "entry_spot"),
+            F.struct("held_offset", "held_strike", "held_series", "raw_price", "entry_spot"),
             F.struct(distance.alias("d"), c("held_offset").alias("o"), c("raw_price").alias("p")),
         ).alias("_b")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 c = F.col
 
 #: What makes legs of different runs the same leg of a frame.
-_LEG = ["leg_no", "option_type", "held_offset", "held_strike", "position", "sign", "entry_price", "entry_spot"]
+_LEG = ["leg_no", "option_type", "held_offset", "held_strike", "held_series", "position", "sign", "entry_price", "entry_spot"]
 _SPAN = ["symbol", "entry_ts", "entry_date", "horizon_ts", "eod"]
 _TERMS = [
     "leg_no", "quantity", "stop_loss_enabled", "stop_loss_type", "stop_loss_value",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import bar_ts
+from ..operators.contracts import expiry_of
 from ..operators.ordered import block_scan
 from ..session import cut_lineage
 
@@ -86,7 +87,7 @@ def ready_bars(armed: DataFrame, runs: DataFrame, spine: DataFrame, confirmation
 def reentry_times(ready: DataFrame, legs: DataFrame, bars: DataFrame, spine: DataFrame) -> DataFrame:
     """The bar each armed run opens again on: the first from its first ready bar on where a leg has a contract.
 
-    What a leg needs is a key: the option type, for a leg at a fixed offset that offset, and for a run
+    What a leg needs is a key: the option and expiry type, for a leg at a fixed offset that offset, and for a run
     with a same_time leg the entry time. Questions and the chain's bars are put in one order of
     time for each key and read backward once, the latest bar met being the answer; a key has at
     most as many rows as the calendar has bars, and questions.
@@ -95,15 +96,16 @@ def reentry_times(ready: DataFrame, legs: DataFrame, bars: DataFrame, spine: Dat
     first = ready.groupBy("run_id", "symbol", "entry_time", "armed_ts").agg(F.min("ready_ord").alias("ord"))
     first = first.join(spine.select("symbol", "ord", c("ts").alias("ready_ts")), ["symbol", "ord"])
     same = legs.groupBy("run_id").agg(F.max(c("reentry_mode") == "same_time").alias("_same"))
-    key = ["symbol", "option_type", "offset", "clock"]
-    asked = first.join(same, "run_id").join(legs.select("run_id", "option_type", "strike_mode", "strike_offset"), "run_id").select(
-        "run_id", "armed_ts", "ready_ts", "symbol", "option_type",
+    key = ["symbol", "option_type", "expiry", "offset", "clock"]
+    expiry = F.coalesce("expiry", F.lit("weekly")) if "expiry_type" in bars.columns else F.lit("")
+    asked = first.join(same, "run_id").join(legs.select("run_id", "option_type", "strike_mode", "strike_offset", expiry.alias("expiry")), "run_id").select(
+        "run_id", "armed_ts", "ready_ts", "symbol", "option_type", "expiry",
         F.when(c("strike_mode") == "atm_offset", c("strike_offset")).alias("offset"),
         F.when(c("_same"), c("entry_time")).alias("clock"),
     )
     asked = cut_lineage(asked)
-    chain = bars.select("symbol", "option_type", c("strike_offset").alias("at_offset"), c("date"), c("time"))
-    met = chain.join(asked.select(*key).distinct(), ["symbol", "option_type"]).where(
+    chain = bars.select("symbol", "option_type", expiry_of(bars).alias("expiry"), c("strike_offset").alias("at_offset"), c("date"), c("time"))
+    met = chain.join(asked.select(*key).distinct(), ["symbol", "option_type", "expiry"]).where(
         (c("offset").isNull() | (c("offset") == c("at_offset"))) & (c("clock").isNull() | (c("clock") == c("time")))
     )
     met = met.select(*key, bar_ts().alias("ts")).distinct()

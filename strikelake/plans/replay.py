@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..functions.clock import bar_ts
-from ..operators.asof import lot_size_asof
-from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, with_ordinals
+from ..operators.asof import expiry_gate, lot_size_asof, with_expiry_dates
+from ..operators.contracts import bar_spine, entry_candidates, horizons, select_contract, series_of, with_ordinals
 from ..operators.ordered import block_scan
 from ..session import cut_lineage
 from . import hits
@@ -96,8 +96,8 @@ def held_bars(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> D
     """Every bar of each held contract from entry to horizon, with its worst and best price for the leg.
 
     ``opened`` carries its horizon (:func:`with_horizon`). The interval is turned into its days, so
-    the join with bars is an equality on (symbol, date, option type, contract); only the ends need
-    the time comparison.
+    the join with bars is an equality on (symbol, date, option type, contract, expiry); only the ends
+    need the time comparison.
     """
     held = opened.withColumn("date", F.explode(F.sequence("entry_date", c("horizon_ts").cast("date"))))
     contract = {"offset": ("held_offset", "strike_offset"), "strike": ("held_strike", "strike")}[track_by]
@@ -107,13 +107,14 @@ def held_bars(opened: DataFrame, bars: DataFrame, track_by: str = "offset") -> D
         c("time").alias("time"),
         "option_type",
         c(contract[1]).alias(contract[0]),
+        series_of(bars).alias("held_series"),
         c("close"),
         c("high"),
         c("low"),
         c("spot"),
         (c("delta") if "delta" in bars.columns else F.lit(None).cast("double")).alias("delta"),
     ).withColumn("ts", bar_ts())
-    m = held.join(prices, ["symbol", "date", "option_type", contract[0]]).where(
+    m = held.join(prices, ["symbol", "date", "option_type", contract[0], "held_series"]).where(
         c("ts").between(c("entry_ts"), c("horizon_ts"))
     )
     # The entry bar is close-only: the position did not exist during its range.
@@ -362,19 +363,24 @@ def replay(
 
     ``signals`` (symbol, date, time, signal) confirm momentum re-entries; ``entry_filter``
     (run_id, date, time) keeps only those regular entries; ``expiry_rules`` enforce
-    trade_on_expiry. What several later steps read is written once: the spine, the opened
+    trade_on_expiry. Where bars name their expiry type, a leg trades its ``expiry`` or, if it names
+    none, its run's ``expiry_filter``; with ``expiry_rules`` a position keeps to the expiry date it
+    was opened for, and has no bars after it. What several later steps read is written once: the spine, the opened
     legs, and the narrow position bars (for the trades, the one-at-a-time rule and equity).
     """
     from .reentry import with_reentries
 
+    if "expiry_type" in bars.columns:
+        filters = runs.select("run_id", c("expiry_filter").alias("_filter"))
+        legs = legs.join(filters, "run_id").withColumn("expiry", F.coalesce("expiry", "_filter")).select(*legs.columns)
+        if expiry_rules is not None and "expiry_date" not in bars.columns:
+            bars = cut_lineage(with_expiry_dates(bars, expiry_rules))
     spine = cut_lineage(bar_spine(bars))
     hz = horizons(spine, runs)
     wanted = entry_candidates(spine, runs)
     if entry_filter is not None:
         wanted = wanted.join(entry_filter.select("run_id", "date", "time").distinct(), ["run_id", "date", "time"], "left_semi")
     if expiry_rules is not None:
-        from ..operators.asof import expiry_gate
-
         wanted = expiry_gate(wanted, runs, expiry_rules)
     times = runs.select(c("entry_time").alias("time"))
     trailing = legs.where("trail_sl_enabled").select("run_id").distinct()

@@ -397,6 +397,95 @@ def reentry_query(spark, sf):
     )
 
 
+# ------------------------------------------------------------------ expiries and replay options
+
+EXPIRIES = [
+    strategy("weekly", [leg("CE", strike_mode="percent_otm", **sl("percent_of_premium", 80))], exit_time="23:30:00"),
+    strategy("by_filter", [leg("CE", strike_mode="percent_otm", **sl("percent_of_premium", 80))], exit_time="23:30:00", expiry_filter="monthly"),
+    strategy("calendar", [leg("PE", expiry="weekly", strike_mode="percent_otm"), leg("PE", BUY, expiry="monthly", strike_mode="percent_otm", **target("percent_of_premium", 50))],
+             trade_on_expiry=False),
+    strategy("trailing", [leg("PE", expiry="monthly", **trail("lock", 20, trail_sl_lock_in=50.0))], exit_time="23:30:00"),
+    strategy("again", [leg("CE", expiry="monthly", strike_offset=1, **sl("percent_of_premium", 40))]),
+]
+
+
+def two_expiries(b):
+    """Weekly bars as they are, and monthly ones of the same offsets at other prices, at every other bar time."""
+    far = b.where(F.substring("time", 1, 2).cast("int") % 2 == 1)
+    far = far.select(*[(F.col(n) + F.lit(7.0)).alias(n) if n in ("open", "high", "low", "close") else n for n in b.columns])
+    return b.withColumn("expiry_type", F.lit("weekly")).unionByName(far.withColumn("expiry_type", F.lit("monthly")))
+
+
+def expiry_rules_of(symbols):
+    """Weekly expiries on Wednesdays and monthly ones on the last Thursday, by symbol."""
+    kinds = [("weekly", "Wednesday"), ("monthly", "last_thursday")]
+    rules = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(d).alias("day")) for t, d in kinds])
+    return symbols.select(
+        "symbol", F.lit("1990-01-01").cast("date").alias("from_date"), F.lit("2099-12-31").cast("date").alias("to_date"), F.inline(rules)
+    )
+
+
+def expiry_query(spark, sf):
+    b, runs, legs = frames(spark, sf, EXPIRIES)
+    b = cut_lineage(two_expiries(b))
+    rules = expiry_rules_of(b.select("symbol").distinct())
+    t = R.replay(b, runs, legs, expiry_rules=rules).trades
+    return text_dates(
+        t.select(
+            "run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("exit_ts").alias("exit_at"),
+            "held_offset", "exit_reason", "bars_held", "entry_price", "exit_price", "pnl_gross",
+        ),
+        {"pnl_gross": 4},
+    )
+
+
+TWO_B = """two AS (
+  SELECT *, 'weekly' AS kind FROM bars
+  UNION ALL SELECT * REPLACE (open+7 AS open, high+7 AS high, low+7 AS low, close+7 AS close), 'monthly' FROM bars WHERE CAST(time[1:2] AS INT) % 2 = 1),
+two_m AS (SELECT *, last_day(date) - CAST((isodow(last_day(date)) - 4 + 7) % 7 AS INT) AS e0, last_day(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE)) AS l1 FROM two),
+b AS (SELECT *, CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS delta,
+  CAST(CASE WHEN kind = 'weekly' THEN date + CAST((3 - isodow(date) + 7) % 7 AS INT) WHEN date <= e0 THEN e0 ELSE l1 - CAST((isodow(l1) - 4 + 7) % 7 AS INT) END AS DATE) AS due FROM two_m)"""
+
+
+def expiry_sql():
+    """The replay rules with the expiry type among what a leg asks for and the due date among what it holds."""
+    opening = OPEN_SQL.replace("b.spot AS entry_spot,", "b.spot AS entry_spot, b.kind AS held_kind, b.due AS held_due,").replace(
+        "AND b.option_type = l.option_type", "AND b.option_type = l.option_type AND b.kind = coalesce(l.expiry, r.expiry_filter)"
+    )
+    # The gate asks the earliest-starting rule, the weekly one of two that start together.
+    gate = "r.entry_time AND (r.trade_on_expiry OR isodow(sp.date) <> 3)"
+    marks = MARKS_SQL.replace("AND b.strike_offset = o.held_offset", "AND b.strike_offset = o.held_offset AND b.kind = o.held_kind AND b.due = o.held_due")
+    return f"WITH RECURSIVE {BARS_SQL}, {TWO_B}, {config_sql(EXPIRIES)}, {opening.replace('r.entry_time JOIN', gate + ' JOIN')}, {marks}\n{EXITS_SELECT}"
+
+
+def options_query(spark, sf):
+    """Dated lots, an entry filter and strike tracking in one replay."""
+    b, runs, legs = frames(spark, sf, CARRIED + COSTS)
+    runs = runs.withColumn("lot_size", F.when(F.col("run_id").startswith("until"), F.lit(None).cast("int")).otherwise(F.col("lot_size")))
+    symbols = b.select("symbol").distinct()
+    lots = symbols.select("symbol", F.inline(F.array(*[
+        F.struct(F.lit(f).cast("date").alias("from_date"), F.lit(t).cast("date").alias("to_date"), F.lit(n).alias("size"))
+        for f, t, n in (("1990-01-01", "2024-01-15", 25), ("2024-01-16", "2099-12-31", 40))
+    ])))
+    allowed = runs.join(b.select("symbol", "date").distinct(), "symbol").where(F.dayofmonth("date") % 2 == 1)
+    allowed = allowed.select("run_id", "date", F.col("entry_time").alias("time"))
+    t = R.replay(b, runs, legs, lot_rules=lots, entry_filter=allowed, track_by="strike").trades
+    return text_dates(
+        t.select(
+            "run_id", "leg_no", _stamp("entry_ts").alias("entry_at"), _stamp("exit_ts").alias("exit_at"), "lot_size",
+            "held_offset", "exit_reason", "bars_held", "entry_price", "exit_price", "pnl_gross",
+        ),
+        {"pnl_gross": 4},
+    )
+
+
+OPTIONS_SQL = replay_sql(CARRIED + COSTS, EXITS_SELECT.replace("CAST(held_offset", "CAST(lot_size AS BIGINT) AS lot_size, CAST(held_offset")).replace(
+    "sp.time = r.entry_time JOIN", "sp.time = r.entry_time AND day(sp.date) % 2 = 1 JOIN"
+).replace("r.* EXCLUDE (run_id, symbol)", """r.* EXCLUDE (run_id, symbol) REPLACE (CASE WHEN r.run_id LIKE 'until%' THEN CASE WHEN p.entry_ts < TIMESTAMP '2024-01-16' THEN 25 ELSE 40 END ELSE r.lot_size END AS lot_size)""").replace(
+    "CAST(l.lots * r.lot_size AS DOUBLE)", "CAST(l.lots * CASE WHEN r.run_id LIKE 'until%' THEN CASE WHEN p.entry_ts < TIMESTAMP '2024-01-16' THEN 25 ELSE 40 END ELSE r.lot_size END AS DOUBLE)"
+).replace("b.strike_offset AS held_offset,", "b.strike_offset AS held_offset, b.strike AS held_strike,").replace("b.strike_offset = o.held_offset", "b.strike = o.held_strike")
+
+
 ENTRIES = {
     "D01_bar_spine": (spine_query, SPINE_SQL),
     "C01_C03_D02_select_contract": (select_query, SELECT_SQL),
@@ -410,4 +499,6 @@ ENTRIES = {
     "D31_equity_snapshots": (equity_query, replay_sql(COSTS + CARRIED, EQUITY_SELECT)),
     "F05_daily_equity": (daily_equity_query, replay_sql(COSTS + CARRIED, DAILY_SELECT)),
     "D27_D30_reentries": (reentry_query, REENTRY_SQL),
+    "C01_D33_expiries": (expiry_query, expiry_sql()),
+    "C06_D32_replay_options": (options_query, OPTIONS_SQL),
 }

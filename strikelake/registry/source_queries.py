@@ -252,7 +252,7 @@ FROM d LEFT JOIN lots l ON upper(d.symbol)=l.symbol AND date BETWEEN f AND t"""
 
 
 def expiry_asof(spark, sf):
-    return text_dates(asof.expiry_asof(_dated(spark, sf), calendars.expiry_rules(spark)).where(F.col("expiry_date").isNotNull()))
+    return text_dates(asof.expiry_asof(_dated(spark, sf), calendars.expiry_rules(spark)))
 
 
 _EXPIRY_CTE = f"""{_DATED_SQL}, {_EXPIRIES},
@@ -261,8 +261,8 @@ r AS (SELECT d.*, type, CASE lower(replace(day,'last_','')) WHEN 'monday' THEN 1
 m AS (SELECT *, last_day(date) - CAST((isodow(last_day(date)) - wd + 7) % 7 AS INT) AS e0, last_day(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE)) AS l1 FROM r),
 x AS (SELECT *, CAST(CASE WHEN type='weekly' THEN date + CAST((wd - isodow(date) + 7) % 7 AS INT) WHEN date <= e0 THEN e0 ELSE l1 - CAST((isodow(l1) - wd + 7) % 7 AS INT) END AS DATE) AS expiry_date FROM m)"""
 
-EXPIRY_SQL = f"""WITH {_EXPIRY_CTE} SELECT orderkey, CAST(date AS VARCHAR) AS date, symbol, type AS expiry_type, CAST(expiry_date AS VARCHAR) AS expiry_date,
-  CAST(date_diff('day', date, expiry_date) AS BIGINT) AS dte FROM x"""
+EXPIRY_SQL = f"""WITH {_EXPIRY_CTE} SELECT d.orderkey, CAST(d.date AS VARCHAR) AS date, d.symbol, type AS expiry_type, CAST(expiry_date AS VARCHAR) AS expiry_date,
+  CAST(date_diff('day', d.date, expiry_date) AS BIGINT) AS dte FROM d LEFT JOIN x ON x.orderkey = d.orderkey"""
 
 
 def expiry_gate(spark, sf):

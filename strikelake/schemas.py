@@ -114,7 +114,7 @@ RUN_DEFAULTS = {
 }
 LEG_DEFAULTS = {
     "lots": 1,
-    "expiry": "weekly",
+    "expiry": None,
     "strike_mode": "atm_offset",
     "strike_offset": 0,
     "delta_target": None,

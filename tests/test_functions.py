@@ -168,3 +168,21 @@ def test_surface(spark):
     xs, ys = [float(p[0]) for p in points], [p[1] for p in points]
     for r in got:
         assert r.iv == pytest.approx(spline(xs, ys, r.offset), abs=1e-12)
+
+
+def test_rolls_and_ties(spark):
+    rules = spark.createDataFrame(
+        [("a", dt.date(2024, 1, 1), dt.date(2024, 12, 31), "monthly", "last_thursday"), ("A", dt.date(2024, 1, 1), dt.date(2024, 12, 31), "weekly", "Wednesday"),
+         ("A", dt.date(2024, 2, 1), dt.date(2024, 12, 31), "weekly", "Friday")],
+        "symbol string, from_date date, to_date date, type string, day string",
+    )
+    days = [dt.date(2024, 1, 3), dt.date(2024, 1, 26), dt.date(2024, 2, 1)]
+    keys = spark.createDataFrame([("A", k, d) for d in days for k in ("weekly", "monthly", None)] + [("B", "weekly", days[0])], "symbol string, expiry_type string, date date")
+    got = {(r.expiry_type, r.date): r.expiry_date for r in asof.roll_table(keys, rules).collect()}
+    assert got == {
+        ("weekly", days[0]): days[0], ("weekly", days[1]): dt.date(2024, 1, 31), ("weekly", days[2]): dt.date(2024, 2, 7),
+        ("monthly", days[0]): dt.date(2024, 1, 25), ("monthly", days[1]): dt.date(2024, 2, 29), ("monthly", days[2]): dt.date(2024, 2, 29),
+    }
+    assert asof.with_expiry_dates(keys, rules).where("expiry_date IS NULL").count() == 4
+    # Of rules that start together the weekly one gates.
+    assert {r.expiry_type for r in asof.expiry_asof(keys.where("symbol = 'A'").select("symbol", "date"), rules).collect()} == {"weekly"}
