@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pricing import leg_margin, strategy_margin
 from . import metrics as M
@@ -114,65 +119,44 @@ def peak_margin(timeline: DataFrame) -> DataFrame:
 def margin_admission(positions: DataFrame, portfolios: DataFrame) -> DataFrame:
     """Accept or skip each entry in time order while margin is available.
 
-    A skipped position never holds margin. The decision is sequential, but only inside a
-    stretch of overlapping positions: whenever every requested position has closed, nothing
-    is held either way. Stretches whose total request fits the capital are accepted whole;
-    only contested stretches are folded, one array per stretch.
+    Returns the positions with accepted, available_margin (before the entry) and reason. A skipped
+    position never holds margin; one that ends at a moment frees its margin before that moment's
+    entries, which follow in the order of run_id, exit and margin. The decision on an entry
+    depends on all before it, so a portfolio's entries pass through one task as a sorted stream;
+    what the task holds is a heap of the positions open at that moment, by exit. Margins are added
+    and taken away as exact fractions, so nothing drifts however many have come and gone.
     """
     c = F.col
-    lasting = positions.where(c("exit_ts") > c("entry_ts"))
-    opens = positions.groupBy("portfolio", c("entry_ts").alias("ts")).agg(F.count(F.lit(1)).alias("opens"))
-    lasts = lasting.groupBy("portfolio", c("entry_ts").alias("ts")).agg(F.count(F.lit(1)).alias("starts"))
-    ends = lasting.groupBy("portfolio", c("exit_ts").alias("ts")).agg(F.count(F.lit(1)).alias("ends"))
-    at = opens.join(lasts, ["portfolio", "ts"], "left").join(ends, ["portfolio", "ts"], "full").na.fill(0)
-    # One row per portfolio and bar time with an event.
-    w = Window.partitionBy("portfolio").orderBy("ts")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum("starts").over(upto) - c("starts") - F.sum("ends").over(upto)
-    at = at.withColumn("_new", F.when((before == 0) & (c("opens") > 0), 1).otherwise(0))
-    at = at.withColumn("_stretch", F.sum("_new").over(upto)).where(c("opens") > 0)
-    at = at.select("portfolio", c("ts").alias("entry_ts"), "_stretch")
-    p = positions.join(at, ["portfolio", "entry_ts"])
-    asked = p.groupBy("portfolio", "_stretch").agg(F.sum("margin").alias("_asked"))
-    p = p.join(asked, ["portfolio", "_stretch"]).join(portfolios.select("portfolio", "total_capital"), "portfolio")
     kept = ["portfolio", "run_id", "entry_ts", "exit_ts", "margin"]
-    # Where everything is accepted, what is held before an entry is all earlier requests less those
-    # that have ended; a position that ends as it starts holds nothing.
-    lasts_on = c("exit_ts") > c("entry_ts")
-    moves = p.where(c("_asked") <= c("total_capital")).select(
-        *kept, "_stretch", "total_capital",
-        F.explode(F.array(F.struct(c("entry_ts").alias("ts"), F.lit(1).alias("side")), F.struct(c("exit_ts").alias("ts"), F.lit(0).alias("side")))).alias("_m"),
-    ).where((c("_m.side") == 1) | lasts_on)
-    held = F.when(lasts_on, F.when(c("_m.side") == 1, c("margin")).otherwise(-c("margin"))).otherwise(0.0)
-    order = Window.partitionBy("portfolio", "_stretch").orderBy("_m.ts", "_m.side", "run_id", "exit_ts", "margin")
-    before = F.coalesce(F.sum(held).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    free = moves.withColumn("_left", c("total_capital") - before).where(c("_m.side") == 1).select(
-        *kept, F.lit(True).alias("accepted"), c("_left").alias("available_margin")
-    )
-    item = F.struct("entry_ts", "run_id", "exit_ts", "margin")
-    tight = p.where(c("_asked") > c("total_capital")).groupBy("portfolio", "_stretch", "total_capital").agg(
-        F.array_sort(F.collect_list(item)).alias("_all")
-    )
-    held_type = "array<struct<until:timestamp_ntz,margin:double>>"
-    done_type = "array<struct<entry_ts:timestamp_ntz,run_id:string,exit_ts:timestamp_ntz,margin:double,accepted:boolean,available:double>>"
-    zero = F.struct(F.array().cast(held_type).alias("held"), F.array().cast(done_type).alias("done"))
-
-    def step(acc, x):
-        held = F.filter(acc["held"], lambda h: h["until"] > x["entry_ts"])
-        left = c("total_capital") - F.aggregate(held, F.lit(0.0), lambda s, h: s + h["margin"])
-        ok = x["margin"] <= left
-        mine = F.array(F.struct(x["exit_ts"].alias("until"), x["margin"].alias("margin")))
-        row = F.struct(
-            x["entry_ts"].alias("entry_ts"), x["run_id"].alias("run_id"), x["exit_ts"].alias("exit_ts"), x["margin"].alias("margin"),
-            ok.alias("accepted"), left.alias("available"),
-        )
-        return F.struct(F.when(ok, F.concat(held, mine)).otherwise(held).alias("held"), F.concat(acc["done"], F.array(row)).alias("done"))
-
-    folded = tight.select("portfolio", F.explode(F.aggregate("_all", zero, step)["done"]).alias("_r"))
-    contested = folded.select(
-        "portfolio", "_r.run_id", "_r.entry_ts", "_r.exit_ts", "_r.margin", "_r.accepted", c("_r.available").alias("available_margin")
-    )
-    out = free.unionByName(contested.select(*free.columns))
+    asked = positions.select(*kept).join(portfolios.select("portfolio", c("total_capital").cast("double").alias("total_capital")), "portfolio")
+    asked = asked.withColumn("margin", c("margin").cast("double"))
+    order = ["portfolio", "entry_ts", "run_id", "exit_ts", "margin"]
+    names = [*kept, "accepted", "available_margin"]
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, total = None, [], Fraction(0)
+        for batch in batches:
+            ts = [batch.column(k).cast(pa.int64()).to_pylist() for k in ("entry_ts", "exit_ts")]
+            accepted, available = [], []
+            for portfolio, start, end, margin, capital in zip(
+                batch.column("portfolio").to_pylist(), *ts, batch.column("margin").to_pylist(), batch.column("total_capital").to_pylist()
+            ):
+                if portfolio != name:
+                    name, held, total = portfolio, [], Fraction(0)
+                while held and held[0][0] <= start:
+                    total -= heapq.heappop(held)[1]
+                left = float(Fraction(capital) - total)
+                accepted.append(margin <= left)
+                available.append(left)
+                if accepted[-1]:
+                    heapq.heappush(held, (end, Fraction(margin)))
+                    total += Fraction(margin)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in kept], pa.array(accepted, pa.bool_()), pa.array(available, pa.float64())], names=names
+            )
+
+    schema = T.StructType([*asked.select(*kept).schema, T.StructField("accepted", T.BooleanType()), T.StructField("available_margin", T.DoubleType())])
+    out = asked.repartition("portfolio").sortWithinPartitions(*order).mapInArrow(admit, schema)
     return out.withColumn("reason", F.when(~c("accepted"), "insufficient_margin"))
 
 

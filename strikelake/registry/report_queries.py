@@ -570,7 +570,22 @@ def margin_admission(spark, sf):
     b, runs, legs, al = _book(spark, sf)
     t = PF.portfolio_runs(b, runs, legs, al).trades.join(al.select("run_id", "portfolio"), "run_id")
     got = PF.margin_admission(cut_lineage(PF.position_margins(t)), al.select("portfolio").distinct().withColumn("total_capital", F.lit(60000.0)))
-    return text_dates(got.select("portfolio", "run_id", F.substring(F.col("entry_ts").cast("string"), 1, 19).alias("entry_at"), "margin", "accepted", "reason"), None, 4)
+    return text_dates(got.select("portfolio", "run_id", F.substring(F.col("entry_ts").cast("string"), 1, 19).alias("entry_at"), "margin", "accepted", "available_margin", "reason"), None, 4)
+
+
+ADMISSION_SQL = replay_sql(_BOOK_CONF, """, pm AS (
+  SELECT symbol AS portfolio, run_id || '@' || symbol AS run_id, entry_ts, exit_ts,
+    sum(greatest(entry_price*lots*lot_size*3, entry_spot*lots*lot_size*0.12::DOUBLE)) * CASE WHEN count(*) FILTER (position = 'sell') > 0 AND count(*) FILTER (position = 'buy') > 0 THEN 0.7::DOUBLE ELSE 1 END AS margin
+  FROM tr GROUP BY ALL),
+pn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY entry_ts, run_id, exit_ts, margin) AS n FROM pm),
+fold(portfolio, n, run_id, entry_ts, margin, accepted, available, held) AS (
+  SELECT portfolio, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(0 AS DOUBLE), FALSE, CAST(0 AS DOUBLE), CAST([] AS STRUCT(until TIMESTAMP, m DOUBLE)[]) FROM (SELECT DISTINCT portfolio FROM pn)
+  UNION ALL
+  SELECT portfolio, n, run_id, entry_ts, margin, margin <= available, available, CASE WHEN margin <= available THEN list_append(held, {'until': exit_ts, 'm': margin}) ELSE held END
+  FROM (SELECT *, 60000.0::DOUBLE - coalesce(list_sum(list_transform(held, lambda h: h.m)), 0) AS available
+    FROM (SELECT p.*, list_filter(f.held, lambda h: h.until > p.entry_ts) AS held FROM fold f JOIN pn p ON p.portfolio = f.portfolio AND p.n = f.n + 1)))
+SELECT portfolio, run_id, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_at, round(margin,4) AS margin, CAST(accepted AS BIGINT) AS accepted,
+  round(available,4) AS available_margin, CASE WHEN NOT accepted THEN 'insufficient_margin' END AS reason FROM fold WHERE n > 0""")
 
 
 ENTRIES = {
@@ -611,5 +626,5 @@ ENTRIES = {
     "M12_margin_timeline": (margin_timeline, TIMELINE_SQL),
     "M05_M11_M14_portfolio_metrics": (portfolio_metrics, PORTFOLIO_SQL),
     "M01_portfolio_runs": (portfolio_runs, PORTFOLIO_RUNS_SQL),
-    "M13_margin_admission": (margin_admission, None),
+    "M13_margin_admission": (margin_admission, ADMISSION_SQL),
 }

@@ -58,15 +58,23 @@ FROM bars WHERE date BETWEEN DATE '2024-01-06' AND DATE '2024-01-24'"""
 
 
 def list_available(spark, sf):
-    return text_dates(B.list_available(B.read_bars(spark, _stored(spark, sf))))
+    return text_dates(B.list_available(spark, _stored(spark, sf)))
 
 
 AVAILABLE_SQL = f"""WITH {BARS_SQL} SELECT DISTINCT symbol, 'weekly' AS expiry_type, CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month FROM bars"""
 
 
 def file_inventory(spark, sf):
-    inv = B.file_inventory(B.read_bars(spark, _stored(spark, sf)))
-    return inv.select(F.regexp_extract("path", "symbol=([^/]+)", 1).alias("symbol"), "bytes", "size_mb")
+    """Symbols and months by the files' paths, and whether every file has a size, a name and a time."""
+    inv = B.file_inventory(spark, _stored(spark, sf))
+    part = lambda k: F.regexp_extract("path", r"symbol=([^/]+)/expiry_type=weekly/year=(\d+)/month=(\d+)/[^/]+$", k)
+    whole = (F.col("bytes") > 0) & F.endswith("path", F.col("name")) & F.col("modified").isNotNull() & (F.abs(F.col("size_mb") - F.col("bytes") / 1048576) <= 0.005)
+    return text_dates(
+        inv.groupBy(part(1).alias("symbol"), part(2).cast("int").alias("year"), part(3).cast("int").alias("month")).agg(F.bool_and(whole).alias("whole"))
+    )
+
+
+INVENTORY_SQL = f"""WITH {BARS_SQL} SELECT DISTINCT symbol, CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month, CAST(1 AS BIGINT) AS whole FROM bars"""
 
 
 def ingest_csv(spark, sf):
@@ -413,7 +421,7 @@ STRATEGIES_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS run_id, rule FROM part
 ENTRIES = {
     "A01_A02_B01_scan_bars": (scan_bars, SCAN_SQL),
     "A03_list_available": (list_available, AVAILABLE_SQL),
-    "A04_file_inventory": (file_inventory, None),
+    "A04_file_inventory": (file_inventory, INVENTORY_SQL),
     "A05_G05_normalize_bars": (normalize, NORMALIZE_SQL),
     "A06_A07_ingest_csv": (ingest_csv, INGEST_SQL),
     "A08_A10_stored_trades": (stored_trades, STORED_SQL),

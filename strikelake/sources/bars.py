@@ -98,18 +98,27 @@ def union_vintages(*frames: DataFrame) -> DataFrame:
     return first
 
 
-def list_available(bars: DataFrame) -> DataFrame:
-    """(symbol, expiry_type, year, month) present; read from partition values alone."""
-    return bars.select(*PARTITIONS).distinct()
-
-
-def file_inventory(df: DataFrame) -> DataFrame:
-    """One row per data file: name, size in MB, modification time."""
-    m = F.col("_metadata")
-    files = df.select(
-        m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_size"].alias("bytes"),
-        m["file_modification_time"].alias("modified"),
-    ).distinct()
+def file_listing(spark: SparkSession, base: str) -> DataFrame:
+    """One row a data file under ``base``: its partition values, path, name, bytes and time of change.
+
+    The files are listed as opaque ones whose content is not asked for, so nothing in them is read.
+    """
+    # Spark adds a recursive listing's partition folders only if it is told where they start.
+    files = spark.read.format("binaryFile").option("basePath", base).option("pathGlobFilter", "*.parquet").load(base)
+    known = [c for c in PARTITIONS if c in files.columns]
+    return files.select(
+        *known, "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")
+    )
+
+
+def list_available(spark: SparkSession, base: str) -> DataFrame:
+    """(symbol, expiry_type, year, month) that have files under ``base``; no bar is read."""
+    return file_listing(spark, base).select(*PARTITIONS).distinct()
+
+
+def file_inventory(spark: SparkSession, base: str) -> DataFrame:
+    """One row per data file: path, name, size in bytes and MB, modification time; no bar is read."""
+    files = file_listing(spark, base).select("path", "name", "bytes", "modified")
     return files.withColumn("size_mb", F.round(F.col("bytes") / 1048576.0, 2))
 
 

@@ -158,8 +158,8 @@ def test_bars_round_trip(spark, tmp_path):
     feb = B.scan_bars(spark, base, ["BANKNIFTY", "banknifty"], ["weekly"], dt.date(2024, 2, 1), dt.date(2024, 2, 28))
     row = feb.first()
     assert feb.count() == 1 and row.volume == 0 and row.iv == 0 and str(row.date) == "2024-02-01"
-    assert sorted((r.year, r.month) for r in B.list_available(B.read_bars(spark, base)).collect()) == [(2024, 1), (2024, 2)]
-    assert B.storage_total(B.file_inventory(B.read_bars(spark, base))).first().files == 2
+    assert sorted((r.year, r.month) for r in B.list_available(spark, base).collect()) == [(2024, 1), (2024, 2)]
+    assert B.storage_total(B.file_inventory(spark, base)).first().files == 2
     assert B.scan_bars(spark, str(tmp_path / "absent")).count() == 0
     plan = feb._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "PushedFilters" in plan
