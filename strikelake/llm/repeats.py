@@ -171,6 +171,10 @@ def _repeated(value: pa.Scalar, n: int) -> pa.Array:
     return pa.repeat(value, n)
 
 
+def _taken(table: pa.Table, column: str, rows: list[int]) -> pa.Array:
+    return table.column(column).combine_chunks().take(pa.array(rows, pa.int64()))
+
+
 def repeated_anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Anchors of ``texts`` whose string occurs more than once: anchor, text_key, first, last, place."""
     weighed = texts.where(F.octet_length("text") >= length).select("text_key", "text", F.least("copies", F.lit(2)).alias("weight"))
@@ -181,7 +185,7 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         ints = [pa.array(found[:, c].astype(np.int32)) for c in range(3)]
         return [pa.array(found[:, 3]), _repeated(batch.column("text_key")[k], n), *ints, _repeated(batch.column("weight")[k], n)]
 
-    every = _per_text(weighed, listed, "anchor long, text_key binary, first int, last int, place int, weight long")
+    every = cut_lineage(_per_text(weighed, listed, "anchor long, text_key binary, first int, last int, place int, weight long"))
     often = cut_lineage(every.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"))
     return every.drop("weight").join(often, "anchor")
 
@@ -208,9 +212,9 @@ class Repeats:
     """The repeats of at least ``length`` bytes among the texts of ``docs`` (text); tables are written as they are made.
 
     ``equal``: occurrences of contexts that occur more than once (anchor, context, text_key, first,
-    last). ``groups``: maximal repeats among contexts that differ, one row a member, by one of its
-    occurrences (anchor, number, n_bytes, context, weight, text_key, start). ``windows``: the same for
-    repeated windows of anchors with more than ``most`` contexts (window, anchor, context, ...).
+    last). ``apart``: the contexts that share an anchor with others, with their bytes; ``groups()`` are
+    the maximal repeats among them. ``windows``: repeated windows of anchors with more than ``most``
+    contexts (window, start, anchor, context, weight, text_key).
     """
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST):
@@ -226,7 +230,6 @@ class Repeats:
         several = self.members.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         apart = self._with_bytes(self.members.join(several, "anchor").select("*", "one.*").drop("one"))
         self.apart = cut_lineage(apart)
-        self.groups = self._groups(self.apart.where(F.col("n") <= most))
         self.windows = self._windows(self.apart.where(F.col("n") > most))
 
     def _with_bytes(self, members: DataFrame) -> DataFrame:
@@ -245,23 +248,14 @@ class Repeats:
 
         return _per_text(rows, cut, "anchor long, context binary, weight long, n long, place int, text_key binary, before binary, behind binary")
 
-    def _groups(self, apart: DataFrame) -> DataFrame:
+    def _by_anchor(self, make: Callable[[pa.Table, Iterator], pa.RecordBatch | None], schema: str) -> DataFrame:
+        """``make(members of an anchor, their maximal groups)`` for every anchor, in the suffix array's order."""
         length = self.length
 
-        def of_anchor(table: pa.Table) -> pa.RecordBatch | None:
-            before, behind, place = (table.column(c).to_pylist() for c in ("before", "behind", "place"))
-            rows, numbers, sizes, starts = [], [], [], []
-            for number, (left, right, group) in enumerate(maximal_groups(before, behind, length)):
-                rows += group
-                numbers += [number] * len(group)
-                sizes += [left + right] * len(group)
-                starts += [place[m] - left for m in group]
-            if not rows:
-                return None
-            kept = [table.column(c).combine_chunks().take(pa.array(rows)) for c in ("anchor", "context", "weight", "text_key")]
-            kept = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept]
-            more = [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32())]
-            return pa.RecordBatch.from_arrays([*kept, *more], names=["anchor", "context", "weight", "text_key", "number", "n_bytes", "start"])
+        def found(rest: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            table = pa.Table.from_batches(rest)
+            before, behind = (table.column(c).to_pylist() for c in ("before", "behind"))
+            return make(table, maximal_groups(before, behind, length))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest: list[pa.RecordBatch] = []
@@ -273,16 +267,55 @@ class Repeats:
                     if e == b:
                         continue
                     if rest and rest[0].column("anchor")[0] != key[b]:
-                        done = of_anchor(pa.Table.from_batches(rest))
+                        done = found(rest)
                         rest = []
                         if done is not None:
                             yield done
                     rest.append(batch.slice(b, e - b))
-            if rest and (done := of_anchor(pa.Table.from_batches(rest))) is not None:
+            if rest and (done := found(rest)) is not None:
                 yield done
 
-        schema = "anchor long, context binary, weight long, text_key binary, number long, n_bytes int, start int"
-        return apart.drop("n").repartition("anchor").sortWithinPartitions("anchor", "behind").mapInArrow(scan, schema)
+        few = self.apart.where(F.col("n") <= self.most).drop("n")
+        return few.repartition("anchor").sortWithinPartitions("anchor", "behind").mapInArrow(scan, schema)
+
+    def groups(self) -> DataFrame:
+        """Maximal repeats among contexts that differ, one row a member: anchor, context, number, n_bytes, start (of one occurrence)."""
+
+        def each(table: pa.Table, groups: Iterator) -> pa.RecordBatch | None:
+            place, rows, numbers, sizes, starts = table.column("place").to_pylist(), [], [], [], []
+            for number, (left, right, group) in enumerate(groups):
+                rows += group
+                numbers += [number] * len(group)
+                sizes += [left + right] * len(group)
+                starts += [place[m] - left for m in group]
+            if not rows:
+                return None
+            kept = [_taken(table, c, rows) for c in ("anchor", "context")]
+            more = [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32())]
+            return pa.RecordBatch.from_arrays([*kept, *more], names=["anchor", "context", "number", "n_bytes", "start"])
+
+        return self._by_anchor(each, "anchor long, context binary, number long, n_bytes int, start int")
+
+    def _apart_spans(self) -> DataFrame:
+        """Stretches that the maximal groups cover in members that occur once, joined for each: text_key, start, end."""
+
+        def each(table: pa.Table, groups: Iterator) -> pa.RecordBatch | None:
+            place, weight = (table.column(c).to_pylist() for c in ("place", "weight"))
+            # All stretches of a member hold its anchor, so together they are one.
+            lefts, rights = [0] * len(place), [0] * len(place)
+            for left, right, group in groups:
+                for m in group:
+                    lefts[m] = max(lefts[m], left)
+                    rights[m] = max(rights[m], right)
+            rows = [m for m, right in enumerate(rights) if right and weight[m] == 1]
+            if not rows:
+                return None
+            starts, ends = [place[m] - lefts[m] for m in rows], [place[m] + rights[m] for m in rows]
+            return pa.RecordBatch.from_arrays(
+                [_taken(table, "text_key", rows), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["text_key", "start", "end"]
+            )
+
+        return self._by_anchor(each, "text_key binary, start int, end int")
 
     def _windows(self, apart: DataFrame) -> DataFrame:
         length = self.length
@@ -308,7 +341,7 @@ class Repeats:
         length = F.lit(self.length)
         return (
             self.equal.select("text_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-            .unionByName(self.groups.where("weight = 1").select("text_key", "start", (F.col("start") + F.col("n_bytes")).alias("end")))
+            .unionByName(self._apart_spans())
             .unionByName(self.windows.where("weight = 1").select("text_key", "start", (F.col("start") + length).alias("end")))
         )
 
@@ -319,7 +352,7 @@ class Repeats:
         """
         members = self.members.select("anchor", "context", F.col("one.first").alias("one_first"))
         at = self.contexts.select("anchor", "context", F.col("text_key").alias("at_key"), F.col("first").alias("at_first"))
-        apart = self.groups.select("anchor", "context", F.concat_ws("-", F.hex("anchor"), "number").alias("repeat"), "n_bytes", "start")
+        apart = self.groups().select("anchor", "context", F.concat_ws("-", F.hex("anchor"), "number").alias("repeat"), "n_bytes", "start")
         hot = self.windows.select("anchor", "context", F.hex("window").alias("repeat"), F.lit(self.length).alias("n_bytes"), "start")
         mine = apart.unionByName(hot).join(members, ["anchor", "context"]).join(at, ["anchor", "context"])
         moved = (F.col("start") + F.col("at_first") - F.col("one_first")).cast("int")
