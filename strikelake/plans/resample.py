@@ -1,74 +1,206 @@
 """Permutation and bootstrap bands with hash-ordered, reproducible draws.
 
-The order of a simulation is the order of md5(seed | sim | trade). Leading hash digits cut
-every simulation into equal blocks, so no task holds a whole simulation of a large run.
+The order of a simulation is the order of a key of its own for every trade: a cubic polynomial,
+modulo a prime, of a number that the trade's identity gives, with coefficients from seed and
+simulation. Trades are held in blocks of bounded size. A run of one block has all its simulations
+on it. A larger run is dealt into random blocks anew for each chunk of simulations; a simulation
+then orders the blocks and the trades of each by its keys. A block's sum and highest prefix are
+enough to say where the next ones start, so blocks are walked apart, and no task holds a large run.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .reports import nearest_rank
 
+#: The prime of the keys, trades in a block, simulations that share a deal, indices in a slice of bands.
+PRIME, BLOCK, CHUNK, SLICE = 2**31 - 1, 1 << 16, 25, 1024
+BANDS = (5, 25, 50, 75, 95)
+
+
+def coefficients(*names) -> list[int]:
+    """Four coefficients below the prime, from the md5 of the names."""
+    text = hashlib.md5("|".join(map(str, names)).encode()).hexdigest()
+    return [int(text[i : i + 8], 16) % PRIME for i in (0, 8, 16, 24)]
+
+
+def keys_of(numbers: np.ndarray, names: tuple) -> np.ndarray:
+    """The polynomial's value for each of ``numbers`` (below the prime)."""
+    a, b, c, d = coefficients(*names)
+    return (((a * numbers + b) % PRIME * numbers + c) % PRIME * numbers + d) % PRIME
+
+
+def _dealt(trades: DataFrame, capital: Column, sims: int, seed: int, trade_key: list[str], by: list[str], block: int, chunk: int) -> DataFrame:
+    """Blocks of trades for each chunk of simulations: by, chunk, block, n_blocks, capital, numbers, pnl (by trade md5)."""
+    c = F.col
+    chunks = -(-sims // chunk)
+    mark = F.md5(F.concat_ws("|", *[c(k).cast("string") for k in trade_key]).cast("binary"))
+    rows = trades.select(*by, c("pnl_net").alias("pnl"), capital.cast("double").alias("capital"), mark.alias("mark"))
+    rows = rows.withColumn("number", (F.conv(F.substring("mark", 1, 8), 16, 10).cast("bigint") % PRIME))
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
+    rows = rows.join(sizes, by)
+    # One deal serves a run of one block.
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.when(c("n_blocks") > 1, chunks - 1).otherwise(0))))
+    values = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in coefficients(seed, "deal", g)]) for g in range(chunks)])
+    a, b, cc, d = (F.get(F.get(values, c("deal")), F.lit(i)) for i in range(4))
+    k = c("number")
+    dealt = (((a * k + b) % PRIME * k + cc) % PRIME * k + d) % PRIME
+    rows = rows.withColumn("block", F.floor(dealt * c("n_blocks") / PRIME).cast("int"))
+    held = F.array_sort(F.collect_list(F.struct("mark", "number", "pnl")))
+    blocks = rows.groupBy(*by, "deal", "block", "n_blocks").agg(F.max("capital").alias("capital"), held.alias("held"))
+    blocks = blocks.select(
+        *by, "block", "n_blocks", "capital",
+        F.transform("held", lambda x: x["number"]).alias("numbers"), F.transform("held", lambda x: x["pnl"]).alias("pnl"),
+        F.explode(F.when(c("n_blocks") > 1, F.array("deal")).otherwise(F.sequence(F.lit(0), F.lit(chunks - 1)))).alias("chunk"),
+    )
+    return blocks.repartition(*by, "chunk", "block")
+
+
+def _walks(batches: Iterator[pa.RecordBatch], by: int, sims: int, seed: int, chunk: int) -> Iterator[tuple]:
+    """(batch, row, sim, running P&L in the simulation's order) of every block."""
+    for batch in batches:
+        names = batch.schema.names
+        for r in range(batch.num_rows):
+            number = batch.column(names.index("chunk"))[r].as_py()
+            numbers, pnl = (batch.column(names.index(n))[r].values.to_numpy(zero_copy_only=False) for n in ("numbers", "pnl"))
+            for sim in range(number * chunk, min(sims, (number + 1) * chunk)):
+                order = np.argsort(keys_of(numbers, (seed, sim)), kind="stable")
+                yield batch, r, sim, np.cumsum(pnl[order])
+
+
+def _carried(blocks: DataFrame, sims: int, seed: int, by: list[str], chunk: int) -> DataFrame:
+    """``blocks`` with ``carry``: for each simulation of the chunk, what comes before the block (equity, peak, trades)."""
+    c = F.col
+    schema = T.StructType(
+        [*[blocks.schema[k] for k in by], T.StructField("chunk", T.IntegerType()), T.StructField("block", T.IntegerType())]
+        + [T.StructField("sim", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())]
+        + [T.StructField(x, T.DoubleType()) for x in ("sum", "high", "capital")]
+    )
 
-def shuffled_equity(trades: DataFrame, capital: Column, sims: int, seed: int, trade_key: list[str], by=("run_id",), hash_digits: int = 2) -> DataFrame:
-    """Equity and drawdown percent along every permutation: (by, sim, trade_index, equity, ...).
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, r, sim, walk in _walks(batches, len(by), sims, seed, chunk):
+            at = {n: batch.column(batch.schema.names.index(n))[r].as_py() for n in [*by, "chunk", "block", "capital"]}
+            place = int(keys_of(np.array([at["block"] + 1]), (seed, sim))[0])
+            row = at | {"sim": sim, "place": place, "n": len(walk), "sum": float(walk[-1]), "high": float(walk.max())}
+            yield pa.RecordBatch.from_pylist([{n: row[n] for n in schema.names}], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    several = blocks.where("n_blocks > 1").mapInArrow(summed, schema)
+    before = Window.partitionBy(*by, "sim").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    several = several.withColumn("start", c("capital") + F.coalesce(F.sum("sum").over(before), F.lit(0.0)))
+    several = several.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    several = several.withColumn("peak", F.greatest(c("capital"), F.coalesce(F.max(c("start") + c("high")).over(before), c("capital"))))
+    carry = several.groupBy(*by, "chunk", "block").agg(F.array_sort(F.collect_list(F.struct("sim", "start", "peak", "at"))).alias("carry"))
+    return blocks.join(carry, [*by, "chunk", "block"], "left")
 
-    ``trade_key`` identifies a trade within its run; ``hash_digits`` sets the blocks per
-    simulation (16 to that power: more for runs with billions of trades). One join back brings each block its
-    starting position, equity and peak, all derived from the block summaries.
-    """
-    c, by = F.col, list(by)
-    draws = trades.select(
-        *by, F.concat_ws("|", *[c(k).cast("string") for k in trade_key]).alias("_key"), "pnl_net", capital.alias("_cap"),
-        F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"),
-    )
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), c("sim").cast("string"), c("_key")))
-    rows = draws.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, hash_digits)).drop("_key")
-    inside = Window.partitionBy(*by, "sim", "_block").orderBy("_h")
-    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_pos", F.row_number().over(inside)).withColumn("_run", F.sum("pnl_net").over(sofar))
-    rows = rows.withColumn("_top", F.max("_run").over(sofar))
-    rows = rows.select(*by, "sim", "_block", "_cap", "_pos", "_run", "_top")
-
-    blocks = rows.groupBy(*by, "sim", "_block", "_cap").agg(
-        F.max("_pos").alias("_n"), F.max_by("_run", "_pos").alias("_sum"), F.max("_run").alias("_high")
-    )
-    before = Window.partitionBy(*by, "sim").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    start = c("_cap") + F.coalesce(F.sum("_sum").over(before), F.lit(0.0))
-    blocks = blocks.withColumn("_start", start).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    blocks = blocks.withColumn("_peak0", F.coalesce(F.max(c("_start") + c("_high")).over(before), c("_cap")))
-    carry = blocks.select(*by, "sim", "_block", "_start", "_at", F.greatest("_peak0", "_cap").alias("_peak0"))
-    walked = rows.join(carry, [*by, "sim", "_block"])
-    peak = F.greatest(c("_peak0"), c("_start") + c("_top"))
-    equity = c("_start") + c("_run")
-    pct = F.when(peak > 0, (peak - equity) / F.when(peak > 0, peak) * 100).otherwise(0.0)
-    return walked.select(
-        *by, "sim", (c("_at") + c("_pos") - 1).cast("bigint").alias("trade_index"), equity.alias("equity"), pct.alias("drawdown_pct"),
-        c("_cap").alias("capital"),
-    )
 
+def _walked(blocks: DataFrame, sims: int, seed: int, by: list[str], chunk: int, emit, schema: T.StructType) -> DataFrame:
+    """``emit(sim, first trade index, equity, peak)`` gives rows for every simulated block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def shuffle_bands(walked: DataFrame, by=("run_id",)) -> DataFrame:
-    """p5, p25, p50, p75, p95 of equity per trade index; a group is one value per simulation."""
-    return nearest_rank(walked, [*by, "trade_index"], "equity", [5, 25, 50, 75, 95])
+    arrow = to_arrow_schema(schema)
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for batch, r, sim, run in _walks(batches, len(by), sims, seed, chunk):
+            names = batch.schema.names
+            capital, carry = (batch.column(names.index(n))[r].as_py() for n in ("capital", "carry"))
+            before = {"start": capital, "peak": capital, "at": 0} if carry is None else carry[sim % chunk]
+            equity = before["start"] + run
+            peak = np.maximum(before["peak"], np.maximum.accumulate(equity))
+            keys = {n: batch.column(names.index(n))[r].as_py() for n in by}
+            out += [keys | row for row in emit(sim, before["at"], equity, peak, capital)]
+            if len(out) >= 200:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-def shuffle_summary(walked: DataFrame, runs: DataFrame, by=("run_id",)) -> DataFrame:
+    return _carried(blocks, sims, seed, by, chunk).mapInArrow(walk, schema)
+
+
+def _schema(trades: DataFrame, by: list[str], **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*[trades.schema[k] for k in by], *[T.StructField(n, k) for n, k in kinds.items()]])
+
+
+def shuffle_bands(
+    trades: DataFrame, capital: Column, sims: int, seed: int, trade_key: list[str], by=("run_id",), block: int = BLOCK, chunk: int = CHUNK
+) -> DataFrame:
+    """p5, p25, p50, p75, p95 of equity per trade index over all simulations: by, trade_index, p5 ...
+
+    ``trade_key`` identifies a trade within its run. Simulations meet in slices of the index.
+    """
+    by = list(by)
+    schema = _schema(trades, by, slice=T.LongType(), sim=T.IntegerType(), offset=T.IntegerType(), values=T.ArrayType(T.DoubleType()))
+
+    def sliced(sim, first, equity, peak, capital):
+        at, end = first, first + len(equity)
+        while at < end:
+            to = min(end, (at // SLICE + 1) * SLICE)
+            yield {"slice": at // SLICE, "sim": sim, "offset": at % SLICE, "values": equity[at - first : to - first]}
+            at = to
+
+    paths = _walked(_dealt(trades, capital, sims, seed, trade_key, by, block, chunk), sims, seed, by, chunk, sliced, schema)
+    # A slice holds SLICE values for each simulation.
+    slices = paths.groupBy(*by, "slice").agg(F.collect_list(F.struct("sim", "offset", "values")).alias("parts"))
+    out = _schema(trades, by, trade_index=T.LongType(), **{f"p{p}": T.DoubleType() for p in BANDS})
+    ranks = [int(np.floor(p / 100 * (sims - 1) + 0.5)) for p in BANDS]
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for r in range(batch.num_rows):
+                parts = batch.column(names.index("parts"))[r].values
+                sim, offset = (parts.field(n).to_numpy() for n in ("sim", "offset"))
+                lists = parts.field("values")
+                sizes = np.diff(lists.offsets.to_numpy())
+                grid = np.empty((sims, int((offset + sizes).max())))
+                flat, at = lists.flatten().to_numpy(), 0
+                for s, o, n in zip(sim.tolist(), offset.tolist(), sizes.tolist()):
+                    grid[s, o : o + n] = flat[at : at + n]
+                    at += n
+                grid.partition(sorted(set(ranks)), axis=0)
+                width, first = grid.shape[1], batch.column(names.index("slice"))[r].as_py() * SLICE
+                keys = [pa.repeat(batch.column(names.index(k))[r], width) for k in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + width)), *[pa.array(grid[k]) for k in ranks]], names=out.names)
+
+    return slices.mapInArrow(ranked, out)
+
+
+def shuffle_summary(
+    trades: DataFrame, runs: DataFrame, capital: Column, sims: int, seed: int, trade_key: list[str], by=("run_id",), block: int = BLOCK, chunk: int = CHUNK
+) -> DataFrame:
     """Final equity and drawdown percentiles and loss odds per run; runs without trades get
-    their capital and zeros."""
+    their capital and zeros. Simulations are reduced where they are walked."""
     c, by = F.col, list(by)
-    sims = walked.groupBy(*by, "sim").agg(
-        F.max_by("equity", "trade_index").alias("final"), F.max("drawdown_pct").alias("mdd"), F.max("capital").alias("capital"),
-        (F.max("trade_index") + 1).alias("n_trades"),
+    schema = _schema(
+        trades, by, sim=T.IntegerType(), last=T.LongType(), final=T.DoubleType(), mdd=T.DoubleType(), capital=T.DoubleType()
+    )
+
+    def reduced(sim, first, equity, peak, capital):
+        drop = np.where(peak > 0, (peak - equity) / np.where(peak > 0, peak, 1.0) * 100, 0.0)
+        yield {"sim": sim, "last": first + len(equity) - 1, "final": float(equity[-1]), "mdd": float(drop.max()), "capital": capital}
+
+    parts = _walked(_dealt(trades, capital, sims, seed, trade_key, by, block, chunk), sims, seed, by, chunk, reduced, schema)
+    ended = parts.groupBy(*by, "sim").agg(
+        F.max_by("final", "last").alias("final"), F.max("mdd").alias("mdd"), F.max("capital").alias("capital"), (F.max("last") + 1).alias("n_trades")
     )
     w = Window.partitionBy(*by)
-    n_sims = F.count(F.lit(1)).over(w)
     ranked = (
-        sims.withColumn("_rf", F.row_number().over(w.orderBy("final", "sim")))
+        cut_lineage(ended).withColumn("_rf", F.row_number().over(w.orderBy("final", "sim")))
         .withColumn("_rm", F.row_number().over(w.orderBy("mdd", "sim")))
-        .withColumn("_n", n_sims)
+        .withColumn("_n", F.count(F.lit(1)).over(w))
     )
 
     def at(rank: str, value: str, p: float) -> Column:
@@ -77,7 +209,7 @@ def shuffle_summary(walked: DataFrame, runs: DataFrame, by=("run_id",)) -> DataF
 
     n = F.count(F.lit(1))
     done = ranked.groupBy(*by).agg(
-        *[at("_rf", "final", p).alias(f"p{p}") for p in (5, 25, 50, 75, 95)],
+        *[at("_rf", "final", p).alias(f"p{p}") for p in BANDS],
         *[at("_rm", "mdd", p).alias(f"mdd_p{p}") for p in (50, 95)],
         (F.count_if(c("final") > c("capital")) / n).alias("prob_positive_return"),
         (F.count_if(c("mdd") > 10) / n).alias("prob_mdd_gt_10pct"),
@@ -87,7 +219,7 @@ def shuffle_summary(walked: DataFrame, runs: DataFrame, by=("run_id",)) -> DataF
     j = runs.select(*by, "capital").join(done, by, "left")
     return j.select(
         *by,
-        *[F.coalesce(f"p{p}", "capital").alias(f"final_p{p}") for p in (5, 25, 50, 75, 95)],
+        *[F.coalesce(f"p{p}", "capital").alias(f"final_p{p}") for p in BANDS],
         *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("mdd_p50", "mdd_p95", "prob_positive_return", "prob_mdd_gt_10pct", "prob_mdd_gt_20pct")],
         F.coalesce("n_simulations", F.lit(0)).alias("n_simulations"), F.coalesce("n_trades", F.lit(0)).alias("n_trades"),
     )

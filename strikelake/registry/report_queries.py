@@ -215,21 +215,20 @@ SELECT {RID}, CAST(date AS VARCHAR) AS date, round(CASE WHEN s>0 THEN (m-0.065::
 
 # ------------------------------------------------------------------ resampling
 
-SIMS, SEED = 15, 7
+SIMS, PATHS, SEED = 1000, 500, 7
 TRADE_KEY = ["orderkey", "linenumber", "partkey", "suppkey", "price_cents", "exit_date"]
 
 
-def _walked(spark, sf):
-    return RS.shuffled_equity(trades(spark, sf), F.lit(CAPITAL), SIMS, SEED, TRADE_KEY)
-
-
 def shuffle_bands(spark, sf):
-    return text_dates(RS.shuffle_bands(_walked(spark, sf)))
+    return text_dates(RS.shuffle_bands(trades(spark, sf), F.lit(CAPITAL), SIMS, SEED, TRADE_KEY))
 
 
-_WALK = f"""{TRADES_SQL}, k AS (SELECT run_id, pnl_net, concat_ws('|', orderkey, linenumber, partkey, suppkey, price_cents, CAST(exit_date AS VARCHAR)) AS key FROM trades),
-dr AS (SELECT run_id, s AS sim, pnl_net, md5(concat_ws('|', '{SEED}', s, key)) AS h, key FROM k, range({SIMS}) r(s)),
-wk AS (SELECT run_id, sim, row_number() OVER w - 1 AS ti, 5.0e11::DOUBLE + sum(pnl_net) OVER w AS eq FROM dr WINDOW w AS (PARTITION BY run_id, sim ORDER BY h, key ROWS UNBOUNDED PRECEDING))"""
+_HEX = ", ".join(f"CAST(('0x' || substr(q, {i}, 8)) AS BIGINT) % {RS.PRIME} AS {n}" for n, i in zip(("ca", "cb", "cc", "cd"), (1, 9, 17, 25)))
+_WALK = f"""{TRADES_SQL}, k AS (SELECT run_id, pnl_net, md5(concat_ws('|', orderkey, linenumber, partkey, suppkey, price_cents, CAST(exit_date AS VARCHAR))) AS m FROM trades),
+kn AS (SELECT *, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % {RS.PRIME} AS x FROM k),
+co AS (SELECT sim, {_HEX} FROM (SELECT s AS sim, md5('{SEED}|' || s) AS q FROM range({SIMS}) r(s))),
+dr AS (SELECT run_id, sim, pnl_net, (((ca*x + cb) % {RS.PRIME} * x + cc) % {RS.PRIME} * x + cd) % {RS.PRIME} AS h, m FROM kn, co),
+wk AS (SELECT run_id, sim, row_number() OVER w - 1 AS ti, 5.0e11::DOUBLE + sum(pnl_net) OVER w AS eq FROM dr WINDOW w AS (PARTITION BY run_id, sim ORDER BY h, m ROWS UNBOUNDED PRECEDING))"""
 
 BANDS_SQL = f"""WITH {_WALK}, r AS (SELECT run_id, ti, eq, row_number() OVER (PARTITION BY run_id, ti ORDER BY eq) AS rk FROM wk)
 SELECT {RID}, ti AS trade_index, """ + ", ".join(f"max(eq) FILTER (rk = round({p}/100.0::DOUBLE*{SIMS - 1})+1) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM r GROUP BY run_id, ti"
@@ -238,7 +237,7 @@ SELECT {RID}, ti AS trade_index, """ + ", ".join(f"max(eq) FILTER (rk = round({p
 def shuffle_summary(spark, sf):
     t = trades(spark, sf)
     runs = run_table(t).select("run_id", "capital")
-    return text_dates(RS.shuffle_summary(_walked(spark, sf), runs))
+    return text_dates(RS.shuffle_summary(t, runs, F.lit(CAPITAL), SIMS, SEED, TRADE_KEY))
 
 
 SHUFFLE_SUMMARY_SQL = f"""WITH {_WALK}, pk AS (SELECT *, greatest(5.0e11::DOUBLE, max(eq) OVER (PARTITION BY run_id, sim ORDER BY ti)) AS peak FROM wk),
@@ -251,14 +250,14 @@ SELECT {RID}, """ + ", ".join(f"max(final) FILTER (rf = round({p}/100.0::DOUBLE*
 
 
 def bootstrap_bands(spark, sf):
-    return text_dates(RS.bootstrap_bands(_series(spark, sf), F.lit(100000.0), 40, SEED), None, 2)
+    return text_dates(RS.bootstrap_bands(_series(spark, sf), F.lit(100000.0), PATHS, SEED), None, 2)
 
 
 BOOTSTRAP_SQL = f"""WITH {TRADES_SQL}, {SERIES_SQL}, r AS (SELECT run_id, daily_return, row_number() OVER (PARTITION BY run_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM series WHERE daily_return IS NOT NULL),
-d AS (SELECT run_id, rn AS step, n, p AS path, CAST(('0x' || substr(md5(concat_ws('|','{SEED}',p,rn)),1,8)) AS BIGINT) % n + 1 AS pick FROM r, range(40) g(p)),
+d AS (SELECT run_id, rn AS step, n, p AS path, CAST(('0x' || substr(md5(concat_ws('|','{SEED}',p,rn)),1,8)) AS BIGINT) % n + 1 AS pick FROM r, range({PATHS}) g(p)),
 w AS (SELECT d.run_id, d.step, d.path, 100000.0::DOUBLE*exp(sum(ln(1+r.daily_return)) OVER (PARTITION BY d.run_id, d.path ORDER BY d.step)) AS eq FROM d JOIN r ON r.run_id=d.run_id AND r.rn=d.pick),
 q AS (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY eq, path) AS rk FROM w)
-SELECT {RID}, step, round(max(eq) FILTER (rk = trunc(0.05::DOUBLE*39)+1),2) AS p5, round(max(eq) FILTER (rk = trunc(0.5::DOUBLE*39)+1),2) AS p50, round(max(eq) FILTER (rk = trunc(0.95::DOUBLE*39)+1),2) AS p95 FROM q GROUP BY run_id, step
+SELECT {RID}, step, round(max(eq) FILTER (rk = trunc(0.05::DOUBLE*{PATHS - 1})+1),2) AS p5, round(max(eq) FILTER (rk = trunc(0.5::DOUBLE*{PATHS - 1})+1),2) AS p50, round(max(eq) FILTER (rk = trunc(0.95::DOUBLE*{PATHS - 1})+1),2) AS p95 FROM q GROUP BY run_id, step
 UNION ALL SELECT DISTINCT {RID}, 0, 100000.0, 100000.0, 100000.0 FROM r"""
 
 # ------------------------------------------------------------------ walk-forward

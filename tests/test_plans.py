@@ -1,6 +1,8 @@
 import datetime as dt
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,28 +16,57 @@ from strikelake.sources import bars as B
 from strikelake.sources import results as R
 
 
-def test_shuffle(spark):
-    rows = [("r", i, -100.0 if i % 3 == 0 else 150.0) for i in range(100)]
-    t = spark.createDataFrame(rows, "run_id string, no int, pnl_net double")
-    walked = RS.shuffled_equity(t, F.lit(500000.0), 60, 12345, ["no"]).cache()
-    assert walked.count() == 6000
-    bands = RS.shuffle_bands(walked).collect()
-    assert len(bands) == 100 and all(b.p5 <= b.p25 <= b.p50 <= b.p75 <= b.p95 for b in bands)
-    final = 500000 + sum(r[2] for r in rows)
-    runs = spark.createDataFrame([("r", 500000.0), ("empty", 7.0)], "run_id string, capital double")
-    got = {r.run_id: r for r in RS.shuffle_summary(walked, runs).collect()}
-    assert got["r"].final_p5 == got["r"].final_p95 == final and got["r"].n_trades == 100 and got["r"].n_simulations == 60
+def plain_shuffles(rows, capital, sims, seed, block, chunk):
+    """Equity paths of all simulations of one run's (number, pnl) rows, by the rule in plain words."""
+    prime = 2**31 - 1
+
+    def key(x, *names):
+        text = hashlib.md5("|".join(map(str, names)).encode()).hexdigest()
+        value = 0
+        for i in range(0, 32, 8):
+            value = (value * x + int(text[i : i + 8], 16)) % prime
+        return value
+
+    marked = []
+    for number, pnl in rows:
+        mark = hashlib.md5(str(number).encode()).hexdigest()
+        marked.append((mark, int(mark[:8], 16) % prime, pnl))
+    n_blocks, out = -(-len(rows) // block), []
+    for sim in range(sims):
+        def place(m):
+            mine = key(m[1], seed, "deal", sim // chunk) * n_blocks // prime if n_blocks > 1 else 0
+            return key(mine + 1, seed, sim), mine, key(m[1], seed, sim), m[0]
+
+        out.append(list(np.cumsum([m[2] for m in sorted(marked, key=place)]) + capital))
+    return out
+
+
+@pytest.mark.parametrize("block, chunk, sims", [(1 << 16, 25, 60), (16, 7, 20)])
+def test_shuffles_against_plain_rule(spark, block, chunk, sims):
+    rng = random.Random(block)
+    runs = {"r": [(i, float(rng.randint(-300, 310))) for i in range(100)], "one": [(5, -40.0)]}
+    t = spark.createDataFrame([(r, i, x) for r, some in runs.items() for i, x in some], "run_id string, no int, pnl_net double")
+    capital, seed = 2000.0, 12345
+    paths = {r: plain_shuffles(some, capital, sims, seed, block, chunk) for r, some in runs.items()}
+    assert len({tuple(p) for p in paths["r"]}) == sims
+
+    def rank(values, p):
+        return sorted(values)[int(p / 100 * (sims - 1) + 0.5)]
+
+    args = (F.lit(capital), sims, seed, ["no"])
+    bands = {(r.run_id, r.trade_index): tuple(r)[2:] for r in RS.shuffle_bands(t, *args, block=block, chunk=chunk).collect()}
+    assert bands == {(r, i): tuple(rank([p[i] for p in some], q) for q in (5, 25, 50, 75, 95)) for r, some in paths.items() for i in range(len(some[0]))}
+    table = spark.createDataFrame([("r", capital), ("one", capital), ("empty", 7.0)], "run_id string, capital double")
+    got = {r.run_id: r for r in RS.shuffle_summary(t, table, *args, block=block, chunk=chunk).collect()}
+    drops = []
+    for p in paths["r"]:
+        peaks = np.maximum.accumulate([capital, *p])[1:]
+        drops.append(max((peaks - p) / peaks * 100))
+    assert got["r"].mdd_p50 == pytest.approx(rank(drops, 50)) and got["r"].mdd_p95 == pytest.approx(rank(drops, 95))
+    assert got["r"].final_p5 == got["r"].final_p95 == paths["r"][0][-1] and (got["r"].n_trades, got["r"].n_simulations) == (100, sims)
+    assert got["r"].prob_mdd_gt_20pct == sum(d > 20 for d in drops) / sims
+    assert got["one"].final_p50 == 1960.0 and got["one"].mdd_p95 == pytest.approx(2.0)
     assert got["empty"].final_p50 == 7.0 and got["empty"].mdd_p95 == 0 and got["empty"].n_trades == 0
-    # Every simulation is a permutation whose drawdown follows its own path.
-    path = sorted((r.trade_index, r.equity, r.drawdown_pct) for r in walked.where("sim = 3").collect())
-    assert [p[0] for p in path] == list(range(100))
-    peak, last, steps = 500000.0, 500000.0, []
-    for _, e, dd in path:
-        peak = max(peak, e)
-        assert dd == pytest.approx((peak - e) / peak * 100)
-        steps.append(e - last)
-        last = e
-    assert sorted(steps) == sorted(r[2] for r in rows)
 
 
 def test_bootstrap(spark):
