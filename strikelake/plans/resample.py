@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .reports import nearest_rank
 
 #: The prime of the keys, trades in a block, simulations that share a deal, indices in a slice of bands.
 PRIME, BLOCK, CHUNK, SLICE = 2**31 - 1, 1 << 16, 25, 1024
@@ -152,10 +151,17 @@ def shuffle_bands(
             at = to
 
     paths = _walked(_dealt(trades, capital, sims, seed, trade_key, by, block, chunk), sims, seed, by, chunk, sliced, schema)
-    # A slice holds SLICE values for each simulation.
+    ranks = {f"p{p}": int(np.floor(p / 100 * (sims - 1) + 0.5)) for p in BANDS}
+    return _ranked(paths, by, sims, ranks, "trade_index")
+
+
+def _ranked(paths: DataFrame, by: list[str], sims: int, ranks: dict[str, int], index: str) -> DataFrame:
+    """For each index, the values of the given ranks (from 0) among all simulations.
+
+    ``paths``: by, slice, sim, offset, values. A slice holds SLICE values for each simulation.
+    """
     slices = paths.groupBy(*by, "slice").agg(F.collect_list(F.struct("sim", "offset", "values")).alias("parts"))
-    out = _schema(trades, by, trade_index=T.LongType(), **{f"p{p}": T.DoubleType() for p in BANDS})
-    ranks = [int(np.floor(p / 100 * (sims - 1) + 0.5)) for p in BANDS]
+    out = _schema(paths, by, **{index: T.LongType()}, **dict.fromkeys(ranks, T.DoubleType()))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +176,11 @@ def shuffle_bands(
                 for s, o, n in zip(sim.tolist(), offset.tolist(), sizes.tolist()):
                     grid[s, o : o + n] = flat[at : at + n]
                     at += n
-                grid.partition(sorted(set(ranks)), axis=0)
+                grid.partition(sorted(set(ranks.values())), axis=0)
                 width, first = grid.shape[1], batch.column(names.index("slice"))[r].as_py() * SLICE
                 keys = [pa.repeat(batch.column(names.index(k))[r], width) for k in by]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + width)), *[pa.array(grid[k]) for k in ranks]], names=out.names)
+                values = [pa.array(grid[k]) for k in ranks.values()]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + width)), *values], names=out.names)
 
     return slices.mapInArrow(ranked, out)
 
@@ -225,25 +232,39 @@ def shuffle_summary(
     )
 
 
-def bootstrap_bands(series: DataFrame, start: Column, paths: int, seed: int, by=("run_id",)) -> DataFrame:
+def bootstrap_bands(series: DataFrame, start: Column, paths: int, seed: int, by=("run_id",), chunk: int = CHUNK) -> DataFrame:
     """p5, p50, p95 per step of compounded paths whose returns are drawn with replacement.
 
     ``series`` has (by, date, daily_return): one row per day, so a path is as long as the
-    calendar. Step 0 is the start; each later step draws return number hash mod n.
+    calendar and a run's returns are one array. Step 0 is the start; each later step draws return
+    number md5(seed | path | step) mod n. A return of -100% or worse ends the path at zero.
     """
     c, by = F.col, list(by)
-    w = Window.partitionBy(*by)
-    r = series.where(c("daily_return").isNotNull()).select(
-        *by, "daily_return", start.alias("_start"), F.row_number().over(w.orderBy("date")).alias("_rn"), F.count(F.lit(1)).over(w).alias("_n")
-    )
-    draws = r.select(*by, c("_rn").alias("step"), "_n", "_start", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), c("path").cast("string"), c("step").cast("string")))
-    pick = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % c("_n") + 1
-    drawn = draws.withColumn("_rn", pick).join(r.select(*by, "_rn", "daily_return"), [*by, "_rn"])
-    walk = Window.partitionBy(*by, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    # A product through logarithms; a return of -100% or worse ends the path at zero.
-    dead = F.max((c("daily_return") <= -1).cast("int")).over(walk) > 0
-    growth = F.exp(F.sum(F.when(c("daily_return") > -1, F.ln(1 + c("daily_return")))).over(walk))
-    paths_df = drawn.select(*by, "path", "step", (c("_start") * F.when(dead, 0.0).otherwise(growth)).alias("equity"))
-    first = r.groupBy(*by).agg(F.max("_start").alias("p5")).select(*by, F.lit(0).alias("step"), "p5", c("p5").alias("p50"), c("p5").alias("p95"))
-    return first.unionByName(nearest_rank(paths_df, [*by, "step"], "equity", [5, 50, 95], rounded=False, order=("path",)))
+    known = series.where(c("daily_return").isNotNull()).select(*by, start.cast("double").alias("start"), F.struct("date", c("daily_return").alias("r")).alias("at"))
+    runs = known.groupBy(*by).agg(F.max("start").alias("start"), F.transform(F.array_sort(F.collect_list("at")), lambda x: x["r"]).alias("returns"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-paths // chunk) - 1))).alias("chunk")
+    runs = runs.select(*by, "start", "returns", chunks).repartition(*by, "chunk")
+    schema = _schema(series, by, slice=T.LongType(), sim=T.IntegerType(), offset=T.IntegerType(), values=T.ArrayType(T.DoubleType()))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for r in range(batch.num_rows):
+                first, number = (batch.column(names.index(n))[r].as_py() for n in ("start", "chunk"))
+                returns = batch.column(names.index("returns"))[r].values.to_numpy(zero_copy_only=False)
+                keys, n, out = {k: batch.column(names.index(k))[r].as_py() for k in by}, len(returns), []
+                for path in range(number * chunk, min(paths, (number + 1) * chunk)):
+                    head = f"{seed}|{path}|".encode()
+                    pick = [int(hashlib.md5(head + b"%d" % (i + 1)).hexdigest()[:8], 16) % n for i in range(n)]
+                    drawn = returns[pick]
+                    alive = np.cumsum(drawn <= -1) == 0
+                    growth = np.exp(np.cumsum(np.log(np.where(drawn > -1, 1 + drawn, 1.0))))
+                    equity = np.concatenate(([first], first * np.where(alive, growth, 0.0)))
+                    out += [keys | {"slice": at // SLICE, "sim": path, "offset": 0, "values": equity[at : at + SLICE]} for at in range(0, n + 1, SLICE)]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    ranks = {f"p{p}": int(p / 100 * (paths - 1)) for p in (5, 50, 95)}
+    return _ranked(runs.mapInArrow(walk, schema), by, paths, ranks, "step")
