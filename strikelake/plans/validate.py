@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import uncovered_dates
+from ..session import cut_lineage
 
 BAR_KEY = ["date", "time", "strike_offset", "option_type"]
 
@@ -71,6 +72,27 @@ def _verdict(df: DataFrame, check: str, errors: Column, warnings: Column, detail
     )
 
 
+def bar_times(bars: DataFrame) -> DataFrame:
+    """What all checks read: one row for each symbol, expiry type, date and bar time.
+
+    symbol, expiry_type (empty where bars hold one type and do not name it), date, time, rows, keys
+    (different contracts), points (rows with a usable IV), spots (different ones, sorted). A chain is
+    a few dozen contracts, so a row is small. A table that is already one is handed back.
+    """
+    if {"rows", "keys", "points", "spots"} <= set(bars.columns):
+        return bars
+    kind = F.coalesce("expiry_type", F.lit("")) if "expiry_type" in bars.columns else F.lit("")
+    contract = [k for k in BAR_KEY if k not in ("date", "time")]
+    measures = {
+        "rows": F.count(F.lit(1)),
+        "keys": F.size(F.collect_set(F.struct(*contract))) if set(contract) <= set(bars.columns) else F.count(F.lit(1)),
+        "points": F.count_if(F.col("iv") > 0) if "iv" in bars.columns else F.lit(0),
+        "spots": F.array_sort(F.collect_set("spot")) if "spot" in bars.columns else F.array().cast("array<double>"),
+    }
+    time = F.col("time") if "time" in bars.columns else F.lit("")
+    return bars.groupBy("symbol", kind.alias("expiry_type"), "date", time.alias("time")).agg(*[m.alias(n) for n, m in measures.items()])
+
+
 def date_gaps(bars: DataFrame, max_days: int = 5) -> DataFrame:
     """Consecutive bar dates of a symbol further apart than ``max_days``."""
     days = bars.select("symbol", "date").distinct()
@@ -89,19 +111,17 @@ def check_date_gaps(bars: DataFrame, max_days: int = 5, max_gaps: int = 20) -> D
 
 def check_duplicates(bars: DataFrame) -> DataFrame:
     """Rows beyond the first of each key, within a month file (one for each expiry type)."""
-    kind = [F.col("expiry_type")] if "expiry_type" in bars.columns else []
-    month = [*kind, F.year("date").alias("_y"), F.month("date").alias("_m")]
-    keys = bars.groupBy("symbol", *month, *BAR_KEY).agg((F.count(F.lit(1)) - 1).alias("_extra"))
-    files = keys.groupBy("symbol", *kind, "_y", "_m").agg(F.sum("_extra").alias("_extra"))
+    files = bar_times(bars).groupBy("symbol", "expiry_type", F.year("date").alias("_y"), F.month("date").alias("_m")).agg(
+        F.sum(F.col("rows") - F.col("keys")).alias("_extra")
+    )
     d = files.groupBy("symbol").agg(F.sum("_extra").alias("_dup"), F.count_if(F.col("_extra") > 0).alias("_files"))
     return _verdict(d, "duplicates", (F.col("_dup") > 0).cast("int"), F.col("_files"), F.col("_dup"))
 
 
 def check_iv_coverage(bars: DataFrame, low: float = 95.0, good: float = 99.0, points: int = 3) -> DataFrame:
-    """Share of bar times (with any usable IV) that have enough points for a surface."""
-    at = bars.where(F.col("iv") > 0).groupBy("symbol", "date", "time").agg(F.count(F.lit(1)).alias("_n"))
-    s = at.groupBy("symbol").agg((F.count_if(F.col("_n") >= points) / F.count(F.lit(1)) * 100).alias("_pct"))
-    s = bars.select("symbol").distinct().join(s, "symbol", "left")
+    """Share of bar times of an expiry type (with any usable IV) that have enough points for a surface."""
+    some = F.count_if(F.col("points") > 0)
+    s = bar_times(bars).groupBy("symbol").agg((F.count_if(F.col("points") >= points) / F.nullif(some, F.lit(0)) * 100).alias("_pct"))
     pct = F.col("_pct")
     return _verdict(
         s, "iv_coverage", F.coalesce((pct < low).cast("int"), F.lit(0)),
@@ -111,11 +131,9 @@ def check_iv_coverage(bars: DataFrame, low: float = 95.0, good: float = 99.0, po
 
 def spot_jumps(bars: DataFrame, limit: float = 0.10) -> DataFrame:
     """Adjacent distinct spots of a month file (one for each expiry type) that differ by more than ``limit``."""
-    kind = ["expiry_type"] if "expiry_type" in bars.columns else []
-    spots = bars.select("symbol", *kind, "date", "time", "spot").distinct()
-    w = Window.partitionBy("symbol", *kind, F.year("date"), F.month("date")).orderBy("date", "time", "spot")
-    prev = F.lag("spot").over(w)
-    s = spots.withColumn("previous", prev)
+    spots = bar_times(bars).select("symbol", "expiry_type", "date", "time", F.explode("spots").alias("spot"))
+    w = Window.partitionBy("symbol", "expiry_type", F.year("date"), F.month("date")).orderBy("date", "time", "spot")
+    s = spots.withColumn("previous", F.lag("spot").over(w))
     change = F.abs(F.col("spot") - F.col("previous")) / F.when(F.col("previous") > 0, F.col("previous"))
     return s.withColumn("change", change).where(F.col("change") > limit)
 
@@ -149,10 +167,11 @@ def check_weekly_cutoff(bars: DataFrame, expiry_rules: DataFrame) -> DataFrame:
 
 
 def validate_bars(bars: DataFrame, expiry_rules: DataFrame, lot_rules: DataFrame) -> DataFrame:
-    """One row per symbol and check."""
+    """One row per symbol and check; the bars are read once, for ``bar_times``, which is written."""
+    times = cut_lineage(bar_times(bars))
     checks = [
-        check_weekly_cutoff(bars, expiry_rules), check_date_gaps(bars), check_duplicates(bars), check_iv_coverage(bars),
-        check_spot_continuity(bars), check_lot_coverage(bars, lot_rules),
+        check_weekly_cutoff(times, expiry_rules), check_date_gaps(times), check_duplicates(times), check_iv_coverage(times),
+        check_spot_continuity(times), check_lot_coverage(times, lot_rules),
     ]
     out = checks[0]
     for one in checks[1:]:

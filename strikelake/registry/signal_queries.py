@@ -162,6 +162,8 @@ FROM al GROUP BY run_id, option_type"""
 
 
 def _attributed(t):
+    # A long chain of expressions a row: dealt by key, so that few splits are not few tasks.
+    t = t.repartition("orderkey")
     return P.pnl_attribution(t.withColumn("actual_pnl", F.col("pnl_net") / 10000))
 
 
@@ -212,7 +214,29 @@ def surface_values(spark, sf):
     b = cut_lineage(bars(spark, sf))
     grid = F.explode(F.array(*[F.lit(x) for x in (-2.5, -1.5, -0.5, 0.0, 0.25, 1.5, 3.0)]))
     requests = b.select("symbol", "date", "time").distinct().select("*", grid.alias("offset"))
-    return text_dates(iv_at(iv_surface(b), requests))
+    return text_dates(iv_at(iv_surface(b), requests), {"iv": 14})
+
+
+# The equations of the inner points, solved row by row: forward over the points, then backward.
+SURFACE_VALUES_SQL = f"""WITH RECURSIVE {BARS_SQL}, p AS (SELECT symbol, date, time, CAST(strike_offset AS DOUBLE) AS x, min_by(iv, option_type) AS y FROM bars WHERE iv > 0 GROUP BY ALL),
+kn AS MATERIALIZED (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, date, time) AS n, lead(x) OVER w - x AS h, (lead(y) OVER w - y)/(lead(x) OVER w - x) AS s,
+    x - lag(x) OVER w AS hp, (y - lag(y) OVER w)/(x - lag(x) OVER w) AS sp
+  FROM p WINDOW w AS (PARTITION BY symbol, date, time ORDER BY x) QUALIFY count(*) OVER (PARTITION BY symbol, date, time) >= 3),
+fw(symbol, date, time, i, cp, dp) AS (
+  SELECT symbol, date, time, i, 0.0::DOUBLE, 0.0::DOUBLE FROM kn WHERE i = 0
+  UNION ALL SELECT k.symbol, k.date, k.time, k.i, h/(2*(hp+h) - hp*cp), (6*(s-sp) - hp*dp)/(2*(hp+h) - hp*cp)
+  FROM fw f JOIN kn k ON k.symbol = f.symbol AND k.date = f.date AND k.time = f.time AND k.i = f.i + 1 AND k.i < k.n - 1),
+bw(symbol, date, time, i, m) AS (
+  SELECT symbol, date, time, i, 0.0::DOUBLE FROM kn WHERE i = n - 1
+  UNION ALL SELECT f.symbol, f.date, f.time, f.i, CASE WHEN f.i = 0 THEN 0 ELSE dp - cp*m END
+  FROM bw b JOIN fw f ON f.symbol = b.symbol AND f.date = b.date AND f.time = b.time AND f.i = b.i - 1),
+c AS (SELECT k.*, b.m, lead(b.m) OVER w AS m1, lead(y) OVER w AS y1, lead(x) OVER w AS x1, min_by(y, x) OVER e AS ya, max_by(y, x) OVER e AS yz, min(x) OVER e AS xa, max(x) OVER e AS xz
+  FROM kn k JOIN bw b USING (symbol, date, time, i) WINDOW w AS (PARTITION BY symbol, date, time ORDER BY x), e AS (PARTITION BY symbol, date, time)),
+rq AS (SELECT DISTINCT symbol, date, time, xa, xz, ya, yz, unnest([-2.5::DOUBLE, -1.5, -0.5, 0.0, 0.25, 1.5, 3.0]) AS q FROM c)
+SELECT r.symbol, CAST(r.date AS VARCHAR) AS date, r.time, q AS "offset", round(CASE WHEN q <= r.xa THEN r.ya WHEN q >= r.xz THEN r.yz ELSE
+  (m*(x1-q)^3 + m1*(q-x)^3)/(6*h) + (y/h - m*h/6)*(x1-q) + (y1/h - m1*h/6)*(q-x) END, 14)+0.0 AS iv
+FROM rq r LEFT JOIN c ON c.symbol = r.symbol AND c.date = r.date AND c.time = r.time AND q >= c.x AND q < c.x1"""
 
 
 DELTA_RUN = [
@@ -246,6 +270,6 @@ ENTRIES = {
     "H04_pnl_attribution": (attribution, ATTRIBUTION_SQL),
     "I08_attribution_summary": (attribution_summary, ATTR_SUMMARY_SQL),
     "H07_iv_surface_points": (surface_points, SURFACE_SQL),
-    "H07_iv_at_offsets": (surface_values, None),
+    "H07_iv_at_offsets": (surface_values, SURFACE_VALUES_SQL),
     "C04_D09_delta_legs": (delta_selection, DELTA_SQL),
 }

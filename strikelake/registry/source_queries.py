@@ -306,7 +306,12 @@ SHIFT_SQL = f"""WITH {_DATED_SQL} SELECT orderkey, CAST(make_date(CAST(year(date
 
 
 def checks(spark, sf):
-    b = cut_lineage(bars(spark, sf).withColumn("expiry_type", F.when(F.col("symbol") == "S0", "weekly").otherwise("monthly")))
+    # Both expiry types in every symbol; the monthly rows have a spot of their own, fewer IVs, and some of them twice.
+    b = bars(spark, sf)
+    hour, at_money = F.substring("time", 1, 2).cast("int"), F.col("strike_offset") == 0
+    far = b.where(hour % 3 > 0).withColumn("spot", F.col("spot") * F.when(hour % 6 == 1, 1.2).otherwise(1.0)).withColumn("iv", F.when(~at_money, F.col("iv")))
+    far = far.withColumn("expiry_type", F.lit("monthly"))
+    b = cut_lineage(b.withColumn("expiry_type", F.lit("weekly")).unionByName(far).unionByName(far.where(at_money & (F.col("symbol") == "S1"))))
     rules = [("S0", "2000-01-01", "2024-01-20", "weekly", "Thursday"), ("S0", "2024-01-21", "2099-12-31", "monthly", "last_thursday"),
              ("S1", "2024-01-11", "2099-12-31", "monthly", "last_thursday")]
     lots = [("S0", "2024-01-01", "2024-01-15", 10), ("S0", "2024-01-20", "2024-12-31", 20), ("S1", "2024-01-01", "2099-12-31", 10)]
@@ -314,22 +319,25 @@ def checks(spark, sf):
     return text_dates(v, {"detail": 4})
 
 
-CHECKS_SQL = f"""WITH {BARS_SQL}, bx AS (SELECT *, CASE WHEN symbol='S0' THEN 'weekly' ELSE 'monthly' END AS expiry_type FROM bars),
+CHECKS_SQL = f"""WITH {BARS_SQL}, fa AS (SELECT * REPLACE (spot * CASE WHEN CAST(time[1:2] AS INT) % 6 = 1 THEN 1.2::DOUBLE ELSE 1 END AS spot, CASE WHEN strike_offset <> 0 THEN iv END AS iv), 'monthly' AS expiry_type
+  FROM bars WHERE CAST(time[1:2] AS INT) % 3 > 0),
+bx AS (SELECT *, 'weekly' AS expiry_type FROM bars UNION ALL SELECT * FROM fa UNION ALL SELECT * FROM fa WHERE strike_offset = 0 AND symbol = 'S1'),
 sy AS (SELECT DISTINCT symbol FROM bx), cut(symbol, c) AS (VALUES ('S0', DATE '2024-01-21'), ('S1', DATE '2024-01-11')),
 fl AS (SELECT b.symbol, expiry_type, year(date) AS y, month(date) AS m, min(date) AS lo, max(date) AS hi FROM bx b GROUP BY ALL),
 k1 AS (SELECT f.symbol, 'weekly_cutoff' AS chk, count(*) FILTER ((expiry_type='weekly' AND hi>=c) OR (expiry_type='monthly' AND lo<c)) AS e, max(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS w FROM fl f LEFT JOIN cut USING (symbol) GROUP BY f.symbol),
 dd AS (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS p FROM (SELECT DISTINCT symbol, date FROM bx)),
 k2 AS (SELECT symbol, 'date_gaps' AS chk, count(*) FILTER (date_diff('day', p, date) > 5) AS g FROM dd GROUP BY symbol),
-k3 AS (SELECT symbol, count(*) AS n, count(DISTINCT (date, time, strike_offset, option_type)) AS u FROM bx GROUP BY symbol),
-iv AS (SELECT symbol, date, time, count(*) AS c FROM bx WHERE iv > 0 GROUP BY ALL),
+k3 AS (SELECT symbol, sum(n) AS n, sum(u) AS u, count(*) FILTER (n > u) AS files FROM (
+  SELECT symbol, count(*) AS n, count(DISTINCT (date, time, strike_offset, option_type)) AS u FROM bx GROUP BY symbol, expiry_type, year(date), month(date)) GROUP BY symbol),
+iv AS (SELECT symbol, expiry_type, date, time, count(*) AS c FROM bx WHERE iv > 0 GROUP BY ALL),
 k4 AS (SELECT symbol, count(*) FILTER (c>=3)/count(*)*100.0 AS pct FROM iv GROUP BY symbol),
-sp AS (SELECT symbol, date, time, spot, lag(spot) OVER (PARTITION BY symbol, year(date), month(date) ORDER BY date, time, spot) AS p FROM (SELECT DISTINCT symbol, date, time, spot FROM bx)),
+sp AS (SELECT symbol, date, time, spot, lag(spot) OVER (PARTITION BY symbol, expiry_type, year(date), month(date) ORDER BY date, time, spot) AS p FROM (SELECT DISTINCT symbol, expiry_type, date, time, spot FROM bx)),
 k5 AS (SELECT symbol, count(*) FILTER (p > 0 AND abs(spot-p)/p > 0.10) AS j FROM sp GROUP BY symbol),
 lt(symbol, f, t) AS (VALUES ('S0', DATE '2024-01-01', DATE '2024-01-15'), ('S0', DATE '2024-01-20', DATE '2024-12-31'), ('S1', DATE '2024-01-01', DATE '2099-12-31')),
 k6 AS (SELECT s.symbol, (SELECT count(DISTINCT date) FROM bx b WHERE b.symbol=s.symbol AND NOT EXISTS (SELECT 1 FROM lt WHERE lt.symbol=b.symbol AND b.date BETWEEN f AND t)) AS u FROM sy s),
 al AS (SELECT symbol, chk, e, w, CAST(e AS DOUBLE) AS d FROM k1
  UNION ALL SELECT symbol, chk, CASE WHEN g>20 THEN 1 ELSE 0 END, g, g FROM k2
- UNION ALL SELECT symbol, 'duplicates', CASE WHEN n>u THEN 1 ELSE 0 END, CASE WHEN n>u THEN 1 ELSE 0 END, n-u FROM k3
+ UNION ALL SELECT symbol, 'duplicates', CASE WHEN n>u THEN 1 ELSE 0 END, files, n-u FROM k3
  UNION ALL SELECT symbol, 'iv_coverage', CASE WHEN pct<95 THEN 1 ELSE 0 END, CASE WHEN pct>=95 AND pct<99 THEN 1 ELSE 0 END, pct FROM k4
  UNION ALL SELECT symbol, 'spot_continuity', CASE WHEN j>0 THEN 1 ELSE 0 END, 0, j FROM k5
  UNION ALL SELECT symbol, 'lot_coverage', CASE WHEN u>0 THEN 1 ELSE 0 END, 0, u FROM k6)
