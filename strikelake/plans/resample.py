@@ -105,26 +105,21 @@ def _carried(blocks: DataFrame, sims: int, seed: int, by: list[str], chunk: int)
 
 
 def _walked(blocks: DataFrame, sims: int, seed: int, by: list[str], chunk: int, emit, schema: T.StructType) -> DataFrame:
-    """``emit(sim, first trade index, equity, peak)`` gives rows for every simulated block."""
+    """``emit(sim, first trade index, equity, peak, capital)`` gives the columns behind ``by`` for every simulated block."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
         for batch, r, sim, run in _walks(batches, len(by), sims, seed, chunk):
             names = batch.schema.names
             capital, carry = (batch.column(names.index(n))[r].as_py() for n in ("capital", "carry"))
             before = {"start": capital, "peak": capital, "at": 0} if carry is None else carry[sim % chunk]
             equity = before["start"] + run
             peak = np.maximum(before["peak"], np.maximum.accumulate(equity))
-            keys = {n: batch.column(names.index(n))[r].as_py() for n in by}
-            out += [keys | row for row in emit(sim, before["at"], equity, peak, capital)]
-            if len(out) >= 200:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            columns = emit(sim, before["at"], equity, peak, capital)
+            keys = [pa.repeat(batch.column(names.index(n))[r], len(columns[0])) for n in by]
+            yield pa.RecordBatch.from_arrays([*keys, *columns], schema=arrow)
 
     return _carried(blocks, sims, seed, by, chunk).mapInArrow(walk, schema)
 
@@ -144,11 +139,11 @@ def shuffle_bands(
     schema = _schema(trades, by, slice=T.LongType(), sim=T.IntegerType(), offset=T.IntegerType(), values=T.ArrayType(T.DoubleType()))
 
     def sliced(sim, first, equity, peak, capital):
-        at, end = first, first + len(equity)
-        while at < end:
-            to = min(end, (at // SLICE + 1) * SLICE)
-            yield {"slice": at // SLICE, "sim": sim, "offset": at % SLICE, "values": equity[at - first : to - first]}
-            at = to
+        numbers = np.arange(first // SLICE, (first + len(equity) - 1) // SLICE + 1)
+        starts = np.maximum(numbers * SLICE, first)
+        offsets = pa.array(np.append(starts - first, len(equity)).astype(np.int32))
+        values = pa.ListArray.from_arrays(offsets, pa.array(equity))
+        return [pa.array(numbers), pa.repeat(pa.scalar(sim, pa.int32()), len(numbers)), pa.array((starts % SLICE).astype(np.int32)), values]
 
     paths = _walked(_dealt(trades, capital, sims, seed, trade_key, by, block, chunk), sims, seed, by, chunk, sliced, schema)
     ranks = {f"p{p}": int(np.floor(p / 100 * (sims - 1) + 0.5)) for p in BANDS}
@@ -158,31 +153,41 @@ def shuffle_bands(
 def _ranked(paths: DataFrame, by: list[str], sims: int, ranks: dict[str, int], index: str) -> DataFrame:
     """For each index, the values of the given ranks (from 0) among all simulations.
 
-    ``paths``: by, slice, sim, offset, values. A slice holds SLICE values for each simulation.
+    ``paths``: by, slice, sim, offset, values. Slices are read one after the other; a task holds one,
+    SLICE values for each simulation.
     """
-    slices = paths.groupBy(*by, "slice").agg(F.collect_list(F.struct("sim", "offset", "values")).alias("parts"))
     out = _schema(paths, by, **{index: T.LongType()}, **dict.fromkeys(ranks, T.DoubleType()))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grid, width = None, np.empty((sims, SLICE)), 0
+
+        def done() -> pa.RecordBatch:
+            best = np.partition(grid[:, :width].T, sorted(set(ranks.values())), axis=1)
+            first = now[-1] * SLICE
+            keys = [pa.repeat(pa.scalar(v, arrow.field(i).type), width) for i, v in enumerate(now[:-1])]
+            values = [pa.array(best[:, k]) for k in ranks.values()]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + width)), *values], schema=arrow)
+
         for batch in batches:
             names = batch.schema.names
-            for r in range(batch.num_rows):
-                parts = batch.column(names.index("parts"))[r].values
-                sim, offset = (parts.field(n).to_numpy() for n in ("sim", "offset"))
-                lists = parts.field("values")
-                sizes = np.diff(lists.offsets.to_numpy())
-                grid = np.empty((sims, int((offset + sizes).max())))
-                flat, at = lists.flatten().to_numpy(), 0
-                for s, o, n in zip(sim.tolist(), offset.tolist(), sizes.tolist()):
-                    grid[s, o : o + n] = flat[at : at + n]
-                    at += n
-                grid.partition(sorted(set(ranks.values())), axis=0)
-                width, first = grid.shape[1], batch.column(names.index("slice"))[r].as_py() * SLICE
-                keys = [pa.repeat(batch.column(names.index(k))[r], width) for k in by]
-                values = [pa.array(grid[k]) for k in ranks.values()]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + width)), *values], names=out.names)
-
-    return slices.mapInArrow(ranked, out)
+            columns = [batch.column(names.index(n)).to_pylist() for n in (*by, "slice", "sim", "offset")]
+            lists = batch.column(names.index("values"))
+            ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+            for r, (*key, sim, offset) in enumerate(zip(*columns)):
+                if key != now:
+                    if now is not None:
+                        yield done()
+                    now, width = key, 0
+                size = ends[r + 1] - ends[r]
+                grid[sim, offset : offset + size] = flat[ends[r] : ends[r + 1]]
+                width = max(width, offset + size)
+        if now is not None:
+            yield done()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+    return paths.repartition(*by, "slice").sortWithinPartitions(*by, "slice").mapInArrow(ranked, out)
 
 
 def shuffle_summary(
@@ -197,7 +202,8 @@ def shuffle_summary(
 
     def reduced(sim, first, equity, peak, capital):
         drop = np.where(peak > 0, (peak - equity) / np.where(peak > 0, peak, 1.0) * 100, 0.0)
-        yield {"sim": sim, "last": first + len(equity) - 1, "final": float(equity[-1]), "mdd": float(drop.max()), "capital": capital}
+        row = [(sim, pa.int32()), (first + len(equity) - 1, pa.int64()), (float(equity[-1]), pa.float64()), (float(drop.max()), pa.float64()), (capital, pa.float64())]
+        return [pa.array([value], kind) for value, kind in row]
 
     parts = _walked(_dealt(trades, capital, sims, seed, trade_key, by, block, chunk), sims, seed, by, chunk, reduced, schema)
     ended = parts.groupBy(*by, "sim").agg(
