@@ -142,6 +142,19 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+#: DuckDB has no crc32, so this text gives every column but text_crc32; a test holds both against the query.
+SHARDS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+         md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k
+  FROM documents),
+f AS (
+  SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY k) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, k) - 1 AS place, count(*) OVER () AS n FROM f),
+s AS (SELECT *, (place * 8) // n AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, 'rows' AS law, shard::INTEGER AS shard, (place - (shard * n + 7) // 8)::BIGINT AS slot FROM s
+"""
+
 ENTRIES = {
     "op1_token_codes": (op1_token_codes, None),
     "op2_interleaved_shards": (op2_interleaved_shards, None),

@@ -121,6 +121,17 @@ def poured(total, sizes, weights):
         stopped |= set(over)
 
 
+def test_shards_against_sql(spark):
+    """Every column of the query but the crc32, which DuckDB does not know, and the crc32 against zlib."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = Q.op2_interleaved_shards(spark, SF).collect()
+    want = con.execute(Q.SHARDS_SQL).fetchall()
+    assert sorted((r.doc_id, r.size, r.law, r.shard, r.slot) for r in got) == sorted(want)
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.grown_shard is None for r in got)
+
+
 def test_mix(spark, odd_docs, no_docs):
     extra = odd_docs.select("doc_id", "text", "source")
     few = spark.createDataFrame([(900 + i, "w " * i, "0first") for i in range(4)], "doc_id long, text string, source string")
