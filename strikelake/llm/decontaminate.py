@@ -74,16 +74,19 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = 13, rarest: int
     firsts = chosen.where("first").select(F.struct(*ITEM, "start").alias("of"), F.col("place").alias("anchor"))
     windows = windows.join(firsts, F.struct(*ITEM, "start").eqNullSafe(F.col("of"))).drop("of")
     wanted = cut_lineage(anchors.groupBy("term").agg(F.max("first").alias("first")))
-    words, at = F.col("words"), F.col("position")
-    found = doc_words(docs).select(*DOC, "words", F.posexplode("words").alias("position", "term")).join(wanted, "term")
+    at = F.col("position")
+    places = doc_words(docs).select(*DOC, F.posexplode("words").alias("position", "term"))
+    places = cut_lineage(places.join(wanted, "term"))
+    # Words travel alone; only texts with a rarest word are split again, beside its places.
+    leading = places.where("first").groupBy(*DOC).agg(F.collect_set(F.struct("term", "position")).alias("places"))
+    leading = cut_lineage(leading.select(F.struct(*DOC).alias("of"), "places"))
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text")
+    texts = texts.join(leading.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("of")))
+    around = texts.select("key.*", words_of(F.col("text")).alias("words"), F.explode("places").alias("p"))
+    around = around.select(*DOC, "p.*", "words")
     before = F.least(at, F.lit(window - 1))
-    postings = found.select(
-        "term",
-        *DOC,
-        "position",
-        F.when(F.col("first"), before).alias("before"),
-        F.when(F.col("first"), F.slice(words, at - before + 1, before + window)).alias("context"),
-    )
+    around = around.select("term", *DOC, "position", before.alias("before"), F.slice("words", at - before + 1, before + window).alias("context"))
+    postings = places.where(~F.col("first")).select("term", *DOC, "position").unionByName(around, allowMissingColumns=True)
     return PhraseIndex(cut_lineage(windows), anchors, cut_lineage(postings))
 
 
