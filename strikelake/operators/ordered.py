@@ -17,8 +17,9 @@ from ..session import cut_lineage
 def block_scan(df: DataFrame, keys, block, order, **outputs: tuple[str, Column]) -> DataFrame:
     """Add running values per key: ``name=(kind, value)``, all in one pass and one join back.
 
-    Kinds: ``sum``, ``max``, ``min``, ``last`` (latest non-null) and ``count`` (row number;
-    its value is ignored). NULLs are skipped; a running sum starts from zero.
+    Kinds: ``sum``, ``max``, ``min``, ``last`` (latest non-null), ``lag`` (value of the row before)
+    and ``count`` (row number; its value is ignored). NULLs are skipped, but by ``lag``; a running
+    sum starts from zero.
     """
     inside = Window.partitionBy(*keys, *block).orderBy(*order)
     sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -42,6 +43,11 @@ def block_scan(df: DataFrame, keys, block, order, **outputs: tuple[str, Column])
             per_block.append(F.max_by(value, F.when(value.isNotNull(), at)).alias(b))
             carried.append(F.last(b, ignorenulls=True).over(before).alias(k))
             done = F.coalesce(w, k)
+        elif kind == "lag":
+            local.append(F.struct(F.lag(value).over(inside).alias("v"), (F.row_number().over(inside) == 1).alias("head")).alias(w))
+            per_block.append(F.max_by(value, at).alias(b))
+            carried.append(F.lag(b).over(Window.partitionBy(*keys).orderBy(*block)).alias(k))
+            done = F.when(F.col(w)["head"], F.col(k)).otherwise(F.col(w)["v"])
         else:
             agg, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
             local.append(agg(value).over(sofar).alias(w))

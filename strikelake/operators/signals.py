@@ -1,8 +1,10 @@
 """Momentum signals over the spine: RSI, EMA cross, range breakout, supertrend.
 
-Wilder and exponential averages are recurrences y -> a*y + b*x. Such maps compose, so each
+Wilder and exponential averages are recurrences y -> a*y + x. Such maps compose, so each
 (symbol, day) block is folded on its own from zero, the blocks' ends are folded over the days
-of a symbol, and a block's rows add the carried value times a^i.
+of a symbol, and a block's rows add the carried value times the product of their factors. A factor
+may change from row to row, so an average's seed is part of the same recurrence: a mean of the
+first n values is a sum with factor 1, a first value has factor 0.
 """
 
 from __future__ import annotations
@@ -14,95 +16,76 @@ from .contracts import with_ordinals
 from .ordered import block_scan, carry_forward
 
 
-def affine_scan(df: DataFrame, x: Column, decay: Column | float, out: str, seed: Column | None = None) -> DataFrame:
-    """Add y per row with y_i = decay*y_{i-1} + x_i in bar order, per symbol.
+def affine_scan(df: DataFrame, **channels: tuple[Column, Column]) -> DataFrame:
+    """Add ``name=(a, x)`` per row: y_i = a_i * y_{i-1} + x_i in bar order per symbol, from zero.
 
-    ``seed`` (non-null on one row per symbol) sets y on that row; rows before it get NULL.
-    Without a seed y starts from zero. One day of bars is at most 1,440 rows, one symbol's
-    days are one short row each.
+    All channels run in one scan, and rows travel with it. A null ``x`` counts as 0. One day of
+    bars is at most 1,440 rows; of a symbol's days only one short row each is gathered.
     """
-    c = F.col
-    a = F.lit(float(decay)) if isinstance(decay, (int, float)) else decay
-    df = df.withColumn("_x", x).withColumn("_seed", seed if seed is not None else F.lit(None).cast("double"))
-    day = Window.partitionBy("symbol", "date").orderBy("time")
-    sofar = day.rowsBetween(Window.unboundedPreceding, 0)
-    items = F.collect_list(F.struct("time", F.coalesce("_x", F.lit(0.0)).alias("x"), c("_seed").alias("s")))
-    blocks = df.groupBy("symbol", "date").agg(F.array_sort(items).alias("_rows"))
-
-    # Fold keeping every partial value: (y from zero, a^n, reset seen).
-    start = F.struct(
-        F.lit(0.0).alias("y"),
-        F.lit(1.0).alias("p"),
-        F.lit(False).alias("set"),
-        F.array().cast("array<struct<time:string,y:double,p:double,set:boolean>>").alias("all"),
-    )
+    c, names = F.col, list(channels)
+    maps = [F.struct(a.cast("double").alias("a"), F.coalesce(x, F.lit(0.0)).alias("x")).alias(n) for n, (a, x) in channels.items()]
+    kept = [n for n in df.columns if n not in ("symbol", "date", *names)]
+    bar = F.struct("time", F.struct(*maps).alias("maps"), F.struct(*kept).alias("row"))
+    days = df.select("symbol", "date", bar.alias("bar")).groupBy("symbol", "date").agg(F.collect_list("bar").alias("bars"))
+    days = days.select("symbol", "date", F.array_sort("bars", lambda l, r: F.when(l["time"] < r["time"], -1).when(l["time"] > r["time"], 1).otherwise(0)).alias("bars"))
 
-    def step(acc, r):
-        seeded = r["s"].isNotNull()
-        y = F.when(seeded, r["s"]).otherwise(acc["y"] * a + r["x"])
-        p = F.when(seeded, F.lit(0.0)).otherwise(acc["p"] * a)
-        was = acc["set"] | seeded
-        item = F.struct(r["time"].alias("time"), y.alias("y"), p.alias("p"), was.alias("set"))
-        return F.struct(y.alias("y"), p.alias("p"), was.alias("set"), F.concat(acc["all"], F.array(item)).alias("all"))
-
-    blocks = blocks.select("symbol", "date", F.aggregate("_rows", start, step).alias("_f"))
-    ends = blocks.groupBy("symbol").agg(
-        F.array_sort(F.collect_list(F.struct("date", c("_f.y").alias("y"), c("_f.p").alias("p"), c("_f.set").alias("set")))).alias("_days")
-    )
-    carry0 = F.struct(
-        F.lit(0.0).alias("y"),
-        F.lit(False).alias("set"),
-        F.array().cast("array<struct<date:date,y:double,set:boolean>>").alias("all"),
-    )
+    def values(pick) -> Column:
+        return F.struct(*[F.struct(*[v.alias(k) for k, v in zip("yp", pick(n))]).alias(n) for n in names])
+
+    shape = "struct<" + ",".join(f"`{n}`:struct<y:double,p:double>" for n in names) + ">"
+
+    def scan(items: Column, step) -> Column:
+        """Every running value of ``items``, the start first."""
+        zero = values(lambda n: (F.lit(0.0), F.lit(1.0)))
+        start = F.struct(zero.alias("now"), F.array(zero).cast(f"array<{shape}>").alias("all"))
+
+        def add(acc, item):
+            now = values(lambda n: step(acc["now"][n], item, n))
+            return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-    def over_days(acc, d):
-        before = F.struct(d["date"].alias("date"), acc["y"].alias("y"), acc["set"].alias("set"))
-        return F.struct(
-            (d["y"] + acc["y"] * d["p"]).alias("y"),
-            (acc["set"] | d["set"]).alias("set"),
-            F.concat(acc["all"], F.array(before)).alias("all"),
-        )
+        return F.aggregate(items, start, add)["all"]
 
-    carries = ends.select("symbol", F.inline(F.aggregate("_days", carry0, over_days)["all"])).withColumnsRenamed(
-        {"y": "_cy", "set": "_cset"}
+    def inside(was, bar, n):
+        m = bar["maps"][n]
+        return was["y"] * m["a"] + m["x"], was["p"] * m["a"]
+
+    days = days.withColumn("found", scan(c("bars"), inside))
+    # The values a day starts from: its predecessors' maps, composed.
+    ends = F.array_sort(F.collect_list(F.struct("date", F.element_at("found", -1).alias("end"))))
+
+    def over_days(was, day, n):
+        return was["y"] * day["end"][n]["p"] + day["end"][n]["y"], was["p"] * day["end"][n]["p"]
+
+    carried = days.groupBy("symbol").agg(ends.alias("ends"))
+    carried = carried.select("symbol", F.explode(F.arrays_zip(c("ends.date").alias("date"), scan(c("ends"), over_days).alias("from"))).alias("d"))
+    carried = carried.select("symbol", "d.date", c("d.from").alias("from")).where("date IS NOT NULL")
+    rows = days.join(carried, ["symbol", "date"]).select(
+        "symbol", "date", "from", F.explode(F.arrays_zip(c("bars.row").alias("row"), F.slice("found", 2, F.size("bars")).alias("found"))).alias("r")
     )
-    local = blocks.select("symbol", "date", F.inline("_f.all")).withColumnsRenamed({"y": "_ly", "p": "_lp", "set": "_lset"})
-    scanned = local.join(carries, ["symbol", "date"])
-    value = c("_ly") + c("_cy") * c("_lp")
-    if seed is not None:
-        value = F.when(c("_lset") | c("_cset"), value)
-    scanned = scanned.select("symbol", "date", "time", value.alias(out))
-    return df.drop("_x", "_seed").join(scanned, ["symbol", "date", "time"])
+    results = [(c(f"r.found.{n}.y") + c(f"from.{n}.y") * c(f"r.found.{n}.p")).alias(n) for n in names]
+    return rows.select("symbol", "date", *[c(f"r.row.{k}").alias(k) for k in kept], *results).select(*[n for n in df.columns if n not in names], *names)
 
 
 def with_changes(spine: DataFrame) -> DataFrame:
     """Numbered bars with the change of spot since the previous bar (NULL on the first)."""
-    s = with_ordinals(spine)
-    prev = s.select("symbol", (F.col("ord") + 1).alias("ord"), F.col("spot").alias("_prev"))
-    return s.join(prev, ["symbol", "ord"], "left").withColumn("change", F.col("spot") - F.col("_prev")).drop("_prev")
+    s = block_scan(spine, ["symbol"], ["date"], ["time"], ord=("count", F.lit(1)), _prev=("lag", F.col("spot")))
+    return s.withColumn("change", F.col("spot") - F.col("_prev")).drop("_prev")
 
 
-def _seed_mean(s: DataFrame, period: int, **values: Column) -> DataFrame:
-    """Mean of the first ``period`` changes per symbol (at most that many rows each)."""
-    head = s.where(F.col("ord").between(2, period + 1))
-    return head.groupBy("symbol").agg(*[(F.sum(v) / period).alias(k) for k, v in values.items()])
+def _wilder(value: Column, period: int) -> tuple[Column, Column]:
+    """Average of changes: the mean of the first ``period``, then each new one weighs 1/period."""
+    return F.when(F.col("ord") <= period + 1, 1.0).otherwise((period - 1) / period), value / period
 
 
 def rsi(spine: DataFrame, period: int = 14) -> DataFrame:
     """Wilder RSI; NULL until ``period`` changes have been seen."""
     c = F.col
-    s = with_changes(spine)
     gain = F.greatest(c("change"), F.lit(0.0))
     loss = F.greatest(-c("change"), F.lit(0.0))
-    seeds = _seed_mean(s, period, _g0=gain, _l0=loss)
-    s = s.join(seeds, "symbol", "left")
-    at = c("ord") == period + 1
-    decay = (period - 1) / period
-    s = affine_scan(s, gain / period, decay, "_avg_gain", F.when(at, c("_g0")))
-    s = affine_scan(s, loss / period, decay, "_avg_loss", F.when(at, c("_l0")))
+    s = affine_scan(with_changes(spine), _avg_gain=_wilder(gain, period), _avg_loss=_wilder(loss, period))
     flat = c("_avg_loss") == 0
     value = F.when(flat, 100.0).otherwise(100.0 - 100.0 / (1.0 + c("_avg_gain") / F.when(~flat, c("_avg_loss"))))
-    return s.withColumn("rsi", F.when(c("_avg_loss").isNotNull(), value)).drop("_g0", "_l0", "_avg_gain", "_avg_loss")
+    return s.withColumn("rsi", F.when(c("ord") > period, value)).drop("_avg_gain", "_avg_loss")
 
 
 def _word(up: Column, down: Column) -> Column:
@@ -114,15 +97,20 @@ def rsi_signal(spine: DataFrame, period: int = 14, above: float = 60.0, below: f
     return r.withColumn("signal", _word(F.col("rsi") > above, F.col("rsi") < below))
 
 
-def ema(spine: DataFrame, period: int, out: str = "ema") -> DataFrame:
-    """Exponential average of spot, seeded with the first spot."""
-    k = 2.0 / (period + 1.0)
+def emas(spine: DataFrame, **periods: int) -> DataFrame:
+    """Exponential averages of spot (``name=period``), each seeded with the first spot, in one scan."""
     s = spine if "ord" in spine.columns else with_ordinals(spine)
-    return affine_scan(s, F.col("spot") * k, 1.0 - k, out, F.when(F.col("ord") == 1, F.col("spot")))
+    first, spot = F.col("ord") == 1, F.col("spot")
+    weights = {n: 2.0 / (p + 1.0) for n, p in periods.items()}
+    return affine_scan(s, **{n: (F.when(first, 0.0).otherwise(1.0 - k), F.when(first, spot).otherwise(spot * k)) for n, k in weights.items()})
+
+
+def ema(spine: DataFrame, period: int, out: str = "ema") -> DataFrame:
+    return emas(spine, **{out: period})
 
 
 def ema_cross_signal(spine: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
-    s = ema(ema(spine, fast, "ema_fast"), slow, "ema_slow")
+    s = emas(spine, ema_fast=fast, ema_slow=slow)
     return s.withColumn("signal", _word(F.col("ema_fast") > F.col("ema_slow"), F.col("ema_fast") < F.col("ema_slow")))
 
 
@@ -140,15 +128,14 @@ def range_breakout_signal(spine: DataFrame, range_end: str) -> DataFrame:
 def supertrend_signal(spine: DataFrame, period: int = 7, multiplier: float = 3.0) -> DataFrame:
     """Trend by ratcheting bands around spot, from the bar where the ATR is seeded."""
     c = F.col
-    s = with_changes(spine).withColumn("_tr", F.abs("change"))
-    s = s.join(_seed_mean(s, period, _a0=c("_tr")), "symbol", "left")
-    s = affine_scan(s, c("_tr") / period, (period - 1) / period, "atr", F.when(c("ord") == period + 1, c("_a0")))
+    s = affine_scan(with_changes(spine), atr=_wilder(F.abs("change"), period))
+    s = s.withColumn("atr", F.when(c("ord") > period, c("atr")))
     width = multiplier * c("atr")
     s = block_scan(s, ["symbol"], ["date"], ["time"], upper=("min", c("spot") + width), lower=("max", c("spot") - width))
     flip = F.when(c("spot") > c("upper"), "bullish").when(c("spot") < c("lower"), "bearish")
     s = carry_forward(s.withColumn("_flip", F.when(c("atr").isNotNull(), flip)), ["symbol"], ["date"], ["time"], c("_flip"), "_trend")
     signal = F.when(c("atr").isNull(), "neutral").otherwise(F.coalesce("_trend", F.lit("bullish")))
-    return s.withColumn("signal", signal).drop("_a0", "_tr", "_flip", "_trend")
+    return s.withColumn("signal", signal).drop("_flip", "_trend")
 
 
 def signal_at(points: DataFrame, signals: DataFrame) -> DataFrame:

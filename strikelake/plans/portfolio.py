@@ -57,16 +57,19 @@ def combined_equity(daily: DataFrame, allocations: DataFrame) -> DataFrame:
 def correlation_matrix(daily: DataFrame, allocations: DataFrame) -> DataFrame:
     """Pearson correlation of daily P&L per pair of strategies of a portfolio.
 
-    Dates are aligned; pairs with fewer than two common days or no variation give 0. The pairs
-    follow from the portfolio's strategies, not from the days.
+    Dates are aligned; pairs with fewer than two common days or no variation give 0. The days of a
+    portfolio are gathered as vectors, one entry a strategy, and every vector's products are summed
+    where it stands, so what is shuffled are strategies times days and one sum a pair and task.
     """
     c = F.col
     w = Window.partitionBy("run_id").orderBy("date")
     pnl = daily.select("run_id", "date", (c("equity") - F.lag("equity").over(w)).alias("pnl")).where(c("pnl").isNotNull())
     p = pnl.join(allocations.select("portfolio", "run_id"), "run_id")
-    a = p.select("portfolio", "date", c("run_id").alias("strategy_a"), c("pnl").alias("x"))
-    b = p.select("portfolio", "date", c("run_id").alias("strategy_b"), c("pnl").alias("y"))
-    found = a.join(b, ["portfolio", "date"]).where(c("strategy_a") < c("strategy_b")).groupBy("portfolio", "strategy_a", "strategy_b").agg(
+    days = p.groupBy("portfolio", "date").agg(F.array_sort(F.collect_list(F.struct("run_id", "pnl"))).alias("v"))
+    firsts = days.select("portfolio", "v", F.posexplode("v").alias("at", "a"))
+    products = firsts.select("portfolio", "a", F.explode(F.slice("v", c("at") + 2, F.size("v"))).alias("b"))
+    products = products.select("portfolio", c("a.run_id").alias("strategy_a"), c("b.run_id").alias("strategy_b"), c("a.pnl").alias("x"), c("b.pnl").alias("y"))
+    found = products.groupBy("portfolio", "strategy_a", "strategy_b").agg(
         F.count(F.lit(1)).alias("_n"), F.covar_pop("x", "y").alias("_xy"), F.sqrt(F.var_pop("x") * F.var_pop("y")).alias("_d")
     )
     ids = allocations.select("portfolio", "run_id")
