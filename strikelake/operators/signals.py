@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .contracts import with_ordinals
 from .ordered import block_scan, carry_forward
 
@@ -129,9 +130,10 @@ def supertrend_signal(spine: DataFrame, period: int = 7, multiplier: float = 3.0
     """Trend by ratcheting bands around spot, from the bar where the ATR is seeded."""
     c = F.col
     s = affine_scan(with_changes(spine), atr=_wilder(F.abs("change"), period))
-    s = s.withColumn("atr", F.when(c("ord") > period, c("atr")))
+    s = cut_lineage(s.withColumn("atr", F.when(c("ord") > period, c("atr"))))
     width = multiplier * c("atr")
     s = block_scan(s, ["symbol"], ["date"], ["time"], upper=("min", c("spot") + width), lower=("max", c("spot") - width))
+    s = cut_lineage(s)
     flip = F.when(c("spot") > c("upper"), "bullish").when(c("spot") < c("lower"), "bearish")
     s = carry_forward(s.withColumn("_flip", F.when(c("atr").isNotNull(), flip)), ["symbol"], ["date"], ["time"], c("_flip"), "_trend")
     signal = F.when(c("atr").isNull(), "neutral").otherwise(F.coalesce("_trend", F.lit("bullish")))
