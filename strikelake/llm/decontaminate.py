@@ -18,12 +18,12 @@ DOC = ["doc_id", "text_hash"]
 class PhraseIndex:
     """``windows``: item_id, item_text (hash of the text), start, length, words, anchor (place of the
     rarest word). ``anchors``: item_id, item_text, place, term, first (rarest of a window), need.
-    ``postings``: term, doc_id, text_hash, position, and for rarest terms before (number of words of
-    ``context`` in front of the term) and context (the words around it)."""
+    ``postings``: term, doc_id, text_hash, position. ``docs``: the rows they were taken from."""
 
     windows: DataFrame
     anchors: DataFrame
     postings: DataFrame
+    docs: DataFrame
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -43,8 +43,7 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = 13, rarest: int
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. The words of
     all documents are counted for the items' vocabulary; the ``rarest`` words of each window are its
-    anchors, and only anchors have postings. The rarest one's postings keep the words around them,
-    as many as a window can reach, so that a phrase is proved without going back to the texts.
+    anchors, and only anchors have postings. Postings are narrow: no row carries other words of its text.
     """
     texts = items.select("item_id", F.xxhash64("text").alias("item_text"), words_of(F.col("text")).alias("words"))
     n = F.size("words")
@@ -73,21 +72,9 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = 13, rarest: int
     anchors = cut_lineage(anchors)
     firsts = chosen.where("first").select(F.struct(*ITEM, "start").alias("of"), F.col("place").alias("anchor"))
     windows = windows.join(firsts, F.struct(*ITEM, "start").eqNullSafe(F.col("of"))).drop("of")
-    wanted = cut_lineage(anchors.groupBy("term").agg(F.max("first").alias("first")))
-    at = F.col("position")
-    places = doc_words(docs).select(*DOC, F.posexplode("words").alias("position", "term"))
-    places = cut_lineage(places.join(wanted, "term"))
-    # Words travel alone; only texts with a rarest word are split again, beside its places.
-    leading = places.where("first").groupBy(*DOC).agg(F.collect_set(F.struct("term", "position")).alias("places"))
-    leading = cut_lineage(leading.select(F.struct(*DOC).alias("of"), "places"))
-    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text")
-    texts = texts.join(leading.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("of")))
-    around = texts.select("key.*", words_of(F.col("text")).alias("words"), F.explode("places").alias("p"))
-    around = around.select(*DOC, "p.*", "words")
-    before = F.least(at, F.lit(window - 1))
-    around = around.select("term", *DOC, "position", before.alias("before"), F.slice("words", at - before + 1, before + window).alias("context"))
-    postings = places.where(~F.col("first")).select("term", *DOC, "position").unionByName(around, allowMissingColumns=True)
-    return PhraseIndex(cut_lineage(windows), anchors, cut_lineage(postings))
+    wanted = cut_lineage(anchors.select("term").distinct())
+    postings = doc_words(docs).select(*DOC, F.posexplode("words").alias("position", "term")).join(wanted, "term")
+    return PhraseIndex(cut_lineage(windows), anchors, cut_lineage(postings), docs)
 
 
 def aligned(index: PhraseIndex, slack: int = 0) -> DataFrame:
@@ -96,7 +83,7 @@ def aligned(index: PhraseIndex, slack: int = 0) -> DataFrame:
     Each posting of an anchor, less the anchor's place in the item, is where the item would begin
     (``origin``). Origins that enough different anchors share, a rarest one among them, stay;
     the other anchors may be ``slack`` words off. Returns the keys of document and item, origin and
-    ``rare``: place, before and context of the rarest anchors met.
+    ``rare``: the places of the rarest anchors met.
     """
     hits = index.postings.join(index.anchors.withColumnRenamed("first", "leads"), "term")
     origin = F.col("position") - F.col("place")
@@ -104,7 +91,7 @@ def aligned(index: PhraseIndex, slack: int = 0) -> DataFrame:
         off = F.when(F.col("leads"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(-slack), F.lit(slack)))
         hits = hits.withColumn("off", F.explode(off))
         origin = origin + F.col("off")
-    rare = F.when(F.col("leads"), F.struct("place", "before", "context"))
+    rare = F.when(F.col("leads"), F.col("place"))
     met = hits.groupBy(*DOC, *ITEM, origin.alias("origin")).agg(
         F.size(F.collect_set("place")).alias("met"), F.min("need").alias("need"), F.collect_set(rare).alias("rare")
     )
@@ -112,14 +99,22 @@ def aligned(index: PhraseIndex, slack: int = 0) -> DataFrame:
 
 
 def phrase_matches(index: PhraseIndex) -> DataFrame:
-    """Exact occurrences of the items' windows: keys of document and item, start (in the document), length."""
-    met = aligned(index).select("*", F.explode("rare").alias("a"))
-    windows = index.windows
-    reach = F.col("a.before") - (F.col("anchor") - F.col("start"))
-    pairs = met.join(windows, _same(met, windows, ITEM) & (F.col("a.place") == F.col("anchor")) & (reach >= 0))
-    same = F.slice("a.context", F.greatest(reach, F.lit(0)) + 1, F.size("words")) == F.col("words")
-    return pairs.where(same).select(
-        *DOC, *[met[c] for c in ITEM], (F.col("origin") + F.col("start")).cast("long").alias("start"), F.size("words").alias("length")
+    """Exact occurrences of the items' windows: keys of document and item, start (in the document), length.
+
+    Windows whose anchors align are candidates; only documents with candidates are split again, and
+    the words at each candidate's place are compared with the window's.
+    """
+    met = aligned(index).select("*", F.explode("rare").alias("at"))
+    windows, begin = index.windows, F.col("origin") + F.col("start")
+    pairs = met.join(windows, _same(met, windows, ITEM) & (F.col("at") == F.col("anchor"))).where(begin >= 0)
+    pairs = cut_lineage(pairs.select(F.struct(*DOC).alias("of"), *[met[c] for c in ITEM], begin.alias("begin"), "words").distinct())
+    texts = index.docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text")
+    texts = texts.join(pairs.select("of").distinct().hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("of")), "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("held"))
+    placed = pairs.join(texts, F.col("of").eqNullSafe(F.col("key")))
+    same = F.slice("held", F.col("begin") + 1, F.size("words")) == F.col("words")
+    return placed.where(same).select(
+        "of.*", *ITEM, F.col("begin").cast("long").alias("start"), F.size("words").alias("length")
     ).distinct()
 
 
