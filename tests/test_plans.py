@@ -247,3 +247,11 @@ def test_sweep_adds_no_frames(spark):
     stops = {"name": "sl_value", "min": 1, "max": 30, "step": 1}
     assert frames([stops, {"name": "lots", "min": 1, "max": 3, "step": 1}]) == (5 * 90, 5)
     assert frames([stops, {"name": "strike_offset", "min": -1, "max": 1, "step": 1}]) == (5 * 90, 15)
+
+
+def test_shuffled_blocks_stay_rows_until_a_task_reads_one(spark):
+    t = spark.createDataFrame([("r", i, float(i)) for i in range(40)], "run_id string, no int, pnl_net double")
+    dealt = RS._dealt(t, F.lit(1.0), 20, 1, ["no"], ["run_id"], 16, 10)
+    assert "collect_list" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    blocks = dealt.groupBy("chunk", "block").count().collect()
+    assert len(blocks) == 6 and sum(r["count"] for r in blocks) == 2 * 40
