@@ -1,6 +1,7 @@
 import duckdb
 
 from strikelake.registry import replay_queries as Q
+from strikelake.registry import report_queries as RQ
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,3 +17,9 @@ def test_a_price_of_zero_is_no_loss_in_both_texts(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(want) and want
     unguarded = con.execute(f"SELECT {names} FROM ({Q.replay_sql(Q.CARRIED, Q.EXITS_SELECT)})").fetchall()
     assert sorted(unguarded) != sorted(want)
+
+
+def test_sweep_json_holds_every_combination(spark, monkeypatch):
+    monkeypatch.setattr(RQ, "RANGES", RQ.WIDE)
+    symbols = RQ.bars(spark, SMALL).select("symbol").distinct().count()
+    assert sum(r.n for r in RQ.sweep_json(spark, SMALL).collect()) == 720 * symbols
