@@ -255,3 +255,11 @@ def test_shuffled_blocks_stay_rows_until_a_task_reads_one(spark):
     assert "collect_list" not in dealt._jdf.queryExecution().optimizedPlan().toString()
     blocks = dealt.groupBy("chunk", "block").count().collect()
     assert len(blocks) == 6 and sum(r["count"] for r in blocks) == 2 * 40
+
+
+def test_tables_of_a_sweep_are_not_broadcast(spark):
+    base = [{"run_id": "a", "underlying": "X", "entry_time": "09:20", "exit_time": "15:20", "capital": 1e5, "lot_size": 15, "legs": [{"option_type": "CE", "position": "sell"}]}]
+    runs, legs = SW.apply_overrides(*strategy_frames(spark, base), [{"name": "sl_value", "min": 1, "max": 9, "step": 1}])
+    small = spark.createDataFrame([("a#1", 0)], "run_id string, leg_no int")
+    for big in (runs.drop("params"), legs):
+        assert "Broadcast" not in small.join(big, "run_id")._jdf.queryExecution().executedPlan().toString()
