@@ -37,15 +37,20 @@ def _days(windows: DataFrame, by) -> DataFrame:
     return d.select(*by, "window_id", "side", F.explode(F.sequence("a", F.date_sub("b", 1))).alias("date"))
 
 
+def daily_trades(trades: DataFrame, by=("run_id",)) -> DataFrame:
+    """Trades reduced to by, exit_date, n, pnl_net and the earliest entry_date: all that windows, equity and counts need."""
+    return trades.groupBy(*by, "exit_date").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl_net").alias("pnl_net"), F.min("entry_date").alias("entry_date"))
+
+
 def walk_forward(trades: DataFrame, equity: DataFrame, windows: DataFrame, by=("run_id",)) -> DataFrame:
     """Trades, P&L and Sharpe in and out of sample per window, and the degradation ratio.
 
-    Trades are reduced to (run, exit date) and equity is daily before either meets the
+    Trades are reduced to (run, exit date), if :func:`daily_trades` has not done so, and equity is daily before either meets the
     windows. The Sharpe here uses the population deviation of consecutive equity points.
     """
     c, by = F.col, list(by)
     days = _days(windows, by)
-    per_day = trades.groupBy(*by, c("exit_date").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl_net").alias("pnl"))
+    per_day = trades.groupBy(*by, c("exit_date").alias("date")).agg((F.sum("n") if "n" in trades.columns else F.count(F.lit(1))).alias("n"), F.sum("pnl_net").alias("pnl"))
     t = days.join(per_day, [*by, "date"]).groupBy(*by, "window_id").pivot("side", ["is", "oos"]).agg(F.sum("n").alias("trades"), F.sum("pnl").alias("pnl"))
     e = days.join(equity.select(*by, "date", "equity"), [*by, "date"])
     w = Window.partitionBy(*by, "window_id", "side").orderBy("date")

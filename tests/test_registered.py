@@ -23,3 +23,13 @@ def test_sweep_json_holds_every_combination(spark, monkeypatch):
     monkeypatch.setattr(RQ, "RANGES", RQ.WIDE)
     symbols = RQ.bars(spark, SMALL).select("symbol").distinct().count()
     assert sum(r.n for r in RQ.sweep_json(spark, SMALL).collect()) == 720 * symbols
+
+
+def test_walk_forward_and_combined_equity_join_trades_once(spark, monkeypatch):
+    calls = []
+    plain = RQ.trades
+    monkeypatch.setattr(RQ, "trades", lambda *a: calls.append(a) or plain(*a))
+    for query in (RQ.walk_forward, RQ.combined_equity):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
+    assert len(calls) == 2
