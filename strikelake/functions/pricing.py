@@ -68,7 +68,9 @@ def bs_columns(
     """Add price, delta, gamma, theta (per day) and vega (per IV point).
 
     Steps are separate projections so that d1, d2 and the distribution values are each
-    computed once per row. Expired options get intrinsic value and a step delta.
+    computed once per row. The distribution function is a lambda over (d1, d2), which Spark evaluates
+    apart from the generated code: written out twice it makes a method of more than 8,000 bytes,
+    which the JVM never compiles. Expired options get intrinsic value and a step delta.
     """
     live = (tte > 0) & (iv > 0) & (spot > 0) & (strike > 0)
     root = F.sqrt(tte)
@@ -77,8 +79,9 @@ def bs_columns(
     df = df.withColumn("_d1", F.when(live, d1))
     df = df.withColumn("_d2", F.col("_d1") - F.when(live, iv * root))
     df = (
-        df.withColumn("_n1", norm_cdf(F.col("_d1")))
-        .withColumn("_n2", norm_cdf(F.col("_d2")))
+        df.withColumn("_n", F.transform(F.array("_d1", "_d2"), norm_cdf))
+        .withColumn("_n1", F.get("_n", F.lit(0)))
+        .withColumn("_n2", F.get("_n", F.lit(1)))
         .withColumn("_pdf", norm_pdf(F.col("_d1")))
         .withColumn("_disc", F.exp(-F.lit(rate) * tte))
     )
@@ -102,7 +105,7 @@ def bs_columns(
         F.when(known, F.when(live, theta).when(tte <= 0, 0.0)).alias(f"{prefix}theta"),
         F.when(known, F.when(live, spot * pdf * root / 100).when(tte <= 0, 0.0)).alias(f"{prefix}vega"),
     )
-    return out.drop("_d1", "_d2", "_n1", "_n2", "_pdf", "_disc")
+    return out.drop("_d1", "_d2", "_n", "_n1", "_n2", "_pdf", "_disc")
 
 
 def with_greeks(

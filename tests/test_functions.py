@@ -186,3 +186,22 @@ def test_rolls_and_ties(spark):
     assert asof.with_expiry_dates(keys, rules).where("expiry_date IS NULL").count() == 4
     # Of rules that start together the weekly one gates.
     assert {r.expiry_type for r in asof.expiry_asof(keys.where("symbol = 'A'").select("symbol", "date"), rules).collect()} == {"weekly"}
+
+
+def test_attribution_code_is_compiled(spark, capsys):
+    """A generated method of more than 8,000 bytes is interpreted by the JVM, whatever the size of the data."""
+    import re
+
+    import __spark_entry__ as entry
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1")):
+            spark.conf.set(k, v)
+        for name in ("H04_pnl_attribution", "I05_greeks_totals", "I07_options_metrics", "I08_attribution_summary", "H01_H02_option_prices", "H03_greeks"):
+            entry.queries()[name](spark, "/root/testdata/sf0.001").explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) <= 8000, (name, sizes)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
