@@ -16,6 +16,10 @@ TRADE_INTS = "lots lot_size bars_held reentry_attempt".split()
 
 def trade_rows(trades: DataFrame, order: list) -> DataFrame:
     """Storable trades: numbered within their run, unusable numbers as NULL."""
+    if all(isinstance(o, str) for o in order):
+        # Only what is stored or ordered by goes through the sort.
+        needed = {"run_id", *order, *TRADE_TEXT, *TRADE_NUMBERS, *TRADE_INTS}
+        trades = trades.select(*[n for n in trades.columns if n in needed])
     numbered = number_rows(trades, ["run_id"], order, "_n")
     return numbered.select(
         F.col("run_id"),

@@ -64,3 +64,26 @@ def test_number_rows(rows):
     data, df = rows
     got = {(r.k, r.i): r.n for r in O.number_rows(df, ["k"], ["i"], "n").collect()}
     assert got == {(k, i): i + 1 for k, _, i, _, _ in data}
+
+
+def test_number_rows_moves_rows_once(rows, spark):
+    _, df = rows
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        numbered = O.number_rows(df, ["k"], ["i"], "n")
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_stored_trades_are_sorted_without_other_columns(spark, monkeypatch):
+    from strikelake.sources import results
+
+    seen = []
+    monkeypatch.setattr(results, "number_rows", lambda df, *a: seen.append(df.columns) or O.number_rows(df, *a))
+    df = spark.createDataFrame([(1, 2, 5.0, "x"), (1, 1, 6.0, "y")], "run_id int, orderkey int, pnl_net double, note string")
+    got = results.trade_rows(df, ["orderkey"]).collect()
+    assert sorted((r.trade_id, r.pnl_net) for r in got) == [(0, 6.0), (1, 5.0)]
+    assert seen == [["run_id", "orderkey", "pnl_net"]]
