@@ -209,3 +209,19 @@ def test_against_plain_fold(spark, seed):
         for day, v in {k[0]: v for k, v in snaps}.items():
             assert daily[(conf["run_id"], day)] == pytest.approx(v, abs=1e-6)
     assert n > 300
+
+
+def test_a_pass_reads_only_the_days_its_positions_may_be_held(spark, monkeypatch):
+    from strikelake.plans import replay as plan
+
+    rows = ce(("09:20", 200), ("11:00", 320), ("12:00", 200), ("15:20", 190))
+    for d in (16, 17, 18):
+        rows += ce(("09:20", 200), ("12:00", 195), ("15:20", 190), day=dt.date(2024, 1, d))
+    bars = spark.createDataFrame([("X", *r[:4], *[float(r[4])] * 3, 100.0) for r in rows], BAR)
+    runs, legs = strategy_frames(spark, [{"run_id": "again", "underlying": "X", **BASE, "legs": [AGAIN]}])
+    days = []
+    plain = plan._evaluate
+    monkeypatch.setattr(plan, "_evaluate", lambda *a: days.append(a[3].select("date").distinct().count()) or plain(*a))
+    got = replay(bars, runs, legs).trades.orderBy("entry_ts").collect()
+    assert [(r.exit_reason, r.reentry_attempt) for r in got] == [("stop_loss", 0), ("time_exit", 1)] + [("time_exit", 0)] * 3
+    assert days == [4, 1]
