@@ -249,6 +249,18 @@ def test_sweep_adds_no_frames(spark):
     assert frames([stops, {"name": "strike_offset", "min": -1, "max": 1, "step": 1}]) == (5 * 90, 15)
 
 
+def test_bands_of_a_held_run_are_ranked_in_its_tasks(spark):
+    t = spark.createDataFrame([("r", i, float(i % 7 - 3)) for i in range(100)] + [("s", i, 1.0 - i % 3) for i in range(40)], "run_id string, no int, pnl_net double")
+    args = (F.lit(50.0), 20, 3, ["no"])
+    bands = RS.shuffle_bands(t, *args, block=16, chunk=7)
+    plan = bands._jdf.queryExecution().optimizedPlan().toString()
+    assert "values" not in plan and "slice" not in plan
+    want = sorted(map(tuple, bands.collect()))
+    assert len(want) == 140
+    for held in (10, 50):
+        assert sorted(map(tuple, RS.shuffle_bands(t, *args, block=16, chunk=7, held=held).collect())) == want
+
+
 def test_shuffled_blocks_stay_rows_until_a_task_reads_one(spark):
     t = spark.createDataFrame([("r", i, float(i)) for i in range(40)], "run_id string, no int, pnl_net double")
     dealt = RS._dealt(t, F.lit(1.0), 20, 1, ["no"], ["run_id"], 16, 10)
