@@ -261,6 +261,22 @@ def test_bands_of_a_held_run_are_ranked_in_its_tasks(spark):
         assert sorted(map(tuple, RS.shuffle_bands(t, *args, block=16, chunk=7, held=held).collect())) == want
 
 
+def test_summary_of_a_held_run_sends_its_trades_to_few_tasks(spark, monkeypatch):
+    t = spark.createDataFrame([("r", i, float(i % 7 - 3)) for i in range(100)] + [("s", i, 1.0 - i % 3) for i in range(40)], "run_id string, no int, pnl_net double")
+    runs = spark.createDataFrame([("r", 50.0), ("s", 50.0), ("none", 5.0)], "run_id string, capital double")
+    args = (F.lit(50.0), 20, 3, ["no"])
+    sent, deal = [], RS._by_size
+    monkeypatch.setattr(RS, "_by_size", lambda *a: sent.append(deal(*a)) or sent[-1])
+    want = sorted(map(tuple, RS.shuffle_summary(t, runs, *args, block=16, chunk=2).collect()))
+    shared, larger = sent[0]
+    tasks = RS.TASKS * spark.sparkContext.defaultParallelism
+    assert larger is None and shared.count() < 140 * 10
+    assert shared.select("run_id", "part").distinct().count() <= tasks + 2
+    assert [r[-2:] for r in want] == [(0, 0), (20, 100), (20, 40)]
+    for held in (10, 50):
+        assert sorted(map(tuple, RS.shuffle_summary(t, runs, *args, block=16, chunk=2, held=held).collect())) == want
+
+
 def test_shuffled_blocks_stay_rows_until_a_task_reads_one(spark):
     t = spark.createDataFrame([("r", i, float(i)) for i in range(40)], "run_id string, no int, pnl_net double")
     dealt = RS._dealt(t, F.lit(1.0), 20, 1, ["no"], ["run_id"], 16, 10)
