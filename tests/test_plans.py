@@ -277,6 +277,24 @@ def test_summary_of_a_held_run_sends_its_trades_to_few_tasks(spark, monkeypatch)
         assert sorted(map(tuple, RS.shuffle_summary(t, runs, *args, block=16, chunk=2, held=held).collect())) == want
 
 
+def test_positions_of_a_sweep_are_not_broadcast(spark, monkeypatch):
+    from strikelake.plans import replay
+
+    start = dt.datetime(2024, 1, 1, 9)
+    rows = [("X", t.date(), t.time().isoformat(), "CE", 0, 100.0 + i % 7, 110.0, 90.0, 100.0, 1000.0, 1000.0) for i in range(40) for t in [start + dt.timedelta(hours=5 * i)]]
+    bars = spark.createDataFrame(rows, "symbol string, date date, time string, option_type string, strike_offset int, close double, high double, low double, open double, spot double, strike double")
+    base = [{"run_id": "a", "underlying": "X", "entry_time": "09:00:00", "exit_time": "19:00:00", "capital": 1e5, "lot_size": 15, "legs": [{"option_type": "CE", "position": "sell", "stop_loss_enabled": True, "stop_loss_type": "points"}]}]
+    plans, cut = [], replay.cut_lineage
+    for module in (replay, SW):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: plans.append((df.columns, df._jdf.queryExecution().sparkPlan().toString())) or cut(df))
+    runs, legs = strategy_frames(spark, base)
+    assert SW.sweep_metrics(bars, runs, legs, [{"name": "sl_value", "min": 1, "max": 9, "step": 1}]).count() == 9
+    big = {("frame", "bars"): 1, ("reason", "start_ts"): 1, ("pnl_net", "exit_reason"): 2}
+    for names, joins in big.items():
+        (plan,) = [text for columns, text in plans if set(names) <= set(columns)]
+        assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan, names
+
+
 def test_shuffled_blocks_stay_rows_until_a_task_reads_one(spark):
     t = spark.createDataFrame([("r", i, float(i)) for i in range(40)], "run_id string, no int, pnl_net double")
     dealt = RS._dealt(t, F.lit(1.0), 20, 1, ["no"], ["run_id"], 16, 10)
