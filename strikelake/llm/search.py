@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 FOUND = "query_id long, vec_id long, score long"
+#: Queries that are compared with a block of rows at once, by products of matrices.
+BATCH = 128
 #: Beyond this, sums of products are no longer exact in double precision.
 EXACT = float(2**53)
 
@@ -46,41 +50,64 @@ class Block:
 def best_of_block(queries: Block, rows: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, score) of the rows that can be among the ``k`` best of each query in this
     block: at most k + ties cut by smaller id."""
-    out_q, out_r, out_s = [], [], []
     large = max(np.abs(queries.vectors).max(initial=0), 1) * max(np.abs(rows.vectors).max(initial=0), 1)
     slack = 1e-9 * large * max(1, queries.vectors.shape[1]) + 1e-6
     exact = large * max(1, queries.vectors.shape[1]) < EXACT
-    for q in range(len(queries.ids)):
-        own = rows.ids == queries.ids[q]
-        alive = np.flatnonzero(~own)
-        if not len(alive):
-            continue
-        scores = np.full(len(rows.ids), -np.inf)
+    found = [], [], []
+    for first in range(0, len(queries.ids), BATCH):
+        some = slice(first, first + BATCH)
+        alive = queries.ids[some, None] != rows.ids
         if exact:
-            floor = -np.inf
-            for level, stats in enumerate(queries.stats):
-                bound = rows.stats[level][alive] @ stats[q]
-                if level == 0 and len(alive) > k:
-                    # Exact scores of the likeliest rows give the first floor.
-                    first = alive[np.argpartition(-bound, k - 1)[:k]]
-                    scores[first] = rows.vectors[first] @ queries.vectors[q]
-                    floor = scores[first].min()
-                alive = alive[bound + slack >= floor]
-            scores[alive] = rows.vectors[alive] @ queries.vectors[q]
-            found = scores[alive]
+            left, scores = _pruned_scores(queries, rows, some, alive, k, slack)
         else:
-            mine = [int(v) for v in queries.vectors[q]]
-            sums = [sum(int(a) * b for a, b in zip(rows.vectors[r], mine)) for r in alive]
-            found = np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums], dtype=object)
-        order = sorted(range(len(alive)), key=lambda i: (-found[i], rows.ids[alive[i]])) if len(alive) <= 4 * k else None
-        if order is None:
-            cut = np.partition(found, len(found) - k)[len(found) - k] if exact else sorted(found)[-k]
-            order = sorted(np.flatnonzero(found >= cut).tolist(), key=lambda i: (-found[i], rows.ids[alive[i]]))
-        for i in order[:k]:
-            out_q.append(queries.ids[q])
-            out_r.append(rows.ids[alive[i]])
-            out_s.append(int(found[i]))
-    return np.array(out_q, np.int64), np.array(out_r, np.int64), np.array(out_s, np.int64)
+            left, scores = np.arange(len(rows.ids)), _limited_scores(queries.vectors[some], rows.vectors)
+        alive = alive[:, left]
+        if len(left) > k:
+            ranked = np.where(alive, scores, -np.inf if exact else -(2**64))
+            alive &= ranked >= np.partition(ranked, len(left) - k, axis=1)[:, [len(left) - k]]
+        q, r = np.nonzero(alive)
+        order = np.lexsort((rows.ids[left[r]], -scores[q, r], q))
+        q, r = q[order], r[order]
+        # Their places in their query's list, which starts where the query is first seen.
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        for out, values in zip(found, (queries.ids[some][q], rows.ids[left[r]], scores[q, r])):
+            out.append(values[best].astype(np.int64))
+    return tuple(np.concatenate([np.array([], np.int64), *out]) for out in found)
+
+
+def _pruned_scores(queries: Block, rows: Block, some: slice, alive: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that the bounds leave to any query of ``some``, and their exact scores.
+
+    ``alive`` marks the candidates (queries by rows); those whose bound is below a query's floor are unmarked.
+    """
+    asked, left, floor = queries.vectors[some], np.arange(len(rows.ids)), np.full((len(alive), 1), -np.inf)
+
+    def of(table: np.ndarray) -> np.ndarray:
+        return table if len(left) == len(table) else table[left]
+
+    for level, stats in enumerate(queries.stats):
+        bound = stats[some] @ of(rows.stats[level]).T
+        if level == 0 and len(rows.ids) > k:
+            # Exact scores of the likeliest rows give the first floor.
+            bound[~alive] = -np.inf
+            likely = np.argpartition(bound, len(rows.ids) - k, axis=1)[:, -k:]
+            floor = np.einsum("qkd,qd->qk", rows.vectors[likely], asked).min(axis=1, keepdims=True)
+            floor[alive.sum(axis=1) <= k] = -np.inf
+        low = bound < floor - slack
+        if low.any():
+            alive[:, left] &= ~low
+            left = left[alive[:, left].any(axis=0)]
+    return left, asked @ of(rows.vectors).T
+
+
+def _limited_scores(asked: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores beyond double precision as Python's whole numbers, at the limits of a long."""
+    asked, vectors = ([[int(v) for v in x] for x in m] for m in (asked, vectors))
+    scores = np.empty((len(asked), len(vectors)), object)
+    for i, x in enumerate(asked):
+        for j, y in enumerate(vectors):
+            scores[i, j] = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y))))
+    return scores
 
 
 def _matrix(values: pd.Series, scale: int) -> np.ndarray:
@@ -106,10 +133,12 @@ def top_k(
     clean = F.size("embedding") > 0
     for bad in (lambda x: x.isNull(), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))):
         clean = clean & ~F.coalesce(F.exists(F.col("embedding").cast("array<double>"), bad), F.lit(False))
+    # Floats stay floats until a task reads them: half the size in the shuffles.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & clean).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
-    rows = rows.groupBy("vec_id").agg(F.min("x").alias("x"), F.max("asks").alias("asks"))
+    rows = cut_lineage(rows.groupBy("vec_id").agg(F.min("x").alias("x"), F.max("asks").alias("asks")))
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     n_rows, n_queries = (max(1, -(-n // block)) for n, block in zip(sizes, (row_block, query_block)))
     at = F.xxhash64("vec_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strikelake.llm import queries as Q
-from strikelake.llm import simhash
+from strikelake.llm import search, simhash
 from strikelake.llm.calibration import calibrated, calibrated_column
 from strikelake.llm.codes import Codes, pack, read_documents, tokens_at, write_tokens
 from strikelake.llm.decontaminate import build_index, contamination, proximity_matches, uncontaminated
@@ -380,6 +380,24 @@ def test_field_tokens(spark):
 # --- search
 
 
+def test_vectors_are_cleaned_and_grouped_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    best = top_k(df, F.col("vec_id") % 10 == 0, scale=1, query_block=4, row_block=16)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" not in plan and "array<double>" not in plan
+
+    def of(q):
+        scores = sorted((-sum(int(a * b) for a, b in zip(rows[q][1], x)), i) for i, x in rows if i != q)
+        return [(q, place + 1, i, -less) for place, (less, i) in enumerate(scores[:5])]
+
+    want = [r for q in range(0, 60, 10) for r in of(q)]
+    for batch in (1, 2, 128):
+        monkeypatch.setattr(search, "BATCH", batch)
+        assert sorted(map(tuple, best.collect())) == want
+
+
 def test_top_k(spark):
     random = np.random.default_rng(6)
     vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(random.normal(0, 0.2, (300, 20)))]
